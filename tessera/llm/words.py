@@ -20,15 +20,16 @@ CACHE_ENTRIES = 1_000_000
 
 
 class WordDigests(dict):
-    """Word (bytes) to unsigned 64-bit digest, computed at first use."""
+    """Word (bytes or text) to unsigned 64-bit digest, computed at first use."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
+        raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+        value = self[word] = xxhash.xxh64_intdigest(raw, 42)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
