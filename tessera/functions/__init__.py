@@ -1 +1 @@
-"""Part of tessera."""
+"""Part of the engine."""

@@ -198,8 +198,8 @@ def normalize_url(url: Column) -> Column:
 
 
 def slug(text: Column, limit: int = 80) -> Column:
-    plain = replace(replace(text, r"[^\w.-]+", "-"), r"^[-.]+|[-.]+$", "")
-    return F.when(plain == "", "document").otherwise(F.left(plain, F.lit(limit)))
+    plain = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), r"^[-.]+|[-.]+$", "")
+    return F.left(F.when(plain == "", "doc").otherwise(plain), F.lit(limit))
 
 
 def safe_normalize(text: Column) -> Column:
