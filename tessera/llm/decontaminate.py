@@ -3,8 +3,9 @@
 Tokens are runs of letters, digits and underscores in the lower-cased text.  An item of
 ``n`` tokens is held against every window of ``n`` tokens of a document.
 
-1. Windows that share no five-word shingle with any item have similarity zero, so only
-   stretches around a shared shingle are looked at (``n`` tokens to either side).
+1. Two multisets of ``m`` shingles reach similarity ``t`` only with ``2 m t / (1 + t)`` in
+   common, so windows that hold fewer shingles of any item are passed over; none of them
+   could match.
 2. Every such window and every item has a 64-bit SimHash over its shingles, repeats
    included.  Multi-index lookup: the 64 bits are cut into eight blocks; fingerprints
    within ``radius`` differ in at most ``radius // 8`` bits in some block, so for each
@@ -76,6 +77,9 @@ class Items:
             self.by_size[len(words)].append((item_id, Counter(shingles.tolist()), fp))
             seen[k].update(shingles.tolist())
         self.shingles = {k: np.array(sorted(v), np.uint64) for k, v in seen.items()}
+        self.marks = {k: np.zeros(1 << 20, bool) for k in seen}  # leading bits of known shingles
+        for k, known in self.shingles.items():
+            self.marks[k][(known >> np.uint64(44)).astype(np.int64)] = True
         self.tables = {n: self._tables([fp for *_, fp in items]) for n, items in self.by_size.items()}
         self.fps = {n: np.array([fp for *_, fp in items], np.uint64) for n, items in self.by_size.items()}
 
@@ -97,34 +101,47 @@ class Items:
         return window[close], item[close]
 
 
-def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[place] == values
-
-
-def matches(items: Items, digests: WordDigests, text: str | None, threshold: float) -> list[tuple[int | None, float, int, int]]:
-    """``(item_id, similarity, first word, words)`` for the best window of every item that reaches the threshold."""
-    words = tokens(text)
-    if not words:
-        return []
-    values = digests.of(words)
-    best: list[tuple[int | None, float, int, int]] = []
+def candidate_texts(items: Items, digests: WordDigests, texts: list[str | None], threshold: float) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """``(text, shingles, their length, places of known shingles)`` of texts with enough known shingles for any item."""
+    parts = [tokens(x) for x in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = sizes.cumsum()
+    values = digests.of([w for p in parts for w in p])
     for k, known in items.shingles.items():
         shingles = window_digests(values, k)
-        hits = np.flatnonzero(_isin(shingles, known)) if len(shingles) else shingles
-        if not len(hits):
-            continue
+        maybe = np.flatnonzero(items.marks[k][(shingles >> np.uint64(44)).astype(np.int64)]) if len(shingles) else np.empty(0, np.int64)
+        place = np.searchsorted(known, shingles[maybe])
+        maybe = maybe[known[np.minimum(place, len(known) - 1)] == shingles[maybe]]
+        whose = np.searchsorted(ends, maybe, "right")
+        inside = maybe + k <= ends[whose] if len(maybe) else maybe  # not across two texts
+        maybe, whose = maybe[inside], whose[inside]
+        least = min(needed(n - k + 1, threshold) for n in items.by_size if min(SHINGLE, n) == k)
+        text, first, count = np.unique(whose, return_index=True, return_counts=True)
+        for t, f, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True):
+            if c >= least:
+                start = int(ends[t] - sizes[t])
+                yield t, shingles[start : int(ends[t]) - k + 1], k, maybe[f : f + c] - start
+
+
+def needed(width: int, threshold: float) -> int:
+    """Shingles of an item that a window of as many shingles must share to reach the similarity."""
+    return max(1, int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9)))
+
+
+def matches(items: Items, digests: WordDigests, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int | None, float, int, int]]:
+    """``(text, item_id, similarity, first word, words)``: the best window of every item that reaches the threshold in a text."""
+    for text, shingles, k, hits in candidate_texts(items, digests, texts, threshold):
+        flags = np.zeros(len(shingles) + 1, np.int64)
+        flags[hits + 1] = 1
+        upto = flags.cumsum()
+        chosen: dict[tuple[int, int], tuple[float, int]] = {}
         for size, group in items.by_size.items():
             width = size - k + 1
             if min(SHINGLE, size) != k or width > len(shingles):
                 continue
-            last = len(shingles) - width
-            edge = np.zeros(last + 2, np.int64)
-            np.add.at(edge, np.clip(hits - width + 1, 0, last + 1), 1)
-            np.add.at(edge, np.minimum(hits, last) + 1, -1)
-            starts = np.flatnonzero(edge[:-1].cumsum() > 0)
-            for at in range(0, len(starts), 1 << 15):
-                part = starts[at : at + (1 << 15)]
+            starts = np.flatnonzero(upto[width:] - upto[:-width] >= needed(width, threshold))
+            for at in range(0, len(starts), 1 << 14):
+                part = starts[at : at + (1 << 14)]
                 low = int(part[0])
                 near = shingles[low : int(part[-1]) + width]
                 window, item = items.candidates(size, prints(near, part - low, width))
@@ -133,14 +150,11 @@ def matches(items: Items, digests: WordDigests, text: str | None, threshold: flo
                     inside = Counter(shingles[start : start + width].tolist())
                     both = sum(min(c, inside[s]) for s, c in group[i][1].items())
                     similarity = both / (2 * width - both)
-                    if similarity >= threshold:
-                        best.append((group[i][0], similarity, start, size, i))
-    chosen: dict[tuple, tuple] = {}
-    for item_id, similarity, start, size, i in best:
-        old = chosen.get((size, i))
-        if old is None or (-similarity, start) < (-old[1], old[2]):
-            chosen[size, i] = (item_id, similarity, start, size)
-    return list(chosen.values())
+                    old = chosen.get((size, i))
+                    if similarity >= threshold and (old is None or (-similarity, start) < (-old[0], old[1])):
+                        chosen[size, i] = (similarity, start)
+        for (size, i), (similarity, start) in chosen.items():
+            yield text, items.by_size[size][i][0], similarity, start, size
 
 
 def _blocks(benchmark: DataFrame, characters: int) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -167,7 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             items, digests = Items(held.value, radius), WordDigests()
             for frame in batches(frames):
-                rows = [(doc, *m) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for m in matches(items, digests, text, threshold)]
+                ids = frame["doc_id"].tolist()
+                rows = [(ids[t], *m) for t, *m in matches(items, digests, frame["text"].tolist(), threshold)]
                 if rows:
                     doc, item, similarity, start, size = zip(*rows, strict=True)
                     yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in doc], "Int64"), "item_id": pd.array(item, "Int64"), "similarity": similarity, "first_word": start, "n_words": size})
@@ -185,7 +200,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         def run(pieces: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items, digests = Items(held.value, radius), WordDigests()
             for piece in pieces:
-                keep = [not matches(items, digests, text.as_py(), threshold) for text in piece.column(piece.schema.get_field_index("text"))]
+                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                keep = np.ones(len(texts), bool)
+                for at in range(0, len(texts), 1000):
+                    keep[[at + t for t, *_ in matches(items, digests, texts[at : at + 1000], threshold)]] = False
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
