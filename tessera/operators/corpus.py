@@ -80,9 +80,8 @@ def shingle_classes(docs: DataFrame, group: str | None = None, key: str = "doc_i
     df = once(df, s=T.shingle_set(F.col("w"), size))
     df = df.select("key", "grp", "words", F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("shingles"))
     df = cut(df.withColumn("mark", F.sha2(F.concat_ws(",", F.transform("shingles", lambda x: x.cast("string"))), 256)))
-    first = df.groupBy("grp", "mark").agg(F.min("key").alias("class"))
-    on = df["grp"].eqNullSafe(first["grp"]) & (df["mark"] == first["mark"])
-    labelled = cut(df.join(first, on).select("key", "class", df["grp"], "words", "shingles"))
+    first = df.groupBy(F.col("grp").alias("g"), F.col("mark").alias("m")).agg(F.min("key").alias("class"))
+    labelled = cut(df.join(first, F.col("grp").eqNullSafe(F.col("g")) & (F.col("mark") == F.col("m"))).select("key", "class", "grp", "words", "shingles"))
     classes = labelled.where("key = class").select("class", "grp", "words", F.size("shingles").alias("n"), "shingles")
     return labelled.select("key", "class"), classes
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.lexicons import PROFILE_NAMES, PROFILE_VALUES, RUSSIAN, Pack
+from tessera.functions.lexicons import LETTERS, PROFILE_NAMES, PROFILE_VALUES, RUSSIAN, Pack
 
 FAMILIES = ("road", "hype", "jargon", "nominal", "bureau", "pivots", "fillers")
 #: Feature of each family's rate.
@@ -71,13 +71,30 @@ def compute_features(docs: DataFrame, pack: Pack = RUSSIAN, text: str = "text",
 
 
 def _family(style: Column, pack: Pack, family: str) -> Column:
-    found = [T.count(style, p, T.UI) for p in patterns(pack, family)]
     total = F.lit(0).cast("long")
-    for c in found:
-        total = total + c
+    if family in pack.phrase_families:
+        for group in _apart(getattr(pack, family)):
+            # places where a phrase starts, so phrases that overlap all count
+            total = total + F.regexp_count(F.lower(style), F.lit(rf"(?<![{LETTERS}])(?=(?:{'|'.join(rf'\Q{p}\E' for p in group)})(?![{LETTERS}]))")).cast("long")
+    else:
+        for p in patterns(pack, family):
+            total = total + T.count(style, p, T.UI)
     return total
 
 
+def _apart(phrases: tuple[str, ...]) -> list[list[str]]:
+    """Phrases in groups in which none begins another, so that a place starts one of a group at most."""
+    groups: list[list[str]] = []
+    for phrase in phrases:
+        for group in groups:
+            if not any(p.startswith(phrase) or phrase.startswith(p) for p in group):
+                group.append(phrase)
+                break
+        else:
+            groups.append([phrase])
+    return groups
+
+
 #: What the rules say; ``{}`` is filled with a number.
 MESSAGES = {
     "nominalization": "An action may be hidden in a noun or a passive; check whether the register needs it.",
@@ -104,30 +121,48 @@ def prose_findings(docs: DataFrame, profile_table: DataFrame, pack: Pack = RUSSI
     measured = compute_features(docs, pack)
     df = measured.join(F.broadcast(profile_table.withColumnRenamed("profile", "__profile")), F.col(mode) == F.col("__profile"))
     style = F.col("style")
-    placed = {f"h_{f}": T.family_hits(style, patterns(pack, f)) for f in FAMILIES}
-    df = once(df, **placed, h_dash=T.hits(style, DASH), h_colon=T.hits(style, COLON), h_long=F.filter(T.sentence_places(style), lambda s: s["n"] >= F.col("long_sentence_words_info")), h_para=T.paragraphs(style))
+    c, info, warning, empty = F.col, F.lit("info"), F.lit("warning"), F.lit("")
+    enough = c("words") >= c("punctuation_min_words")
+    # when each rule speaks; places are looked up only where one does
+    speaks = {
+        "nominal": c("n_nominal") > 0,
+        "bureau": (c("n_bureau") >= c("min_bureau_hits")) & (c("bureau_per_1000") >= c("bureau_per_1000_warn")),
+        "pivots": (c("n_pivots") >= c("min_pivot_hits")) & (c("pivot_per_1000") >= c("pivot_per_1000_warn")),
+        "road": (c("n_road") >= c("min_road_hits")) & (c("road_per_1000") >= c("road_per_1000_warn")),
+        "hype": (c("hype_level") != "off") & (c("n_hype") >= c("min_hype_hits")) & (c("hype_per_1000") >= c("hype_per_1000_emit")),
+        "jargon": (c("n_jargon") >= c("min_jargon_hits")) & (c("jargon_per_1000") >= c("jargon_per_1000_info")),
+        "fillers": (c(mode) == "oral") & (c("n_fillers") >= c("min_filler_hits")) & (c("filler_per_1000") >= c("filler_per_1000_info")),
+        "dash": (c("dash_level") != "off") & enough & (c("n_dashes") > 0) & (c("dash_per_1000") >= c("dash_per_1000_info")),
+        "colon": (c("colon_level") != "off") & enough & (c("n_colons") > 0) & (c("colon_per_1000") >= c("colon_per_1000_info")),
+        "long": c("sentence_max_words") >= c("long_sentence_words_info"),
+        "para": c("rhythm_checks") & (c("paragraphs") >= c("min_paragraphs_for_ratio")) & (c("one_sentence_paragraph_ratio") >= c("one_sentence_paragraph_ratio_info")),
+    }
+    places = {f: T.family_hits(style, patterns(pack, f)) for f in FAMILIES} | {"dash": T.hits(style, DASH), "colon": T.hits(style, COLON)}
+    no_hits = F.array().cast("array<struct<pos:int,matched:string>>")
+    df = once(
+        df, **{f"h_{f}": F.when(speaks[f], h).otherwise(no_hits) for f, h in places.items()},
+        h_long=F.filter(F.when(speaks["long"], T.sentence_places(style)).otherwise(F.array().cast("array<struct<pos:int,matched:string,n:bigint>>")), lambda s: s["n"] >= F.col("long_sentence_words_info")),
+        h_para=F.when(speaks["para"], F.get(T.paragraphs(style), F.lit(0))),
+    )
     none = F.array().cast("array<struct<level:string,code:string,pos:int,sample:string>>")
     row = lambda level, code, pos, sample: F.struct(level.alias("level"), F.lit(code).alias("code"), pos.cast("int").alias("pos"), sample.cast("string").alias("sample"))
-    each = lambda condition, found, level, code, most: F.when(condition, F.transform(F.slice(found, 1, most) if most else found, lambda h: row(level, code, h["pos"], h["matched"]))).otherwise(none)
+    each = lambda found, level, code, most: F.transform(F.slice(found, 1, most) if most else found, lambda h: row(level, code, h["pos"], h["matched"]))
     alone = lambda condition, level, code, pos, sample: F.when(condition, F.array(row(level, code, pos, sample))).otherwise(none)
-    c, info, warning, empty = F.col, F.lit("info"), F.lit("warning"), F.lit("")
-    enough = c("words") >= c("punctuation_min_words")
     examples = F.array_join(F.array_distinct(F.transform(F.slice("h_hype", 1, 5), lambda h: h["matched"])), ", ")
     first = lambda name: F.coalesce(F.get(name, F.lit(0))["pos"], F.lit(0))
-    para_at = F.greatest(F.expr("instr(style, get(h_para, 0))") - 1, F.lit(0))
     rules = F.concat(
-        each(F.lit(True), c("h_nominal"), c("nominalization_level"), "nominalization", 0),
-        each((c("n_bureau") >= c("min_bureau_hits")) & (c("bureau_per_1000") >= c("bureau_per_1000_warn")), c("h_bureau"), warning, "bureaucratic-density", 8),
-        each((c("n_pivots") >= c("min_pivot_hits")) & (c("pivot_per_1000") >= c("pivot_per_1000_warn")), c("h_pivots"), warning, "rhetorical-pivot", 8),
-        each((c("n_road") >= c("min_road_hits")) & (c("road_per_1000") >= c("road_per_1000_warn")), c("h_road"), warning, "road-sign-density", 10),
-        alone((c("hype_level") != "off") & (c("n_hype") >= c("min_hype_hits")) & (c("hype_per_1000") >= c("hype_per_1000_emit")), c("hype_level"), "hype-density", first("h_hype"), examples),
-        alone((c("n_jargon") >= c("min_jargon_hits")) & (c("jargon_per_1000") >= c("jargon_per_1000_info")), info, "context-jargon-density", first("h_jargon"), empty),
-        alone((c("dash_level") != "off") & enough & (c("n_dashes") > 0) & (c("dash_per_1000") >= c("dash_per_1000_info")), c("dash_level"), "dash-density", first("h_dash"), empty),
-        alone((c("colon_level") != "off") & enough & (c("n_colons") > 0) & (c("colon_per_1000") >= c("colon_per_1000_info")), c("colon_level"), "colon-density", first("h_colon"), empty),
+        each(c("h_nominal"), c("nominalization_level"), "nominalization", 0),
+        each(c("h_bureau"), warning, "bureaucratic-density", 8),
+        each(c("h_pivots"), warning, "rhetorical-pivot", 8),
+        each(c("h_road"), warning, "road-sign-density", 10),
+        alone(speaks["hype"], c("hype_level"), "hype-density", first("h_hype"), examples),
+        alone(speaks["jargon"], info, "context-jargon-density", first("h_jargon"), empty),
+        alone(speaks["dash"], c("dash_level"), "dash-density", first("h_dash"), empty),
+        alone(speaks["colon"], c("colon_level"), "colon-density", first("h_colon"), empty),
         alone(c("rhythm_checks") & (c("sentences") >= c("min_sentences_for_cv")) & (c("sentence_cv") < c("sentence_cv_min_info")), info, "sentence-uniformity", F.lit(0), empty),
-        each(F.lit(True), c("h_long"), info, "long-sentence", 0),
-        alone(c("rhythm_checks") & (c("paragraphs") >= c("min_paragraphs_for_ratio")) & (c("one_sentence_paragraph_ratio") >= c("one_sentence_paragraph_ratio_info")), info, "one-sentence-paragraphs", para_at, empty),
-        alone((c(mode) == "oral") & (c("n_fillers") >= c("min_filler_hits")) & (c("filler_per_1000") >= c("filler_per_1000_info")), info, "filler-density", first("h_fillers"), empty),
+        each(c("h_long"), info, "long-sentence", 0),
+        alone(speaks["para"], info, "one-sentence-paragraphs", F.greatest(F.expr("instr(style, h_para)") - 1, F.lit(0)), empty),
+        alone(speaks["fillers"], info, "filler-density", first("h_fillers"), empty),
     )
     found = df.withColumn("f", F.explode(rules))
     said = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])

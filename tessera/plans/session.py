@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,12 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer partitions than the session has cores; larger ones stay as they are.
+
+    For small files only: one row group is one task, however many cores are idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
