@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.markup import read_html
+from tessera.plans.lineage import cut
 
 T_WORD = re.compile(T.WORD)
 # Fields that may hold a record's text, its id and its author.
@@ -151,7 +152,7 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_rounds: int,
         front = seen.where(F.col("depth") == depth - 1)
         ahead = links.join(front, links["src"] == front["url"]).select(F.col("dst").alias("url")).distinct()
         inside = ahead.withColumn("host", host("url")).join(hosts, "host", "left_semi").select("url").join(known, "url")
-        seen = seen.unionByName(inside.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = cut(seen.unionByName(inside.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))))
     return seen.orderBy("depth", "url").limit(limit)
 
 
