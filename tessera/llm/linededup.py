@@ -96,7 +96,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     back = wide.select("doc", F.col("bj").alias("j"), F.slice("bl", 1, F.coalesce("bj", F.lit(1))).alias("places"), _pick("bj", min_words, lambda j: F.lag(f"n{j}", j - 1).over(window) if j > 1 else F.col("n1")).alias("name")).where("j is not null")
     windows = ahead.unionByName(back).where("name.a is not null and name.b is not null").select("doc", "j", F.col("name.a").alias("a"), F.col("name.b").alias("b"), F.array_min("places").alias("at"), F.array_sort("places").alias("places"))
     windows = cut(windows.distinct())
-    first = windows.groupBy("j", "a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("j", "a", "b", "first")
+    # the first of each interval is written out, so that the join with it can split a hot interval
+    first = cut(windows.groupBy("j", "a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("j", "a", "b", "first"))
     later = windows.join(first, ["j", "a", "b"]).where("doc <> first.doc or at <> first.at")
     return later.select("doc", F.explode("places").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
 
