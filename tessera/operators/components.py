@@ -16,20 +16,23 @@ from tessera.plans.lineage import cut, drop
 
 
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Written out, so that the join below sees a shuffle on either side and can split a hub's rows."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Hang every larger neighbour of ``u`` below the smallest of ``u`` and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _smallest_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _smallest_neighbour(both)
+    used.append(low)
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Hang ``u`` and its smaller neighbours below the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _smallest_neighbour(down)
+    used.append(low)
     moved = down.join(low, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
@@ -44,10 +47,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     current = cut(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(current)
     for _ in range(max_rounds):
-        starred = _small_star(_large_star(current)).where("u <> v").distinct()
-        following = cut(starred)
+        used = [current]
+        larger = cut(_large_star(current, used))
+        used.append(larger)
+        following = cut(_small_star(larger, used).where("u <> v").distinct())
         new_state = _state(following)
-        drop(current)
+        for done in used:
+            drop(done)
         current = following
         if new_state == state:
             break

@@ -25,12 +25,18 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch: texts are wide, and a batch exists several times on its way to Python.
+BATCH_ROWS = "500"
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, with batches fit for texts.
 
     Enough where executors see the driver's folders; elsewhere install the package or
-    send it with ``--py-files``.
+    send it with ``--py-files``.  A batch size other than Spark's own is left alone.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
