@@ -92,12 +92,13 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for t, m in enumerate(masks)])
     placed = distinct.select("fp", "rep", F.inline(tables))
-    shared = placed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("table", "bucket")
+    # buckets and hubs are written out, so that joins with them can split large ones
+    shared = cut(placed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("table", "bucket"))
     members = placed.join(shared, ["table", "bucket"]).select("fp", "rep", "table")
     flips = F.array(*[F.array(*[F.lit(f) for f in [0, *(_signed_bit(i) for i in range(64) if not (m >> i) & 1)]]) for m in masks])
     variants = members.select("rep", F.col("fp"), F.explode(flips[F.col("table")]).alias("flip")).select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("value")).distinct()
     variants = cut(variants)
-    hubs = variants.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "hub")
+    hubs = cut(variants.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "hub"))
     return variants.join(hubs, "value").where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
 
 
@@ -107,7 +108,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     named = cut(distinct.where("rep is not null"))
     components = connected_components(similar_links(named))
-    labelled = distinct.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    labelled = cut(distinct.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -119,11 +120,8 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component.
 
-    Rows with a null doc_id stay only if no row with a doc_id shares their component.
+    Rows with a null doc_id can't be told from each other or named as a copy: they stay.
     """
-    chosen = near_duplicates(docs)
-    keep = chosen.where("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.where(F.col("doc_id").isNull())
+    keep = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    lonely = chosen.where("doc_id is null and component_id is null").limit(1)
-    return kept.unionByName(unnamed.join(lonely.select(F.lit(1).alias("__one")), F.lit(True), "left_semi"))
+    return kept.unionByName(docs.where("doc_id is null"))
