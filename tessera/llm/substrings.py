@@ -13,7 +13,8 @@ depth and its labels are digests of 64 bits.
    that.  The first kind of group is a subtree that a task reads as sorted leaves, with
    memory for the current node only.  The second kind is one deep node by itself: its
    smallest document is found by an aggregation that starts before the shuffle and joined
-   back by key, so a passage that a third of all documents share never meets in one task.
+   back by key and salt, so a passage that a third of all documents share never meets in
+   one task.
 3. Every leaf of a deep node whose smallest document is another, smaller one marks
    ``length`` words; marked words go.  Nodes are judged on the input.
 
@@ -34,10 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import WordDigests, batches, encoded, signed, sliding_argmin, window_digests
+from tessera.llm.words import batches, encoded, hashed_words, signed, sliding_argmin, window_digests
 from tessera.plans.lineage import cut
 
 ANCHOR = 16
+#: Parts into which the leaves of a node beyond the limit are dealt.
+SALTS = 32
+#: Characters of text that are read at once.
+PIECE = 2_000_000
 
 
 def _anchors(words: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,15 +51,19 @@ def _anchors(words: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, n
     return short, sliding_argmin(short, length - anchor + 1)
 
 
+def _word_digests(frame: pd.DataFrame) -> list[np.ndarray]:
+    """Digests of each text's words."""
+    digests, whose, *_ = hashed_words(frame["text"].tolist(), lower=False)
+    return np.split(digests, np.searchsorted(whose, np.arange(1, len(frame))))
+
+
 def _anchor_rows(length: int, anchor: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digests = WordDigests()
-        for frame in batches(frames):
+        for frame in batches(frames, PIECE):
             ids, found = [], []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                words = encoded(text).split()
+            for doc, words in zip(frame["doc_id"], _word_digests(frame), strict=True):
                 if len(words) >= length:
-                    short, place = _anchors(digests.of(words), length, anchor)
+                    short, place = _anchors(words, length, anchor)
                     own = np.unique(short[np.unique(place)])
                     found.append(own)
                     ids.append(np.full(len(own), doc, np.int64))
@@ -68,18 +77,15 @@ def _suffix_rows(length: int, anchor: int, whole: bool):
     """Suffixes below a repeated anchor: prefix (16 words, or the whole path), path digest, document, first word."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digests = WordDigests()
-        for frame in batches(frames):
+        for frame in batches(frames, PIECE):
             out = []
-            for doc, text, wanted in zip(frame["doc_id"], frame["text"], frame["anchors"], strict=True):
-                words = encoded(text).split()
+            for doc, words, wanted in zip(frame["doc_id"], _word_digests(frame), frame["anchors"], strict=True):
                 if len(words) < length:
                     continue
-                values = digests.of(words)
-                short, place = _anchors(values, length, anchor)
+                short, place = _anchors(words, length, anchor)
                 at = np.flatnonzero(np.isin(signed(short)[place], np.asarray(wanted, np.int64)))
                 if len(at):
-                    path = signed(window_digests(values, length))[at]
+                    path = signed(window_digests(words, length))[at]
                     prefix = path if whole else signed(short)[at]
                     out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at))
             if out:
@@ -112,7 +118,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000
     named = _named(docs)
     rows = cut(named.mapInPandas(_anchor_rows(length, anchor), "doc_id long, anchor long"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies")).where("low < high")
-    shared = shared.select("anchor", (F.col("copies") > group_limit).alias("large"))
+    shared = cut(shared.select("anchor", (F.col("copies") > group_limit).alias("large")))  # written out, so that the join can split a hot anchor
     of_doc = cut(rows.join(shared, "anchor").groupBy("doc_id", "large").agg(F.collect_list("anchor").alias("anchors")))
 
     def below(large: bool) -> DataFrame:
@@ -122,7 +128,9 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     small = below(False).repartition(spread, "prefix").sortWithinPartitions("path", "doc_id", "at").mapInPandas(_leaves, "doc_id long, at int")
     node = below(True).groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "low")
-    large = below(True).join(node, "path").where("doc_id > low").select("doc_id", "at")
+    salted = node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    leaves = below(True).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    large = leaves.join(salted, ["path", "salt"]).where("doc_id > low").select("doc_id", "at")
     return small.unionByName(large).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
 
 
@@ -136,7 +144,7 @@ def _pair(docs: DataFrame) -> DataFrame:
 
 def _without(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
+        for frame in batches(frames, PIECE):
             total, removed, texts = [], [], []
             for text, starts in zip(frame["text"], frame["starts"], strict=True):
                 words = encoded(text).split()
