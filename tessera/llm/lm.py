@@ -7,11 +7,11 @@ the doc_id leaves remainder 1 by 5 are held out; everything is learned from the
    frequent words that occur twice are the head, a bounded number that may be broadcast; all others are the
    tail, and their counts are only ever joined by key.
 2. Classes: one for "the previous word again", one for the tail, one for the end, and
-   clusters of head words by the words they follow (counted over all training text).
+   clusters of head words by their letter triples, weighted by their counts.
 3. The class model is a maximum-entropy model of the next class.  Features of the context:
    previous word, previous two words together, the word before the previous (a skip),
-   the one before that (a wider skip), and a constant; rare words and pairs are hashed to a
-   fixed number of rows.  Every partition makes adaptive gradient updates on its own
+   and a constant; rare words and pairs are hashed to a fixed number of rows.
+   Every partition makes adaptive gradient updates on its own
    documents in batches; the partitions' weights are then mixed, each row in proportion
    to how often a partition has seen it, over a tree whose groups hold at most 64.
 4. Inside a class a word has its share of the class's training tokens.  In the tail one
@@ -29,6 +29,7 @@ unknown, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,57 +38,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import WordDigests, batches, encoded
+from tessera.llm.words import batches, hashed_words
 from tessera.plans.lineage import cut
 
-HEAD, CLASSES = 65_536, 32
-#: Rows of the weight table: own rows of frequent words, hashed rows of other words, of pairs, of wide skips.
-OWN, OTHER, PAIRS, WIDE = 8_192, 4_096, 16_384, 4_096
+HEAD, CLASSES = 65_536, 24
+#: Rows of the weight table: own rows of frequent words, hashed rows of other words, of pairs.
+OWN, OTHER, PAIRS = 8_192, 4_096, 16_384
 WORD_ROWS = OWN + OTHER
-ROWS = 1 + 2 * WORD_ROWS + PAIRS + WIDE
-FOLLOWED, BATCH, BLOCK, FAN = 48, 4_096, 512, 64
+ROWS = 1 + 2 * WORD_ROWS + PAIRS
+TRIPLES, BATCH, BLOCK, FAN = 64, 8_192, 512, 64
 REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
-END_WORD, START = b"\n", -1 - HEAD
+#: Key of the end, which no word has but by chance, code before a text, characters of a piece.
+END_KEY, START, PIECE = (1 << 62) + 1, -1 - HEAD, 2_000_000
 RATE = 0.25
 
 
-def tokens(text: str | None) -> list[bytes]:
-    words = encoded(text).lower().split()
-    words.append(END_WORD)
-    return words
+def keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of 63 bits of all tokens, END_KEY after each text's words; where each text starts; words' places in the keys."""
+    digests, whose, *_ = hashed_words(texts)
+    place = np.arange(len(digests)) + whose
+    out = np.full(len(digests) + len(texts), END_KEY, np.int64)
+    out[place] = (digests >> np.uint64(1)).astype(np.int64)
+    sizes = np.bincount(whose, minlength=len(texts)) + 1
+    return out, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), place
 
 
-class Keys(WordDigests):
-    """Word to a non-negative key of 63 bits."""
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return (super().of(words) >> np.uint64(1)).astype(np.int64)
-
-
-class Codes(dict):
-    """Word to ``-1 - place`` in the head, or to its key."""
+class Places:
+    """Keys to ``-1 - place`` in the head, other keys as they are: a few tables by different bits of the key."""
 
     def __init__(self, head: np.ndarray) -> None:
-        self.keys_ = WordDigests()
-        self.head = {int(k): -1 - i for i, k in enumerate(head)}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 800_000:
-            self.clear()
-        key = self.keys_.__missing__(word) >> 1
-        self.keys_.clear()
-        code = self[word] = self.head.get(key, key)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.head, self.tables = head, []
+        left = np.arange(len(head))
+        for shift in (43, 23, 3, 33, 13, 38, 18, 8, 28):
+            if not len(left):
+                break
+            table = np.full(1 << 20, -1, np.int32)
+            slot = self._slots(head[left], shift)
+            table[slot[::-1]] = left[::-1]  # the most frequent word of a slot stays
+            self.tables.append((shift, table))
+            left = left[table[slot] != left]
+        self.rest = {int(head[i]): i for i in left}
+
+    @staticmethod
+    def _slots(keys: np.ndarray, shift: int) -> np.ndarray:
+        return (keys >> shift) & 0xFFFFF
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        out = keys.copy()
+        if not len(self.head):
+            return out
+        open_ = np.arange(len(keys))
+        for shift, table in self.tables:
+            found = table[self._slots(keys[open_], shift)]
+            hit = (found >= 0) & (self.head[found] == keys[open_])
+            out[open_[hit]] = -1 - found[hit].astype(np.int64)
+            open_ = open_[~hit & (found >= 0)]  # an empty slot ends the search: no head word is beyond it
+        for i in open_.tolist() if self.rest else ():
+            if keys[i] in self.rest:
+                out[i] = -1 - self.rest[int(keys[i])]
+        return out
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys = Keys()
-    for frame in batches(frames):
-        found, n = np.unique(np.concatenate([keys.of(tokens(x)) for x in frame["text"]]), return_counts=True)
-        yield pd.DataFrame({"word": found, "c": n.astype(np.int64)})
+    for frame in batches(frames, 2 * PIECE):
+        digests, _, starts, ends, joined = hashed_words(frame["text"].tolist())
+        found, first, n = np.unique((digests >> np.uint64(1)).astype(np.int64), return_index=True, return_counts=True)
+        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        yield pd.DataFrame({"word": np.append(found, END_KEY), "w": [*words, b"\n"], "c": np.append(n, len(frame)).astype(np.int64)})
 
 
 def _hashed(values: np.ndarray, rows: int) -> np.ndarray:
@@ -117,10 +134,10 @@ def _before(codes: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
 
 
 def context_rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of every token's context, ``(tokens, 4)``, and the codes of the previous tokens."""
-    one, two, three = (_before(codes, starts, k) for k in (1, 2, 3))
+    """Weight rows of every token's context, ``(tokens, 3)``, and the codes of the previous tokens."""
+    one, two = (_before(codes, starts, k) for k in (1, 2))
     pair = _hashed(one * np.int64(31) + two * np.int64(1_000_003), PAIRS)
-    rows = np.stack([1 + _word_rows(one), 1 + WORD_ROWS + _word_rows(two), 1 + 2 * WORD_ROWS + pair, 1 + 2 * WORD_ROWS + PAIRS + _hashed(three, WIDE)], axis=1)
+    rows = np.stack([1 + _word_rows(one), 1 + WORD_ROWS + _word_rows(two), 1 + 2 * WORD_ROWS + pair], axis=1).astype(np.int32)
     return rows, one
 
 
@@ -130,11 +147,13 @@ def labels(codes: np.ndarray, previous: np.ndarray, class_of: np.ndarray) -> np.
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[0] + weights[rows[:, 0]]
+    logits = weights.take(rows[:, 0], axis=0)
+    logits += weights[0]
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits += weights.take(rows[:, k], axis=0)
+    np.clip(logits, -60, 60, out=logits)  # within what float32 can raise e to
+    logits -= np.log(np.exp(logits) @ np.ones((weights.shape[1], 1), np.float32))
+    return logits
 
 
 class Trainer:
@@ -148,28 +167,47 @@ class Trainer:
     def update(self, rows: np.ndarray, wanted: np.ndarray) -> None:
         gradient = np.exp(log_softmax(self.weights, rows))
         gradient[np.arange(len(wanted)), wanted] -= 1
-        flat = rows.T.ravel()
+        flat = rows.T.ravel().astype(np.uint16)  # ROWS fit, and short keys are sorted by digits
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        own = np.append(sorted_rows[first], 0)
-        total = np.concatenate([np.add.reduceat(gradient[order % len(wanted)], first, axis=0), gradient.sum(axis=0, keepdims=True)])
-        self.squares[own] += total**2
-        self.weights[own] -= RATE * total / np.sqrt(self.squares[own])
-        self.seen[own] += np.append(np.diff(np.append(first, len(flat))), len(wanted))
-
-
-def _sequences(frame: pd.DataFrame, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of a frame's texts, and where each text starts."""
-    parts = [codes.of(tokens(x)) for x in frame["text"]]
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])).astype(np.int64)
-
-
-def cluster(follows: np.ndarray, counts: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
-    """Classes of head words by the shares of the frequent words that they follow."""
-    if groups < 1 or not len(follows):
-        return np.zeros(len(follows), np.int64)
-    points = np.sqrt(follows / np.maximum(follows.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+        own = np.append(sorted_rows[first], 0).astype(np.int64)
+        whose = np.tile(np.arange(len(wanted)), rows.shape[1]).take(order)
+        total = np.empty((len(own), gradient.shape[1]), np.float32)
+        total[-1] = gradient.sum(axis=0)
+        size = np.diff(np.append(first, len(flat)))
+        alone, many = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+        total[alone] = gradient.take(whose[first[alone]], axis=0)  # most rows occur once in a batch
+        if len(many):
+            inside = gradient.take(whose[np.repeat(size > 1, size)], axis=0)
+            total[many] = np.add.reduceat(inside, np.append(0, size[many].cumsum()[:-1]), axis=0)
+        squares = self.squares.take(own, axis=0)
+        squares += total * total
+        self.squares[own] = squares
+        self.weights[own] -= RATE * total / np.sqrt(squares)
+        self.seen[own] += np.append(size, len(wanted))
+
+
+def _sequences(frame: pd.DataFrame, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens of a frame's texts, and where each text starts."""
+    keys, starts, _ = keyed(frame["text"].tolist())
+    return places.codes(keys), starts
+
+
+def triples(words: list[bytes]) -> np.ndarray:
+    """Shares of hashed letter triples of each word, edges included."""
+    out = np.zeros((len(words), TRIPLES), np.float32)
+    for i, word in enumerate(words):
+        edged = b"^" + word + b"$"
+        for k in range(len(edged) - 2):
+            out[i, zlib.crc32(edged[k : k + 3]) % TRIPLES] += 1
+    return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
+
+
+def cluster(points: np.ndarray, counts: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
+    """Groups of like points, the frequent ones counting more; the same whenever it runs."""
+    if groups < 1 or not len(points):
+        return np.zeros(len(points), np.int64)
     weight = np.sqrt(counts.astype(np.float32))
     centres = [points[0]]
     far = np.full(len(points), np.inf, np.float32)
@@ -208,38 +246,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
 
-def _followed(spark, train: DataFrame, head: np.ndarray) -> np.ndarray:
-    """How often each head word follows each of the most frequent words (the last column: any other)."""
-    held = spark.sparkContext.broadcast(head)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes(held.value)
-        sums = np.zeros(len(held.value) * FOLLOWED, np.int64)
-        for frame in batches(frames):
-            all_codes, starts = _sequences(frame, codes)
-            place = -1 - _before(all_codes, starts, 1)
-            column = np.where((place >= 0) & (place < FOLLOWED - 1), place, FOLLOWED - 1)
-            own = all_codes < 0
-            sums += np.bincount((-1 - all_codes[own]) * FOLLOWED + column[own], minlength=len(sums))
-        cell = np.flatnonzero(sums)
-        for at in range(0, len(cell), 100_000):
-            part = cell[at : at + 100_000]
-            yield pd.DataFrame({"cell": part, "n": sums[part]})
-
-    found = train.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(head) * FOLLOWED, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out.reshape(len(head), FOLLOWED)
-
-
 def _train(spark, train: DataFrame, model: Model) -> np.ndarray:
     """Weights after one pass of every partition over its documents and a tree of mixtures."""
     held = spark.sparkContext.broadcast((model.head, model.class_of))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, class_of = held.value
-        codes, trainer = Codes(head), Trainer()
-        for frame in batches(frames, 4_000_000):
+        codes, trainer = Places(head), Trainer()
+        for frame in batches(frames, PIECE):
             all_codes, starts = _sequences(frame, codes)
             rows, previous = context_rows(all_codes, starts)
             wanted = labels(all_codes, previous, class_of)
@@ -274,14 +288,14 @@ def _train(spark, train: DataFrame, model: Model) -> np.ndarray:
     return weights
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:long,n:int>>"
+_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
 
 
 def _score(held):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = held.value
-        codes = Codes(model.head)
-        for frame in batches(frames, 4_000_000):
+        codes = Places(model.head)
+        for frame in batches(frames, PIECE):
             all_codes, starts = _sequences(frame, codes)
             rows, previous = context_rows(all_codes, starts)
             wanted = labels(all_codes, previous, model.class_of)
@@ -301,14 +315,16 @@ def _score(held):
             base = np.where(in_head, model.base[np.minimum(place, max(len(model.base) - 1, 0))], 0.0) if len(model.base) else np.zeros(len(value))
             sums = lambda x: np.add.reduceat(x, starts)
             ends = np.append(starts[1:], len(all_codes))
-            tails = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                own_codes, again = all_codes[a:b], wanted[a:b] == REPEAT
-                # a negative count marks the share of words said again, which have their class already
-                rest, n = np.unique(own_codes[(own_codes >= 0) & ~again], return_counts=True)
-                twice, m = np.unique(own_codes[(own_codes >= 0) & again], return_counts=True)
-                tails.append([{"word": w, "n": k} for w, k in zip(rest.tolist(), n.tolist(), strict=True)] + [{"word": w, "n": -k} for w, k in zip(twice.tolist(), m.tolist(), strict=True)])
-            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": ends - starts, "known": sums(in_head.astype(np.int64)), "base": sums(base), "score": sums(value) / np.log(10), "tail": tails})
+            # words of the tail by text; a negative count marks words said again, which have their class already
+            out = ~in_head
+            whose = np.repeat(np.arange(len(starts)), ends - starts)[out]
+            said = np.where(wanted[out] == REPEAT, -1, 1)
+            grouped = pd.DataFrame({"text": whose, "word": all_codes[out], "n": said}).groupby(["text", "word", np.sign(said)], sort=True)["n"].sum().reset_index(level=2, drop=True).reset_index()
+            cuts = np.searchsorted(grouped["text"].to_numpy(), np.arange(len(starts) + 1))
+            words, n = grouped["word"].to_numpy(), grouped["n"].to_numpy(np.int32)
+            tails = [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            times = [n[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": ends - starts, "known": sums(in_head.astype(np.int64)), "base": sums(base), "score": sums(value) / np.log(10), "tail": tails, "times": times})
 
     return run
 
@@ -318,18 +334,17 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts(docs)
     train = texts.where(~F.col("held_out"))
-    counts = cut(train.select("text").mapInPandas(_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = cut(train.select("text").mapInPandas(_counts, "word long, w binary, c long").groupBy("word", "w").agg(F.sum("c").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    head, own = top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    end_key = Keys().of([END_WORD])[0]
-    class_of = FIRST + cluster(_followed(spark, train, head), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
-    class_of[head == end_key] = END
+    top = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    head, own = top["word"].to_numpy(), top["c"].to_numpy()
+    class_of = FIRST + cluster(triples(top["w"].to_pylist()), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
+    class_of[head == END_KEY] = END
     model = Model(head, own, class_of, sums["n"], sums["v"])
     in_tail = F.col("c") < 2
     if len(head) == HEAD:
         in_tail = (F.col("c") < int(own[-1])) | ((F.col("c") == int(own[-1])) & (F.col("word") > int(head[-1])))
-    tail = counts.where(in_tail)
+    tail = counts.where(in_tail).select("word", "c")
     rare = tail.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     if len(head):
         model.weights = _train(spark, train, model)
@@ -344,8 +359,8 @@ def score(docs: DataFrame) -> DataFrame:
     times = F.abs("n")
     c = F.coalesce("c", F.lit(0))
     inside = F.when(c > 0, F.log10((c - F.lit(discount)) / F.lit(mass))).otherwise(F.lit(float(np.log10(min(kept_back / mass, 1.0)))))
-    words = scored.select("rid", F.inline("tail")).join(tail, "word", "left")
+    words = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("times").alias("n")))).join(tail, "word", "left")
     added = words.groupBy("rid").agg(F.sum(times * F.log10((c + 0.5) / F.lit(float(base_norm)))).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("n") * inside).otherwise(0.0)).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"))
-    joined = scored.drop("tail").join(added, "rid", "left")
+    joined = scored.drop("tail", "times").join(added, "rid", "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).cast("long").alias("n_known"), F.lit(int(sums["n"])).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more")).alias("score"))
