@@ -74,7 +74,10 @@ def _anchor_rows(length: int, anchor: int):
 
 
 def _suffix_rows(length: int, anchor: int, whole: bool):
-    """Suffixes below a repeated anchor: prefix (16 words, or the whole path), path digest, document, first word."""
+    """Suffixes below a repeated anchor: prefix (16 words, or the whole path), path digest, document, first word.
+
+    A word said over and over gives equal paths word after word; they are one row with a length of run.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, PIECE):
@@ -86,11 +89,14 @@ def _suffix_rows(length: int, anchor: int, whole: bool):
                 at = np.flatnonzero(np.isin(signed(short)[place], np.asarray(wanted, np.int64)))
                 if len(at):
                     path = signed(window_digests(words, length))[at]
+                    first = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (at[1:] != at[:-1] + 1))))
+                    run = np.diff(np.append(first, len(at)))
+                    at, path = at[first], path[first]
                     prefix = path if whole else signed(short)[at]
-                    out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at))
+                    out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at, run))
             if out:
-                prefix, path, docs, at = map(np.concatenate, zip(*out, strict=True))
-                yield pd.DataFrame({"prefix": prefix.astype(np.int32), "path": path, "doc_id": docs, "at": at.astype(np.int32)})
+                prefix, path, docs, at, run = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"prefix": prefix.astype(np.int32), "path": path, "doc_id": docs, "at": at.astype(np.int32), "run": run.astype(np.int32)})
 
     return run
 
@@ -108,13 +114,13 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, smallest = paths[-1], low[-1]
         hit = docs > low
         if hit.any():
-            yield pd.DataFrame({"doc_id": docs[hit], "at": frame["at"].to_numpy()[hit]})
+            yield pd.DataFrame({"doc_id": docs[hit], "at": frame["at"].to_numpy()[hit], "run": frame["run"].to_numpy()[hit]})
 
 
 def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000) -> DataFrame:
-    """``(doc_id, starts)``: first words of the windows that a smaller document has too."""
+    """``(doc_id, starts)``: first words of the windows that a smaller document has too, as runs ``(at, run)``."""
     anchor = min(ANCHOR, length)
-    suffixes = "prefix int, path long, doc_id long, at int"
+    suffixes = "prefix int, path long, doc_id long, at int, run int"
     named = _named(docs)
     rows = cut(named.mapInPandas(_anchor_rows(length, anchor), "doc_id long, anchor long"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies")).where("low < high")
@@ -126,12 +132,12 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000
         return named.join(wanted, "doc_id").mapInPandas(_suffix_rows(length, anchor, large), suffixes)
 
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    small = below(False).repartition(spread, "prefix").sortWithinPartitions("path", "doc_id", "at").mapInPandas(_leaves, "doc_id long, at int")
+    small = below(False).repartition(spread, "prefix").sortWithinPartitions("path", "doc_id", "at").mapInPandas(_leaves, "doc_id long, at int, run int")
     node = below(True).groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "low")
     salted = node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     leaves = below(True).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    large = leaves.join(salted, ["path", "salt"]).where("doc_id > low").select("doc_id", "at")
-    return small.unionByName(large).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    large = leaves.join(salted, ["path", "salt"]).where("doc_id > low").select("doc_id", "at", "run")
+    return small.unionByName(large).groupBy("doc_id").agg(F.collect_list(F.struct("at", "run")).alias("starts"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -151,10 +157,10 @@ def _without(length: int):
                 gone = 0
                 if starts is not None and len(starts) and words:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.asarray(starts, np.int64)
-                    at = at[at < len(words)]
+                    at, run = np.array([(r["at"], r["run"]) for r in starts], np.int64).T
+                    at, run = at[at < len(words)], run[at < len(words)]
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, np.minimum(at + length, len(words)), -1)
+                    np.add.at(edge, np.minimum(at + run - 1 + length, len(words)), -1)
                     keep = edge[:-1].cumsum() == 0
                     gone = int(len(words) - keep.sum())
                     kept = [words[i] for i in np.flatnonzero(keep)]
@@ -173,5 +179,5 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, group_limit: int
     schema = "doc_id long, n_words long, n_removed long, text string"
     found = repeated_passages(docs, length, group_limit)
     named = _named(docs).join(found, "doc_id", "left").mapInPandas(_without(length), schema)
-    unnamed = _pair(docs).where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>")).mapInPandas(_without(length), schema)
+    unnamed = _pair(docs).where("doc_id is null").withColumn("starts", F.lit(None).cast("array<struct<at:int,run:int>>")).mapInPandas(_without(length), schema)
     return named.unionByName(unnamed)
