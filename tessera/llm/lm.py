@@ -329,6 +329,20 @@ def _score(held):
     return run
 
 
+def _least_count(counts: DataFrame) -> int:
+    """A count that at least ``HEAD`` words reach and not many more, from a histogram of seven leading bits.
+
+    Without it every partition would send its own ``HEAD`` words to the task that merges them.
+    """
+    bucket = F.expr("case when c < 128 then c else shiftleft(shiftright(c, length(bin(c)) - 7), length(bin(c)) - 7) end")
+    seen = 0
+    for low, n in sorted(map(tuple, counts.where("c > 1").groupBy(bucket.alias("low")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        seen += n
+        if seen >= HEAD:
+            return int(low)
+    return 2
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark = docs.sparkSession
@@ -336,7 +350,7 @@ def score(docs: DataFrame) -> DataFrame:
     train = texts.where(~F.col("held_out"))
     counts = cut(train.select("text").mapInPandas(_counts, "word long, w binary, c long").groupBy("word", "w").agg(F.sum("c").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    top = counts.where(F.col("c") >= _least_count(counts)).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head, own = top["word"].to_numpy(), top["c"].to_numpy()
     class_of = FIRST + cluster(triples(top["w"].to_pylist()), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
     class_of[head == END_KEY] = END
