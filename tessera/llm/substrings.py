@@ -76,7 +76,7 @@ def _anchor_rows(length: int, anchor: int):
 def _suffix_rows(length: int, anchor: int, whole: bool):
     """Suffixes below a repeated anchor: prefix (16 words, or the whole path), path digest, document, first word.
 
-    A word said over and over gives equal paths word after word; they are one row with a length of run.
+    A phrase said over and over gives equal paths at even steps; they are one row with a length of run.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,11 +89,10 @@ def _suffix_rows(length: int, anchor: int, whole: bool):
                 at = np.flatnonzero(np.isin(signed(short)[place], np.asarray(wanted, np.int64)))
                 if len(at):
                     path = signed(window_digests(words, length))[at]
-                    first = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (at[1:] != at[:-1] + 1))))
-                    run = np.diff(np.append(first, len(at)))
+                    first, reach = _runs(path, at, length)
                     at, path = at[first], path[first]
                     prefix = path if whole else signed(short)[at]
-                    out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at, run))
+                    out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at, reach + 1))
             if out:
                 prefix, path, docs, at, run = map(np.concatenate, zip(*out, strict=True))
                 yield pd.DataFrame({"prefix": prefix.astype(np.int32), "path": path, "doc_id": docs, "at": at.astype(np.int32), "run": run.astype(np.int32)})
@@ -101,6 +100,19 @@ def _suffix_rows(length: int, anchor: int, whole: bool):
     return run
 
 
+def _runs(path: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of first windows of runs with equal paths at even steps of ``length`` or less, and how far their last ones are."""
+    order = np.lexsort((at, path))
+    p, a = path[order], at[order]
+    step = np.diff(a, prepend=a[:1])
+    same = np.concatenate(([False], p[1:] == p[:-1])) & (step <= length)
+    inside = np.concatenate(([False], same[:-1]))  # the one before is in a run already
+    new = ~same | (inside & (step != np.concatenate((step[:1], step[:-1]))))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1
+    return order[first], a[last] - a[first]
+
+
 def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk sorted leaves; a run of equal paths is a deep node.  Gives leaves whose node has a smaller document."""
     path, smallest = None, None
