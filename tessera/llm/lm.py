@@ -15,7 +15,8 @@ the doc_id leaves remainder 1 by 5 are held out; everything is learned from the
    documents in batches; the partitions' weights are then mixed, each row in proportion
    to how often a partition has seen it, over a tree whose groups hold at most 64.
 4. Inside a class a word has its share of the class's training tokens.  In the tail one
-   count's discount, ``n1 / (n1 + 2 n2)``, is kept back for the one unknown word.  A head word
+   count's discount, ``n1 / (n1 + 2 n2)`` over all training words and kept between 0 and 1 by
+   half a word, is kept back for the one unknown word.  A head word
    equal to its predecessor sums both ways; for a tail word only the first is counted.
 
 ``score`` is the model's log10 probability of the text, computed in numpy batches; what
@@ -235,10 +236,10 @@ class Model:
         self.base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         self.weights = np.zeros((ROWS, CLASSES), np.float32)
 
-    def tail_shares(self, n1: int, n2: int) -> tuple[float, float]:
-        """The tail's training tokens and the discount kept back from each of its words."""
-        discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-        return float(self.total - self.counts.sum()), discount
+    def tail_shares(self, words: int, n1: int, n2: int) -> tuple[float, float, float]:
+        """The tail's training tokens, the discount kept back from each of its words, and the unknown word's share."""
+        mass, discount = float(self.total - self.counts.sum()), (n1 + 0.5) / (n1 + 2 * n2 + 1)
+        return mass, discount, discount * words / mass if words else 1.0
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -359,20 +360,18 @@ def score(docs: DataFrame) -> DataFrame:
     if len(head) == HEAD:
         in_tail = (F.col("c") < int(own[-1])) | ((F.col("c") == int(own[-1])) & (F.col("word") > int(head[-1])))
     tail = counts.where(in_tail).select("word", "c")
-    rare = tail.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    rare = counts.agg(F.count_if(in_tail).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     if len(head):
         model.weights = _train(spark, train, model)
     held = spark.sparkContext.broadcast(model)
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     scored = cut(numbered.mapInPandas(_score(held), _SCORED))
     # the tail's share of the scores
-    mass, discount = model.tail_shares(rare["n1"], rare["n2"])
-    kept_back = discount * max(rare["v"], 1)
-    mass = max(mass, 1.0) if rare["v"] else 1.0
+    mass, discount, unknown = model.tail_shares(rare["v"], rare["n1"], rare["n2"])
     base_norm = sums["n"] + 0.5 * (sums["v"] + 1)
     times = F.abs("n")
     c = F.coalesce("c", F.lit(0))
-    inside = F.when(c > 0, F.log10((c - F.lit(discount)) / F.lit(mass))).otherwise(F.lit(float(np.log10(min(kept_back / mass, 1.0)))))
+    inside = F.when(c > 0, F.log10((c - F.lit(discount)) / F.lit(mass))).otherwise(F.lit(float(np.log10(unknown))))
     words = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("times").alias("n")))).join(tail, "word", "left")
     added = words.groupBy("rid").agg(F.sum(times * F.log10((c + 0.5) / F.lit(float(base_norm)))).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("n") * inside).otherwise(0.0)).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"))
     joined = scored.drop("tail", "times").join(added, "rid", "left")

@@ -498,3 +498,30 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(lm.log_softmax(weights, rows)).sum(axis=1), 1, atol=1e-4)
     codes, starts = np.arange(9), np.array([0, 1, 3])
     assert lm._before(codes, starts, 2).tolist() == [lm.START] * 5 + [3, 4, 5, 6]
+
+
+def single_words(spark, texts, more=()):
+    """Training texts, and every word of theirs and some unknown ones as held-out texts of one word."""
+    held = (i for i in range(10_000, 10**6) if zlib.crc32(str(i).encode()) % 5 == 1)
+    kept = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 != 1)
+    alone = sorted({w for t in texts for w in t.split()}) + list(more)
+    rows = [*zip(kept, texts, strict=False), *zip(held, alone, strict=False)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 20])
+def test_texts_of_one_word_share_one_probability(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)  # the head not full and full
+    texts = [" ".join(["of", "the", f"often{i % 30}", f"once{i}", "and", f"rare{i}"]) for i in range(300)]
+    rows = [r for r in lm.score(single_words(spark, texts, ["never"])).collect() if r["held_out"]]
+    assert len(rows) == 634 and {r["n_tokens"] for r in rows} == {2}
+    assert sum(10 ** r["score"] for r in rows) <= 1
+
+
+def test_tail_shares_sum_to_one():
+    for head, tail, n1, n2 in (([5, 3], [1] * 7, 7, 0), ([9, 9], [4, 2, 2, 1, 1, 1], 3, 2), ([9], [3, 3], 0, 0), ([5, 3], [], 0, 0)):
+        own = np.array(head)
+        model = lm.Model(np.arange(len(own)), own, np.full(len(own), lm.FIRST), sum(head) + sum(tail), len(head) + len(tail))
+        mass, discount, unknown = model.tail_shares(len(tail), n1, n2)
+        assert 0 < discount < 1 and 0 < unknown <= 1
+        assert math.isclose(sum((c - discount) / mass for c in tail) + unknown, 1)
