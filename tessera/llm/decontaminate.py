@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Tokens are runs of letters, digits and underscores in the lower-cased text.  An item of
-``n`` tokens is held against every window of ``n`` tokens of a document.
+``n`` tokens is held against every window of ``n`` tokens of a document; with ``whole``, as
+the query and the pipeline have it, a document of fewer tokens is a window by itself.
 
-1. Two multisets of ``m`` shingles reach similarity ``t`` only with ``2 m t / (1 + t)`` in
-   common, so windows that hold fewer shingles of any item are passed over; none of them
+1. Multisets of ``m`` and ``l`` shingles reach similarity ``t`` only with ``(m + l) t / (1 + t)``
+   in common, so windows that hold fewer shingles of any item are passed over; none of them
    could match.
 2. Every such window and every item has a 64-bit SimHash over its shingles, repeats
    included.  Multi-index lookup: the 64 bits are cut into eight blocks; fingerprints
@@ -101,7 +102,7 @@ class Items:
         return window[close], item[close]
 
 
-def candidate_texts(items: Items, digests: WordDigests, texts: list[str | None], threshold: float) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+def candidate_texts(items: Items, digests: WordDigests, texts: list[str | None], threshold: float, whole: bool = False) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
     """``(text, shingles, their length, places of known shingles)`` of texts with enough known shingles for any item."""
     parts = [tokens(x) for x in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -115,31 +116,36 @@ def candidate_texts(items: Items, digests: WordDigests, texts: list[str | None],
         whose = np.searchsorted(ends, maybe, "right")
         inside = maybe + k <= ends[whose] if len(maybe) else maybe  # not across two texts
         maybe, whose = maybe[inside], whose[inside]
-        least = min(needed(n - k + 1, threshold) for n in items.by_size if min(SHINGLE, n) == k)
+        widths = [n - k + 1 for n in items.by_size if min(SHINGLE, n) == k]
+        least: dict[int, float] = {}  # by a text's shingles, as far as they matter
         text, first, count = np.unique(whose, return_index=True, return_counts=True)
         for t, f, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True):
-            if c >= least:
+            own = min(int(sizes[t]) - k + 1, max(widths))
+            if own not in least:
+                least[own] = min((needed(w, threshold, min(w, own)) for w in widths if whole or w <= own), default=np.inf)
+            if c >= least[own]:
                 start = int(ends[t] - sizes[t])
                 yield t, shingles[start : int(ends[t]) - k + 1], k, maybe[f : f + c] - start
 
 
-def needed(width: int, threshold: float) -> int:
-    """Shingles of an item that a window of as many shingles must share to reach the similarity."""
-    return max(1, int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9)))
+def needed(width: int, threshold: float, window: int | None = None) -> int:
+    """Shingles of an item that a window of as many shingles, or of ``window``, must share to reach the similarity."""
+    return max(1, int(np.ceil((width + (width if window is None else window)) * threshold / (1 + threshold) - 1e-9)))
 
 
-def matches(items: Items, digests: WordDigests, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int | None, float, int, int]]:
+def matches(items: Items, digests: WordDigests, texts: list[str | None], threshold: float, whole: bool = False) -> Iterator[tuple[int, int | None, float, int, int]]:
     """``(text, item_id, similarity, first word, words)``: the best window of every item that reaches the threshold in a text."""
-    for text, shingles, k, hits in candidate_texts(items, digests, texts, threshold):
+    for text, shingles, k, hits in candidate_texts(items, digests, texts, threshold, whole):
         flags = np.zeros(len(shingles) + 1, np.int64)
         flags[hits + 1] = 1
         upto = flags.cumsum()
         chosen: dict[tuple[int, int], tuple[float, int]] = {}
         for size, group in items.by_size.items():
-            width = size - k + 1
-            if min(SHINGLE, size) != k or width > len(shingles):
+            wanted = size - k + 1
+            width = min(wanted, len(shingles))
+            if min(SHINGLE, size) != k or width < wanted and not whole:
                 continue
-            starts = np.flatnonzero(upto[width:] - upto[:-width] >= needed(width, threshold))
+            starts = np.flatnonzero(upto[width:] - upto[:-width] >= needed(wanted, threshold, width))
             for at in range(0, len(starts), 1 << 14):
                 part = starts[at : at + (1 << 14)]
                 low = int(part[0])
@@ -149,12 +155,12 @@ def matches(items: Items, digests: WordDigests, texts: list[str | None], thresho
                     start = int(part[w])
                     inside = Counter(shingles[start : start + width].tolist())
                     both = sum(min(c, inside[s]) for s, c in group[i][1].items())
-                    similarity = both / (2 * width - both)
+                    similarity = both / (wanted + width - both)
                     old = chosen.get((size, i))
                     if similarity >= threshold and (old is None or (-similarity, start) < (-old[0], old[1])):
                         chosen[size, i] = (similarity, start)
         for (size, i), (similarity, start) in chosen.items():
-            yield text, items.by_size[size][i][0], similarity, start, size
+            yield text, items.by_size[size][i][0], similarity, start, min(size, len(shingles) + k - 1)
 
 
 def _blocks(benchmark: DataFrame, characters: int) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -170,7 +176,7 @@ def _blocks(benchmark: DataFrame, characters: int) -> Iterator[list[tuple[int |
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 28, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 28, block_characters: int = BLOCK_CHARACTERS, whole: bool = False) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)`` for every document and item that match; the best window of each."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -182,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             items, digests = Items(held.value, radius), WordDigests()
             for frame in batches(frames):
                 ids = frame["doc_id"].tolist()
-                rows = [(ids[t], *m) for t, *m in matches(items, digests, frame["text"].tolist(), threshold)]
+                rows = [(ids[t], *m) for t, *m in matches(items, digests, frame["text"].tolist(), threshold, whole)]
                 if rows:
                     doc, item, similarity, start, size = zip(*rows, strict=True)
                     yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in doc], "Int64"), "item_id": pd.array(item, "Int64"), "similarity": similarity, "first_word": start, "n_words": size})
@@ -192,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     return found if found is not None else spark.createDataFrame([], SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 28, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 28, block_characters: int = BLOCK_CHARACTERS, whole: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; no shuffle."""
     for block in _blocks(benchmark, block_characters):
         held = docs.sparkSession.sparkContext.broadcast(block)
@@ -203,7 +209,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
                 keep = np.ones(len(texts), bool)
                 for at in range(0, len(texts), 1000):
-                    keep[[at + t for t, *_ in matches(items, digests, texts[at : at + 1000], threshold)]] = False
+                    keep[[at + t for t, *_ in matches(items, digests, texts[at : at + 1000], threshold, whole)]] = False
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

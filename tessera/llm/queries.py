@@ -36,7 +36,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return decontaminate.contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"), whole=True)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

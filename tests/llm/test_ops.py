@@ -525,3 +525,31 @@ def test_tail_shares_sum_to_one():
         mass, discount, unknown = model.tail_shares(len(tail), n1, n2)
         assert 0 < discount < 1 and 0 < unknown <= 1
         assert math.isclose(sum((c - discount) / mass for c in tail) + unknown, 1)
+
+
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    draw = np.random.default_rng(6)
+    items = [(k, " ".join(f"t{draw.integers(0, 90)}" for _ in range(n))) for k, n in enumerate((3, 6, 15, 25, 40, 63))]
+    rows = [(0, None), (1, ""), (2, "t1")]
+    for _, text in items:
+        w = text.split()
+        for cut in (0, 1, 2, 4, 7):
+            rows += [(len(rows), " ".join(w[cut:])), (len(rows) + 1, " ".join(w[: len(w) - cut])), (len(rows) + 2, " ".join([*w[cut:], "more"]))]
+    want = plain_contaminated(rows, items)
+    for i, text in rows:
+        w = (text or "").split()
+        for k, item in items:
+            n = item.split()
+            size = min(5, len(n))
+            if len(w) < len(n):
+                a, b = (Counter(tuple(x[p : p + size]) for p in range(len(x) - size + 1)) for x in (w, n))
+                if (a & b).total() / (a | b).total() >= 0.8:
+                    want[i, k] = ((a & b).total() / (a | b).total(), 0)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs, benchmark, whole=True).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in got} == want
+    texts = dict(rows)
+    assert all(r["n_words"] == min(len(texts[r["doc_id"]].split()), len(dict(items)[r["item_id"]].split())) for r in got)
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark, whole=True).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in want}
+    assert len(want) > len(plain_contaminated(rows, items))
