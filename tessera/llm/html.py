@@ -4,7 +4,10 @@ A tolerant reader builds a tree: raw-text elements end at their own end tag only
 elements have no children, a paragraph, list item or cell ends where HTML lets its end
 tag be left out, and stray end tags are ignored.  Elements that never belong to an
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments), known by tag, role, class or id, are left out of the tree.
+reader comments), known by tag, role, class or id, are left out of the tree.  A class or id
+speaks by its last part, words of place aside, and not after "has", "with", "no" and the
+like.  What it names stays nevertheless where no article or main element stands outside what
+is left out and it holds one, or more than half of the body's text.
 
 For every node ``density`` is its characters per tag, adjusted by its links: with C
 characters, T tags, LC link characters, LT link tags and Cb, LCb those of the body,
@@ -43,31 +46,60 @@ SCOPES = frozenset("ul ol dl table select article section div body html".split()
 #: What never belongs to an article.
 LEFT_OUT = frozenset("head script style noscript template iframe object embed svg canvas nav header footer aside form button select textarea input label menu dialog title noembed noframes".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-LEFT_OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|notice|notification|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|comments?|disqus|replies|respond|pagination|pager|widget|toolbar)(?:$|[\s_-])", re.I)
+LEFT_OUT_NAMES = re.compile(
+    r"(?<!\S)(?!(?:\S*[_-])?(?:has|with|without|no|not|is|hide|show|toggle)[_-])(?:\S*[_-])?"
+    r"(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|notice|notification|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|comments?|disqus|replies|respond|pagination|pager|widget|toolbar)"
+    r"(?:[_-](?:left|right|top|bottom|inner|outer|wrap|wrapper|container|box|bar|block|area|section|panel|slot|unit|list|items?|links?|buttons?|posts?|articles?|form|[0-9]+))*(?!\S)",
+    re.I,
+)
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "links", "out", "parent", "tag", "tags", "total")
+    __slots__ = ("children", "chars", "density", "link_chars", "links", "named", "out", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
+        self.tag, self.parent, self.out, self.named = tag, parent, out, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out whatever it holds, and whether its class or id says so."""
     if tag in LEFT_OUT:
-        return True
+        return True, False
     if "=" not in attributes or tag in ("body", "html", "article", "main"):
-        return "hidden" in attributes.lower().split()
+        return "hidden" in attributes.lower().split(), False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "role" and value.strip().lower() in LEFT_OUT_ROLES or name in ("class", "id") and LEFT_OUT_NAMES.search(value) or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "role" and value.strip().lower() in LEFT_OUT_ROLES or name == "aria-hidden" and value == "true":
+            return True, False
+        named = named or name in ("class", "id") and LEFT_OUT_NAMES.search(value) is not None
+    return False, named
+
+
+def _prune(root: Node) -> None:
+    """Leave out what class or id names, but for what holds the page's article."""
+    order = [(root, False)]  # nodes, and whether a name above or their own speaks against them
+    for node, named in order:
+        order.extend((c, named or c.named) for c in node.children if isinstance(c, Node) and not c.out)
+    if not any(node.named for node, _ in order):
+        return
+    holds = {}
+    body = next((node for node, _ in order if node.tag == "body"), root)
+    for node, _ in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and not c.out]
+        node.chars = sum(c.chars for c in inside) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        holds[node] = node.tag in ("article", "main") or any(holds[c] for c in inside)
+    if any(node.tag in ("article", "main") and not named for node, named in order):
+        stays = set()
+    else:
+        stays = {node for node, _ in order if node.named and (holds[node] or 2 * node.chars > body.chars)}
+    for node, _ in order:
+        node.out = node.named and node not in stays
 
 
 def tree(page: str) -> Node:
@@ -105,7 +137,9 @@ def tree(page: str) -> Node:
             close({"p"}, SCOPES)
         if tag in SIBLINGS:
             close(SIBLINGS[tag], frozenset("ul ol dl table select".split()))
-        node = Node(tag, here, here.out or _left_out(tag, found[3]))
+        out, named = _left_out(tag, found[3])
+        node = Node(tag, here, here.out or out)
+        node.named = named
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -114,6 +148,7 @@ def tree(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
             here = node
+    _prune(root)
     return root
 
 

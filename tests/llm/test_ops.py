@@ -553,3 +553,15 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark, whole=True).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
     assert len(want) > len(plain_contaminated(rows, items))
+
+
+def test_names_that_only_mention_a_left_out_part():
+    prose = "Some words of an article that go on for a while. " * 5
+    rest = "<div class='sidebar-left'><p>aside</p></div><div id=ad-slot-2>buy</div><div class='site-header wide'>Site</div>"
+    for name in ("content has-sidebar", "layout with-sidebar", "no-comments", "post social-share-enabled", "header-image-on", "sidebar", "content-sidebar-wrap"):
+        page = f"<html><body>{rest}<div class='{name}'><h2>Title</h2><p>{prose}</p></div></body></html>"
+        assert html.main_text(page) == f"Title\n\n{prose.strip()}"
+    held = f"<body><div class='modal overlay'><article><p>Brief.</p></article></div><div class=footer-links><a href=x>{prose}</a></div></body>"
+    assert html.main_text(held) == "Brief."
+    comments = f"<body><article><p>Brief.</p></article><section class=comments><article><p>{prose}</p></article></section></body>"
+    assert html.main_text(comments) == "Brief."
