@@ -7,10 +7,11 @@ the doc_id leaves remainder 1 by 5 are held out; everything is learned from the
    frequent words that occur twice are the head, a bounded number that may be broadcast; all others are the
    tail, and their counts are only ever joined by key.
 2. Classes: one for "the previous word again", one for the tail, one for the end, and
-   clusters of head words by their letter triples, weighted by their counts.
+   clusters of head words by the words they follow (counted over all training text).
 3. The class model is a maximum-entropy model of the next class.  Features of the context:
    previous word, previous two words together, the word before the previous (a skip),
-   and a constant; rare words and pairs are hashed to a fixed number of rows.
+   the one before that (a wider skip), and a constant; rare words, pairs and wider skips are
+   hashed to a fixed number of rows.
    Every partition makes adaptive gradient updates on its own
    documents in batches; the partitions' weights are then mixed, each row in proportion
    to how often a partition has seen it, over a tree whose groups hold at most 64.
@@ -30,7 +31,6 @@ unknown, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 from tessera.llm.words import batches, hashed_words
 from tessera.plans.lineage import cut
 
-HEAD, CLASSES = 65_536, 24
-#: Rows of the weight table: own rows of frequent words, hashed rows of other words, of pairs.
-OWN, OTHER, PAIRS = 8_192, 4_096, 16_384
+HEAD, CLASSES = 65_536, 32
+#: Rows of the weight table: own rows of frequent words, hashed rows of other words, of pairs, of wider skips.
+OWN, OTHER, PAIRS, WIDE = 8_192, 4_096, 16_384, 4_096
 WORD_ROWS = OWN + OTHER
-ROWS = 1 + 2 * WORD_ROWS + PAIRS
-TRIPLES, BATCH, BLOCK, FAN = 64, 8_192, 512, 64
+ROWS = 1 + 2 * WORD_ROWS + PAIRS + WIDE
+FOLLOWED, BATCH, BLOCK, FAN = 64, 8_192, 512, 64
 REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
 #: Key of the end, which no word has but by chance, code before a text, characters of a piece.
 END_KEY, START, PIECE = (1 << 62) + 1, -1 - HEAD, 2_000_000
@@ -102,10 +102,9 @@ class Places:
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches(frames, 2 * PIECE):
-        digests, _, starts, ends, joined = hashed_words(frame["text"].tolist())
-        found, first, n = np.unique((digests >> np.uint64(1)).astype(np.int64), return_index=True, return_counts=True)
-        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        yield pd.DataFrame({"word": np.append(found, END_KEY), "w": [*words, b"\n"], "c": np.append(n, len(frame)).astype(np.int64)})
+        digests, *_ = hashed_words(frame["text"].tolist())
+        found, n = np.unique((digests >> np.uint64(1)).astype(np.int64), return_counts=True)
+        yield pd.DataFrame({"word": np.append(found, END_KEY), "c": np.append(n, len(frame)).astype(np.int64)})
 
 
 def _hashed(values: np.ndarray, rows: int) -> np.ndarray:
@@ -135,10 +134,10 @@ def _before(codes: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
 
 
 def context_rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of every token's context, ``(tokens, 3)``, and the codes of the previous tokens."""
-    one, two = (_before(codes, starts, k) for k in (1, 2))
+    """Weight rows of every token's context, ``(tokens, 4)``, and the codes of the previous tokens."""
+    one, two, three = (_before(codes, starts, k) for k in (1, 2, 3))
     pair = _hashed(one * np.int64(31) + two * np.int64(1_000_003), PAIRS)
-    rows = np.stack([1 + _word_rows(one), 1 + WORD_ROWS + _word_rows(two), 1 + 2 * WORD_ROWS + pair], axis=1).astype(np.int32)
+    rows = np.stack([1 + _word_rows(one), 1 + WORD_ROWS + _word_rows(two), 1 + 2 * WORD_ROWS + pair, 1 + 2 * WORD_ROWS + PAIRS + _hashed(three, WIDE)], axis=1).astype(np.int32)
     return rows, one
 
 
@@ -195,20 +194,11 @@ def _sequences(frame: pd.DataFrame, places: Places) -> tuple[np.ndarray, np.ndar
     return places.codes(keys), starts
 
 
-def triples(words: list[bytes]) -> np.ndarray:
-    """Shares of hashed letter triples of each word, edges included."""
-    out = np.zeros((len(words), TRIPLES), np.float32)
-    for i, word in enumerate(words):
-        edged = b"^" + word + b"$"
-        for k in range(len(edged) - 2):
-            out[i, zlib.crc32(edged[k : k + 3]) % TRIPLES] += 1
-    return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
-
-
 def cluster(points: np.ndarray, counts: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
-    """Groups of like points, the frequent ones counting more; the same whenever it runs."""
+    """Groups of like rows of counts by their shares, the frequent ones counting more; the same whenever it runs."""
     if groups < 1 or not len(points):
         return np.zeros(len(points), np.int64)
+    points = np.sqrt(points / np.maximum(points.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     weight = np.sqrt(counts.astype(np.float32))
     centres = [points[0]]
     far = np.full(len(points), np.inf, np.float32)
@@ -247,6 +237,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
 
+def _followed(spark, train: DataFrame, head: np.ndarray) -> np.ndarray:
+    """How often each head word follows each of the most frequent words (the last column: any other)."""
+    held = spark.sparkContext.broadcast(head)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, size = Places(held.value), len(held.value) * FOLLOWED
+        sums = np.zeros(size, np.int64)
+        for frame in batches(frames, 2 * PIECE):
+            all_codes, starts = _sequences(frame, codes)
+            place = -1 - _before(all_codes, starts, 1)
+            column = np.where((place >= 0) & (place < FOLLOWED - 1), place, FOLLOWED - 1)
+            own = all_codes < 0
+            sums += np.bincount((-1 - all_codes[own]) * FOLLOWED + column[own], minlength=size)
+        cell = np.flatnonzero(sums)
+        for at in range(0, len(cell), 100_000):
+            part = cell[at : at + 100_000]
+            yield pd.DataFrame({"cell": part, "n": sums[part]})
+
+    found = train.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(head) * FOLLOWED, np.float32)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(len(head), FOLLOWED)
+
+
 def _train(spark, train: DataFrame, model: Model) -> np.ndarray:
     """Weights after one pass of every partition over its documents and a tree of mixtures."""
     held = spark.sparkContext.broadcast((model.head, model.class_of))
@@ -349,11 +363,11 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts(docs)
     train = texts.where(~F.col("held_out"))
-    counts = cut(train.select("text").mapInPandas(_counts, "word long, w binary, c long").groupBy("word", "w").agg(F.sum("c").alias("c")))
+    counts = cut(train.select("text").mapInPandas(_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.where(F.col("c") >= _least_count(counts)).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head, own = top["word"].to_numpy(), top["c"].to_numpy()
-    class_of = FIRST + cluster(triples(top["w"].to_pylist()), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
+    class_of = FIRST + cluster(_followed(spark, train, head), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
     class_of[head == END_KEY] = END
     model = Model(head, own, class_of, sums["n"], sums["v"])
     in_tail = F.col("c") < 2

@@ -565,3 +565,24 @@ def test_names_that_only_mention_a_left_out_part():
     assert html.main_text(held) == "Brief."
     comments = f"<body><article><p>Brief.</p></article><section class=comments><article><p>{prose}</p></article></section></body>"
     assert html.main_text(comments) == "Brief."
+
+
+def test_classes_are_learned_from_the_corpus(spark):
+    texts = [f"the {n} is {a} now" for n in ("cat", "red", "ox", "mill") for a in ("wet", "bad", "odd", "calm")] * 3
+    counts = Counter(w for t in texts for w in t.split())
+    head = sorted(counts, key=lambda w: (-counts[w], w))
+    keys = np.concatenate([lm.keyed([w])[0][:1] for w in head])
+    follows = lm._followed(spark, spark.createDataFrame([(t,) for t in texts], "text string"), keys)
+    place = {w: i for i, w in enumerate(head)}
+    assert follows[place["cat"], place["the"]] == 12 and follows[place["wet"], place["is"]] == 12 and follows.sum() == sum(counts.values())
+    group = lm.cluster(follows, np.array([counts[w] for w in head]), 4)
+    nouns, words = ({group[place[w]] for w in x} for x in (("cat", "red", "ox", "mill"), ("wet", "bad", "odd", "calm")))
+    assert len(nouns) == len(words) == 1 and nouns != words
+
+
+def test_wider_skip_is_a_feature():
+    starts = np.array([0])
+    rows, _ = lm.context_rows(np.arange(5), starts)
+    other, _ = lm.context_rows(np.array([7, 1, 2, 3, 4]), starts)
+    assert lm.CLASSES == 32 and rows.shape == (5, 4) and rows.max() < lm.ROWS
+    assert (rows[3] != other[3]).tolist() == [False, False, False, True]
