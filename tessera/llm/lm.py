@@ -15,7 +15,10 @@ the doc_id leaves remainder 1 by 5 are held out; everything is learned from the
    Every partition makes adaptive gradient updates on its own
    documents in batches; the partitions' weights are then mixed, each row in proportion
    to how often a partition has seen it, over a tree whose groups hold at most 64.
-4. Inside a class a word has its share of the class's training tokens.  In the tail one
+4. Inside a class of head words the word is chosen by softmaxes over the same features along
+   a tree of ``WAYS`` branches whose frequent words are near the root (Huffman's), so that its
+   chance is normalised over the class's words.  A branch's share of training tokens is the
+   softmax's prior; pairs of feature and node are hashed to a fixed number of rows.  In the tail one
    count's discount, ``n1 / (n1 + 2 n2)`` over all training words and kept between 0 and 1 by
    half a word, is kept back for the one unknown word.  A head word
    equal to its predecessor sums both ways; for a tail word only the first is counted.
@@ -31,6 +34,7 @@ unknown, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ HEAD, CLASSES = 65_536, 32
 OWN, OTHER, PAIRS, WIDE = 8_192, 4_096, 16_384, 4_096
 WORD_ROWS = OWN + OTHER
 ROWS = 1 + 2 * WORD_ROWS + PAIRS + WIDE
+#: Rows of weights inside classes, the row of all nodes first, and branches of a node.
+INNER, WAYS = 65_536, 16
 FOLLOWED, BATCH, BLOCK, FAN = 64, 8_192, 512, 64
 REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
 #: Key of the end, which no word has but by chance, code before a text, characters of a piece.
@@ -146,12 +152,14 @@ def labels(codes: np.ndarray, previous: np.ndarray, class_of: np.ndarray) -> np.
     return np.where(codes == previous, REPEAT, kind)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     logits = weights.take(rows[:, 0], axis=0)
     logits += weights[0]
     for k in range(1, rows.shape[1]):
         logits += weights.take(rows[:, k], axis=0)
     np.clip(logits, -60, 60, out=logits)  # within what float32 can raise e to
+    if prior is not None:
+        logits += prior
     logits -= np.log(np.exp(logits) @ np.ones((weights.shape[1], 1), np.float32))
     return logits
 
@@ -159,15 +167,15 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adaptive gradient updates of one partition."""
 
-    def __init__(self) -> None:
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
-        self.squares = np.full((ROWS, CLASSES), 1.0, np.float32)
-        self.seen = np.zeros(ROWS, np.int64)
+    def __init__(self, rows: int, width: int) -> None:
+        self.weights = np.zeros((rows, width), np.float32)
+        self.squares = np.full((rows, width), 1.0, np.float32)
+        self.seen = np.zeros(rows, np.int64)
 
-    def update(self, rows: np.ndarray, wanted: np.ndarray) -> None:
-        gradient = np.exp(log_softmax(self.weights, rows))
+    def update(self, rows: np.ndarray, wanted: np.ndarray, prior: np.ndarray | None = None) -> None:
+        gradient = np.exp(log_softmax(self.weights, rows, prior))
         gradient[np.arange(len(wanted)), wanted] -= 1
-        flat = rows.T.ravel().astype(np.uint16)  # ROWS fit, and short keys are sorted by digits
+        flat = rows.T.ravel().astype(np.uint16)  # ROWS and INNER fit, and short keys are sorted by digits
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
@@ -215,16 +223,60 @@ def cluster(points: np.ndarray, counts: np.ndarray, groups: int, rounds: int = 1
     return near
 
 
+class Trees:
+    """For every class a tree of its words: each word's nodes and branches from the root, -1 beyond; each node's log shares."""
+
+    def __init__(self, class_of: np.ndarray, counts: np.ndarray) -> None:
+        shares, paths = [], [[] for _ in range(len(class_of))]
+        for c in np.unique(class_of):
+            members = np.flatnonzero(class_of == c).tolist()
+            heap = [(int(counts[i]), -i) for i in members]
+            heapq.heapify(heap)
+            up: dict[int, tuple[int, int]] = {}  # member, as -i, or node, as 1 + its number, to node and branch
+            take = 2 + (len(members) - 2) % (WAYS - 1)
+            while len(heap) > 1:
+                inside = [heapq.heappop(heap) for _ in range(take)]
+                total, node = sum(n for n, _ in inside), len(shares)
+                shares.append([np.log(n / total) for n, _ in inside] + [-1e4] * (WAYS - take))
+                up.update((item, (node, branch)) for branch, (_, item) in enumerate(inside))
+                heapq.heappush(heap, (total, 1 + node))
+                take = WAYS
+            for i in members:
+                at = -i
+                while at in up:
+                    paths[i].append(up[at])
+                    at = 1 + up[at][0]
+        self.shares = np.array(shares, np.float32).reshape(-1, WAYS)
+        depth = max(map(len, paths), default=0)
+        flat = np.array([p + [(-1, -1)] * (depth - len(p)) for p in paths], np.int32).reshape(len(class_of), depth, 2)
+        self.node, self.branch = flat[..., 0], flat[..., 1]
+
+    def steps(self, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All choices on the ways to head words: whose, their weight rows, branches taken, and priors."""
+        node = self.node[places]
+        whose, depth = np.nonzero(node >= 0)
+        node = node[whose, depth]
+        inner = 1 + _hashed(rows[whose].astype(np.int64) + ROWS * (1 + node[:, None].astype(np.int64)), INNER - 1)
+        return whose, inner, self.branch[places[whose], depth], self.shares[node]
+
+    def logs(self, weights: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Log chance of each head word inside its class after its context."""
+        whose, inner, branch, prior = self.steps(places, rows)
+        if not len(whose):
+            return np.zeros(len(places))
+        found = log_softmax(weights, inner, prior)[np.arange(len(whose)), branch]
+        return np.bincount(whose, found, len(places))
+
+
 class Model:
     """Head, classes and weights: sizes fixed by the constants above."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, class_of: np.ndarray, total: int, distinct: int) -> None:
         self.head, self.counts, self.class_of = head, counts, class_of
         self.total, self.distinct = total, distinct
-        sizes = np.bincount(class_of, counts, CLASSES)
-        self.inside = np.log(counts / np.maximum(sizes[class_of], 1)) if len(head) else np.zeros(0)
+        self.trees = Trees(class_of, counts)
         self.base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.weights, self.inner = np.zeros((ROWS, CLASSES), np.float32), np.zeros((INNER, WAYS), np.float32)
 
     def tail_shares(self, words: int, n1: int, n2: int) -> tuple[float, float, float]:
         """The tail's training tokens, the discount kept back from each of its words, and the unknown word's share."""
@@ -261,30 +313,37 @@ def _followed(spark, train: DataFrame, head: np.ndarray) -> np.ndarray:
     return out.reshape(len(head), FOLLOWED)
 
 
-def _train(spark, train: DataFrame, model: Model) -> np.ndarray:
-    """Weights after one pass of every partition over its documents and a tree of mixtures."""
-    held = spark.sparkContext.broadcast((model.head, model.class_of))
+def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and inside them after one pass of every partition over its documents and a tree of mixtures."""
+    held = spark.sparkContext.broadcast((model.head, model.class_of, model.trees))
+    inner_from = -(-ROWS // BLOCK)  # blocks of the weights inside classes come after the others
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, class_of = held.value
-        codes, trainer = Places(head), Trainer()
+        head, class_of, trees = held.value
+        codes, trainer, inside = Places(head), Trainer(ROWS, CLASSES), Trainer(INNER, WAYS)
         for frame in batches(frames, PIECE):
             all_codes, starts = _sequences(frame, codes)
             rows, previous = context_rows(all_codes, starts)
             wanted = labels(all_codes, previous, class_of)
             for at in range(0, len(wanted), BATCH):
-                trainer.update(rows[at : at + BATCH], wanted[at : at + BATCH])
+                part = slice(at, at + BATCH)
+                trainer.update(rows[part], wanted[part])
+                own = np.flatnonzero((all_codes[part] < 0) & (wanted[part] != REPEAT))
+                _, inner, branch, prior = trees.steps(-1 - all_codes[part][own], rows[part][own])
+                if len(branch):
+                    inside.update(inner, branch, prior)
         shard = TaskContext.get().partitionId()
-        for block in range(-(-ROWS // BLOCK)):
-            part = slice(block * BLOCK, (block + 1) * BLOCK)
-            if trainer.seen[part].any():
-                yield pd.DataFrame({"shard": [shard], "block": [block], "seen": [trainer.seen[part].tobytes()], "weights": [trainer.weights[part].tobytes()]})
+        for which, low in ((trainer, 0), (inside, inner_from)):
+            for block in range(-(-len(which.seen) // BLOCK)):
+                part = slice(block * BLOCK, (block + 1) * BLOCK)
+                if which.seen[part].any():
+                    yield pd.DataFrame({"shard": [shard], "block": [low + block], "seen": [which.seen[part].tobytes()], "weights": [which.weights[part].tobytes()]})
 
     def mixed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         seen = [np.frombuffer(x, np.int64) for x in rows["seen"]]
         total = np.sum(seen, axis=0)
-        weights = sum(n[:, None] * np.frombuffer(w, np.float32).reshape(-1, CLASSES).astype(np.float64) for n, w in zip(seen, rows["weights"], strict=True))
+        weights = sum(n[:, None] * np.frombuffer(w, np.float32).reshape(len(total), -1).astype(np.float64) for n, w in zip(seen, rows["weights"], strict=True))
         weights = (weights / np.maximum(total, 1)[:, None]).astype(np.float32)
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0]) // FAN], "block": [int(rows["block"].iloc[0])], "seen": [total.tobytes()], "weights": [weights.tobytes()]})
 
@@ -296,11 +355,12 @@ def _train(spark, train: DataFrame, model: Model) -> np.ndarray:
         shards = -(-shards // FAN)
         if shards <= 1:
             break
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights, inner = np.zeros((ROWS, CLASSES), np.float32), np.zeros((INNER, WAYS), np.float32)
     for row in parts.select("block", "weights").collect():
-        found = np.frombuffer(row["weights"], np.float32).reshape(-1, CLASSES)
-        weights[row["block"] * BLOCK : row["block"] * BLOCK + len(found)] = found
-    return weights
+        whole, block = (weights, row["block"]) if row["block"] < inner_from else (inner, row["block"] - inner_from)
+        found = np.frombuffer(row["weights"], np.float32).reshape(-1, whole.shape[1])
+        whole[block * BLOCK : block * BLOCK + len(found)] = found
+    return weights, inner
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
@@ -321,7 +381,8 @@ def _score(held):
                 logs = log_softmax(model.weights, rows[part])
                 own = logs[np.arange(len(logs)), wanted[part]].astype(np.float64)
                 if len(model.head):
-                    inside = model.inside[place[part]]
+                    inside, known = np.zeros(len(own)), np.flatnonzero(in_head[part])
+                    inside[known] = model.trees.logs(model.inner, place[part][known], rows[part][known])
                     again = in_head[part] & (wanted[part] == REPEAT)
                     plain = in_head[part] & ~again
                     both = np.logaddexp(own, logs[np.arange(len(logs)), model.class_of[place[part]]] + inside)
@@ -376,7 +437,7 @@ def score(docs: DataFrame) -> DataFrame:
     tail = counts.where(in_tail).select("word", "c")
     rare = counts.agg(F.count_if(in_tail).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     if len(head):
-        model.weights = _train(spark, train, model)
+        model.weights, model.inner = _train(spark, train, model)
     held = spark.sparkContext.broadcast(model)
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     scored = cut(numbered.mapInPandas(_score(held), _SCORED))

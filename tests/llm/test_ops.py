@@ -586,3 +586,27 @@ def test_wider_skip_is_a_feature():
     other, _ = lm.context_rows(np.array([7, 1, 2, 3, 4]), starts)
     assert lm.CLASSES == 32 and rows.shape == (5, 4) and rows.max() < lm.ROWS
     assert (rows[3] != other[3]).tolist() == [False, False, False, True]
+
+
+def test_words_of_a_class_share_one_probability_after_any_context():
+    draw = np.random.default_rng(4)
+    counts = np.sort(draw.integers(2, 5000, 400))[::-1]
+    class_of = draw.choice([lm.FIRST, lm.FIRST + 1, lm.FIRST + 2], 400, p=[0.9, 0.08, 0.02])
+    class_of[7] = lm.END
+    trees = lm.Trees(class_of, counts)
+    places, context = np.arange(400), np.tile(draw.integers(1, lm.ROWS, (1, 4)), (400, 1)).astype(np.int32)
+    plain = trees.logs(np.zeros((lm.INNER, lm.WAYS), np.float32), places, context)
+    assert np.allclose(plain, np.log(counts / np.bincount(class_of, counts)[class_of]), atol=1e-4)
+    found = trees.logs(draw.normal(size=(lm.INNER, lm.WAYS)).astype(np.float32), places, context)
+    assert np.allclose(np.bincount(class_of, np.exp(found))[lm.END :], 1, atol=1e-4) and not np.allclose(found, plain, atol=0.1)
+
+
+def test_context_tells_apart_words_of_one_class():
+    trees, trainer = lm.Trees(np.full(40, lm.FIRST), np.full(40, 10)), lm.Trainer(lm.INNER, lm.WAYS)
+    contexts = np.array([[1, 2, 3, 4], [5, 6, 7, 8]], np.int32).repeat(20, axis=0)
+    said = np.array([11, 30]).repeat(20)
+    for _ in range(20):
+        _, inner, branch, prior = trees.steps(said, contexts)
+        trainer.update(inner, branch, prior)
+    after = lambda word: trees.logs(trainer.weights, np.array([word, word]), contexts[[0, 20]])
+    assert after(11)[0] > after(11)[1] + 1 and after(30)[1] > after(30)[0] + 1
