@@ -5,7 +5,8 @@
    are seeds of a fifth kind, ``secret``.
 2. Candidates.  Every other token with a digit, "@" or "=" might be an identifier.  Seeds
    and candidates carry their lexical contexts: the word before, the two words before,
-   the word after, and a leading ``key=`` or ``key:``.
+   the word after, and a leading ``key=`` or ``key:``.  A token of over ``LONG`` characters
+   (JSON without spaces, a long URL) is read in pieces, each with its own key.
 3. Patterns.  A context is a pattern of a kind if at least three different seeds, and one
    in a thousand of that kind's, have it; a seed has at most four contexts, so there are at
    most 4 000 patterns of a kind and they may be broadcast.  A pass over all texts counts
@@ -47,6 +48,8 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=
 _TOKEN = re.compile(WORD)
 _MARKS = re.compile(r"[0-9@=]")
 _KEYED = re.compile(r"([A-Za-z_][A-Za-z0-9_-]{1,40})[=:](?=.)")
+LONG = 512
+_PIECE = re.compile(r"(?:([A-Za-z_][A-Za-z0-9_-]{1,40})[\"']?[=:][\"']?)?([^&,;\"'?{}\[\]]+)")
 _EDGES = "\"'`()[]{}<>,;.!?#*$%&|"
 
 
@@ -98,13 +101,23 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2])))
 
 
+def pieces(token: str) -> Iterator[tuple[str | None, int, int]]:
+    """Key or nothing, start and end of a token's values: one, or those of a long token's pieces."""
+    if len(token) <= LONG:
+        keyed = _KEYED.match(token)
+        yield keyed[1] if keyed else None, keyed.end() if keyed else 0, len(token)
+    else:
+        for m in _PIECE.finditer(token):
+            yield m[1], m.start(2), m.end(2)
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, list[str]]]:
     """``(start, end, kind or nothing, value, contexts)`` of seeds and of tokens that might be identifiers."""
     if not _MARKS.search(text):
         return []
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     starts = [a for a, _ in spans]
-    word = lambda i: text[spans[i][0] : spans[i][1]][:64].lower()
+    word = lambda i: text[spans[i][0] : spans[i][1]].lower()
 
     def contexts(start: int, end: int, key: str | None) -> list[str]:
         first = bisect_left(starts, start + 1) - 1
@@ -118,22 +131,39 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             out.append(f"R {word(last + 1)}")
         return out
 
-    out, taken = [], [(a, b) for _, a, b in base]
+    out: list[tuple[int, int, str | None, str, list[str]]] = []
+    opened, closed = [], []  # base spans, overlapping ones joined
+    keys: tuple[int, dict[int, str]] = (-1, {})  # keys before a long token's values
     for kind, a, b in base:
         first = bisect_left(starts, a + 1) - 1
-        keyed = _KEYED.match(text, spans[first][0], a)
-        out.append((a, b, kind, text[a:b], contexts(a, b, keyed[1].lower() if keyed and keyed.end() == a else None)))
+        if spans[first][1] - spans[first][0] > LONG:
+            if keys[0] != first:
+                low, high = spans[first]
+                keys = first, {low + s: key for key, s, _ in pieces(text[low:high]) if key}
+            key = keys[1].get(a)
+        else:
+            keyed = _KEYED.match(text, spans[first][0], a)
+            key = keyed[1] if keyed and keyed.end() == a else None
+        out.append((a, b, kind, text[a:b], contexts(a, b, key.lower() if key else None)))
+        if closed and a < closed[-1]:
+            closed[-1] = max(closed[-1], b)
+        else:
+            opened.append(a)
+            closed.append(b)
     for a, b in spans:
         token = text[a:b]
-        if not _MARKS.search(token) or len(token) > 512 or any(x < b and a < y for x, y in taken):
+        if not _MARKS.search(token):
             continue
-        keyed = _KEYED.match(token)
-        start = a + (keyed.end() if keyed else 0)
-        bare = text[start:b].lstrip(_EDGES)
-        start, value = b - len(bare), bare.rstrip(_EDGES)
-        if len(value) >= 4 and (keyed or any(c.isdigit() or c == "@" for c in value)):
-            secret = _SECRET.fullmatch(value)
-            out.append((start, start + len(value), "secret" if secret else None, value, contexts(start, start + len(value), keyed[1].lower() if keyed else None)))
+        for key, low, high in pieces(token):
+            low, high = a + low, a + high
+            before = bisect_left(opened, high) - 1
+            if before >= 0 and closed[before] > (a if b - a <= LONG else low):
+                continue
+            bare = text[low:high].lstrip(_EDGES)
+            start, value = high - len(bare), bare.rstrip(_EDGES)
+            if len(value) >= 4 and (key or any(c.isdigit() or c == "@" for c in value)):
+                secret = _SECRET.fullmatch(value)
+                out.append((start, start + len(value), "secret" if secret else None, value, contexts(start, start + len(value), key.lower() if key else None)))
     return out
 
 
@@ -163,7 +193,7 @@ def _occurrences(wanted: frozenset[str]):
                 if pairs:
                     total.update("M " + p for a, b in zip(words, words[1:-1], strict=False) if b in seconds and (p := f"{a} {b}") in pairs)
                 if keys and text and ("=" in text or ":" in text):
-                    total.update("K " + m[1] for w in words if ("=" in w or ":" in w) and (m := _KEYED.match(w)) and m[1] in keys)
+                    total.update("K " + k for w in _TOKEN.findall(text) if "=" in w or ":" in w for key, *_ in pieces(w) if key and (k := key.lower()) in keys)
         yield pd.DataFrame({"ctx": pd.Series(list(total), dtype="str"), "occurs": pd.Series(list(total.values()), dtype="int64")})
 
     return run

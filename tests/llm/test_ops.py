@@ -610,3 +610,16 @@ def test_context_tells_apart_words_of_one_class():
         trainer.update(inner, branch, prior)
     after = lambda word: trees.logs(trainer.weights, np.array([word, word]), contexts[[0, 20]])
     assert after(11)[0] > after(11)[1] + 1 and after(30)[1] > after(30)[0] + 1
+
+
+def test_identifiers_in_long_tokens_and_beside_long_words(spark):
+    filler = ",".join(f'"field{i}":"value"' for i in range(60))
+    wide = "w" * 90
+    rows = [(i, f"config password=deadbeef{i:04x}cafe{i:04x} end") for i in range(40)]
+    rows += [(100 + i, f"{wide} beef{i:04x}feed{i:04x}00") for i in range(40)]
+    rows += [(900, "{" + filler + ',"password":"hunter2x","z":0}'), (901, "https://host/?" + "a=b&" * 200 + "password=letmein99&c=d"), (902, f"{wide} token77zz")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, value in ((900, "hunter2x"), (901, "letmein99"), (902, "token77zz")):
+        start = texts[i].index(value)
+        assert f"found_secret:{start}:{start + len(value)}" in got[i].split(",")
