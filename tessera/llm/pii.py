@@ -7,10 +7,10 @@
    and candidates carry their lexical contexts: the word before, the two words before,
    the word after, and a leading ``key=`` or ``key:``.  A token of over ``LONG`` characters
    (JSON without spaces, a long URL) is read in pieces, each with its own key.
-3. Patterns.  A context is a pattern of a kind if at least three different seeds, and one
-   in a thousand of that kind's, have it; a seed has at most four contexts, so there are at
-   most 4 000 patterns of a kind and they may be broadcast.  A pass over all texts counts
-   how often each context occurs, whatever stands there.
+3. Patterns.  A context is a pattern of a kind if at least three different seeds have it,
+   however many seeds the kind has.  Contexts are 64-bit digests and patterns are only ever
+   joined by key.  A pass over all texts counts how often each context occurs, whatever
+   stands there; contexts that a bitmap of fixed size knows not to be patterns are passed over.
 4. Scores.  In rounds over the graph of patterns and instances: a pattern scores the summed
    scores of its instances over all its occurrences; a candidate scores the chance that
    one of its patterns is right.  Seeds score one.  A pattern that ordinary words follow
@@ -30,11 +30,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import WORD, batches
+from tessera.llm.words import WORD, WordDigests, batches, mix, signed
 from tessera.plans.lineage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,7 +49,9 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=
 _TOKEN = re.compile(WORD)
 _MARKS = re.compile(r"[0-9@=]")
 _KEYED = re.compile(r"([A-Za-z_][A-Za-z0-9_-]{1,40})[=:](?=.)")
-LONG = 512
+#: Leading bits of a context's digest that the bitmap of patterns tells apart, and digests that tell kinds of contexts apart.
+MARKED, LONG = 23, 512
+PLACES = {c: np.uint64(i + 1) for i, c in enumerate("LMRK")}
 _PIECE = re.compile(r"(?:([A-Za-z_][A-Za-z0-9_-]{1,40})[\"']?[=:][\"']?)?([^&,;\"'?{}\[\]]+)")
 _EDGES = "\"'`()[]{}<>,;.!?#*$%&|"
 
@@ -167,39 +170,67 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
-_FIRST = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, cands array<struct<s:int,e:int,kind:string,value:string,ctx:array<string>>>"
+_DIGESTS = WordDigests()
+
+
+def digests(kind: str, words: list[str], seconds: list[str] | None = None) -> np.ndarray:
+    """Digests of contexts of one kind."""
+    found = mix(_DIGESTS.of(words), PLACES[kind])
+    return found if seconds is None else mix(found, _DIGESTS.of(seconds))
+
+
+def _digested(contexts: list[str]) -> list[int]:
+    parts = [(c[0], *c[2:].split(" ")) for c in contexts]
+    return [int(signed(digests(kind, [word], second or None))[0]) for kind, word, *second in parts]
+
+
+_FIRST = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, cands array<struct<s:int,e:int,kind:string,value:string,ctx:array<bigint>>>"
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches(frames):
         base = [base_spans(x or "") for x in frame["text"]]
         counts = [Counter(k for k, _, _ in b) for b in base]
-        cands = [[{"s": a, "e": e, "kind": k, "value": v, "ctx": c} for a, e, k, v, c in candidates(x or "", b)] for x, b in zip(frame["text"], base, strict=True)]
+        cands = [[{"s": a, "e": e, "kind": k, "value": v, "ctx": _digested(c)} for a, e, k, v, c in candidates(x or "", b)] for x, b in zip(frame["text"], base, strict=True)]
         yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), **{f"n_{k}": [c[k] for c in counts] for k in KINDS}, "base": [written(b) for b in base], "cands": cands})
 
 
-def _occurrences(wanted: frozenset[str]):
-    """How often each wanted context stands before, around or after any token at all."""
-    left, pairs, right, keys = ({c[2:] for c in wanted if c[0] == k} for k in "LMRK")
-    seconds = {p.rpartition(" ")[2] for p in pairs}
+def _occurrences(held):
+    """How often each context that the bitmap marks stands before, around or after any token at all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[str] = Counter()
+        marks = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
         for frame in batches(frames):
-            for text in frame["text"]:
-                words = _TOKEN.findall((text or "").lower())
-                total.update("L " + w for w in words[:-1] if w in left)
-                total.update("R " + w for w in words[1:] if w in right)
-                if pairs:
-                    total.update("M " + p for a, b in zip(words, words[1:-1], strict=False) if b in seconds and (p := f"{a} {b}") in pairs)
-                if keys and text and ("=" in text or ":" in text):
-                    total.update("K " + k for w in _TOKEN.findall(text) if "=" in w or ":" in w for key, *_ in pieces(w) if key and (k := key.lower()) in keys)
-        yield pd.DataFrame({"ctx": pd.Series(list(total), dtype="str"), "occurs": pd.Series(list(total.values()), dtype="int64")})
+            parts = [_TOKEN.findall((text or "").lower()) for text in frame["text"]]
+            words = _DIGESTS.of([w for p in parts for w in p])
+            ends = np.cumsum([len(p) for p in parts])
+            followed, preceded = np.ones(len(words), bool), np.ones(len(words), bool)
+            filled = [len(p) > 0 for p in parts]
+            followed[ends[filled] - 1] = False
+            preceded[(ends - [len(p) for p in parts])[filled]] = False
+            around = np.flatnonzero(followed[:-1] & followed[1:])
+            keyed = [key.lower() for text in frame["text"] if text and ("=" in text or ":" in text) for w in _TOKEN.findall(text) if "=" in w or ":" in w for key, *_ in pieces(w) if key]
+            left = mix(words, PLACES["L"])[followed]
+            right = mix(words, PLACES["R"])[preceded]
+            pairs = mix(mix(words[around], PLACES["M"]), words[around + 1])
+            found = np.concatenate([x[marks[x >> np.uint64(64 - MARKED)]] for x in (left, right, pairs, digests("K", keyed))])
+            found, n = np.unique(signed(found), return_counts=True)
+            yield pd.DataFrame({"ctx": found, "occurs": n.astype(np.int64)})
 
     return run
 
 
-def find(docs: DataFrame, accept: float = 0.6, rounds: int = 3, least: int = 3, share: float = 0.001) -> DataFrame:
+def _bitmap(patterns: DataFrame) -> bytes:
+    """The leading bits of the patterns' digests, one bit for each value."""
+    place = F.shiftrightunsigned("ctx", 64 - MARKED)
+    bits = patterns.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32_767))).alias("bits"))
+    out = np.zeros((1 << MARKED) // 8, np.uint8)
+    for part, own in bits.collect():
+        out[part * 4096 : part * 4096 + len(own)] = np.frombuffer(bytes(own), np.uint8)
+    return out.tobytes()
+
+
+def find(docs: DataFrame, accept: float = 0.6, rounds: int = 3, least: int = 3) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,26 +238,25 @@ def find(docs: DataFrame, accept: float = 0.6, rounds: int = 3, least: int = 3,
     each = first.where(F.size("cands") > 0).select("rid", F.inline("cands"))
     edges = cut(each.select("kind", "value", F.explode("ctx").alias("ctx")).groupBy("kind", "value", "ctx").agg(F.count(F.lit(1)).alias("n")))
     seeds = edges.where("kind is not null")
-    sizes = {r["kind"]: r["n"] for r in each.where("kind is not null").groupBy("kind").agg(F.count_distinct("value").alias("n")).collect()}
-    needs = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(least, int(n * share))))]) if sizes else F.create_map().cast("map<string,int>")
-    patterns = seeds.groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= needs[F.col("kind")])
-    known = [(r["kind"], r["ctx"]) for r in patterns.select("kind", "ctx").collect()]  # at most 4 / share of a kind
-    found = _spread(spark, edges, texts, known, accept, rounds) if known else spark.createDataFrame([], "value string, found string")
+    patterns = cut(seeds.groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least).select(F.col("kind").alias("pattern_kind"), "ctx"))
+    found = _spread(spark, edges, texts, patterns, accept, rounds)
     added = each.join(found, "value", "left").where("kind = 'secret' or (kind is null and found is not null)")
     spans = added.groupBy("rid").agg(F.collect_list(F.struct("s", "e", F.coalesce("kind", F.concat(F.lit("found_"), "found")).alias("k"))).alias("more"))
     joined = first.drop("cands").join(spans, "rid", "left")
     return joined.mapInPandas(_merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
-def _spread(spark, edges: DataFrame, texts: DataFrame, known: list[tuple[str, str]], accept: float, rounds: int) -> DataFrame:
+def _spread(spark, edges: DataFrame, texts: DataFrame, patterns: DataFrame, accept: float, rounds: int) -> DataFrame:
     """Score patterns and instances in turn; gives each accepted value with its best kind."""
-    counted = texts.select("text").mapInPandas(_occurrences(frozenset(c for _, c in known)), "ctx string, occurs long").groupBy("ctx").agg(F.sum("occurs").alias("occurs"))
-    patterns = F.broadcast(cut(spark.createDataFrame(known, "pattern_kind string, ctx string").join(counted, "ctx")))
+    held = spark.sparkContext.broadcast(_bitmap(patterns))
+    # results that are joined by key are written out, so that the joins can split a hot context
+    counted = cut(texts.select("text").mapInPandas(_occurrences(held), "ctx long, occurs long").groupBy("ctx").agg(F.sum("occurs").alias("occurs")))
+    patterns = cut(patterns.join(counted, "ctx"))
     graph = cut(edges.join(patterns, "ctx").where("kind is null or kind = pattern_kind"))
     scores = graph.where("kind is null").select("value", "pattern_kind").distinct().withColumn("score", F.lit(0.0))
     for _ in range(rounds):
         weighed = graph.join(scores, ["value", "pattern_kind"], "left").withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        trust = weighed.groupBy("pattern_kind", "ctx").agg((F.sum(F.col("n") * F.col("score")) / F.max("occurs")).alias("trust"))
+        trust = cut(weighed.groupBy("pattern_kind", "ctx").agg((F.sum(F.col("n") * F.col("score")) / F.max("occurs")).alias("trust")))
         doubt = F.log1p(-F.least("trust", F.lit(0.999)))
         scores = cut(graph.where("kind is null").join(trust, ["pattern_kind", "ctx"]).groupBy("value", "pattern_kind").agg((1 - F.exp(F.sum(doubt))).alias("score")))
     return scores.where(F.col("score") >= accept).groupBy("value").agg(F.max_by("pattern_kind", F.struct("score", "pattern_kind")).alias("found"))

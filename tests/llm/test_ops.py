@@ -623,3 +623,19 @@ def test_identifiers_in_long_tokens_and_beside_long_words(spark):
     for i, value in ((900, "hunter2x"), (901, "letmein99"), (902, "token77zz")):
         start = texts[i].index(value)
         assert f"found_secret:{start}:{start + len(value)}" in got[i].split(",")
+
+
+def test_patterns_need_three_seeds_however_many_there_are(spark):
+    rows = [(i, f"config password=deadbeef{i:05x}cafe{i:05x} end") for i in range(5000)]
+    rows += [(9000 + i, f"losung=deadbeef{i:05x}feed{i:05x} fin") for i in range(3)]
+    rows += [(9100, "config losung=hunter2x fin"), (9101, "two wort=deadbeef12345678ab x"), (9102, "wort=deadbeef12345678cd"), (9103, "wort=hunter3x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9100] == "found_secret:14:22" and got[9103] == ""
+
+
+def test_bitmap_marks_every_pattern(spark):
+    ctx = pii._digested([f"L word{i}" for i in range(500)] + [f"M a{i} b" for i in range(500)])
+    bits = np.unpackbits(np.frombuffer(pii._bitmap(spark.createDataFrame([(c,) for c in ctx], "ctx long")), np.uint8), bitorder="little")
+    places = np.array(ctx, np.int64).view(np.uint64) >> np.uint64(64 - pii.MARKED)
+    assert bits[places.astype(np.int64)].all() and bits.sum() == len(set(places.tolist()))
+    assert pii._digested(["M a b"]) == pii.signed(pii.digests("M", ["a"], ["b"])).tolist()
