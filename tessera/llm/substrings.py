@@ -8,10 +8,10 @@ depth and its labels are digests of 64 bits.
 1. Pruning.  A suffix belongs to the smallest 16-word digest inside its first
    ``length`` words, its anchor.  Equal windows have equal anchors, so suffixes whose
    anchor no second document has hang alone and never leave their document.
-2. Partition.  Suffixes left over are dealt out by a prefix of variable length: 16 words
-   while the anchor has at most ``group_limit`` documents, all ``length`` words beyond
-   that.  The first kind of group is a subtree that a task reads as sorted leaves, with
-   memory for the current node only.  The second kind is one deep node by itself: its
+2. Partition.  Suffixes left over are dealt out by a prefix of all ``length`` words, so that
+   a common opening whose continuations differ is in many groups.  While the anchor has at
+   most ``group_limit`` documents, a task reads groups as sorted leaves, with memory for the
+   current node only.  A group beyond that is one deep node by itself: its
    smallest document is found by an aggregation that starts before the shuffle and joined
    back by key and salt, so a passage that a third of all documents share never meets in
    one task.
@@ -73,8 +73,8 @@ def _anchor_rows(length: int, anchor: int):
     return run
 
 
-def _suffix_rows(length: int, anchor: int, whole: bool):
-    """Suffixes below a repeated anchor: prefix (16 words, or the whole path), path digest, document, first word.
+def _suffix_rows(length: int, anchor: int):
+    """Suffixes below a repeated anchor: prefix (leading bits of the path), path digest, document, first word.
 
     A phrase said over and over gives equal paths at even steps; they are one row with a length of run.
     """
@@ -91,8 +91,7 @@ def _suffix_rows(length: int, anchor: int, whole: bool):
                     path = signed(window_digests(words, length))[at]
                     first, reach = _runs(path, at, length)
                     at, path = at[first], path[first]
-                    prefix = path if whole else signed(short)[at]
-                    out.append((prefix >> 32, path, np.full(len(at), doc, np.int64), at, reach + 1))
+                    out.append((path >> 32, path, np.full(len(at), doc, np.int64), at, reach + 1))
             if out:
                 prefix, path, docs, at, run = map(np.concatenate, zip(*out, strict=True))
                 yield pd.DataFrame({"prefix": prefix.astype(np.int32), "path": path, "doc_id": docs, "at": at.astype(np.int32), "run": run.astype(np.int32)})
@@ -141,7 +140,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000
 
     def below(large: bool) -> DataFrame:
         wanted = of_doc.where(F.col("large") == F.lit(large)).select("doc_id", "anchors")
-        return named.join(wanted, "doc_id").mapInPandas(_suffix_rows(length, anchor, large), suffixes)
+        return named.join(wanted, "doc_id").mapInPandas(_suffix_rows(length, anchor), suffixes)
 
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     small = below(False).repartition(spread, "prefix").sortWithinPartitions("path", "doc_id", "at").mapInPandas(_leaves, "doc_id long, at int, run int")

@@ -611,7 +611,7 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")).withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
     links = pages.withColumn("dst", F.lead("url").over(Window.partitionBy("host").orderBy("page_id"))).where("dst is not null").select(F.col("url").alias("src"), "dst")
     seeds = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
-    return readers.crawl(pages, links, seeds, 3, 1_000_000)
+    return readers.crawl(pages, links, seeds, 3)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,8 +139,8 @@ def marked_records(lines: DataFrame, marker: str, stream: str = "stream", order:
     return grouped.select(stream, "id", F.array_join(F.transform("rows", lambda r: r[text]), "\n").alias("text"))
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_rounds: int, limit: int) -> DataFrame:
-    """Breadth-first order over fetched pages: ``(url, depth)`` of at most ``limit`` pages on the seeds' hosts.
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_rounds: int, limit: int | None = None) -> DataFrame:
+    """Breadth-first order over fetched pages: ``(url, depth)`` of all, or at most ``limit``, pages on the seeds' hosts.
 
     ``pages``: url; ``links``: src, dst; ``seeds``: url.
     """
@@ -153,7 +153,8 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_rounds: int,
         ahead = links.join(front, links["src"] == front["url"]).select(F.col("dst").alias("url")).distinct()
         inside = ahead.withColumn("host", host("url")).join(hosts, "host", "left_semi").select("url").join(known, "url")
         seen = cut(seen.unionByName(inside.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))))
-    return seen.orderBy("depth", "url").limit(limit)
+    ordered = seen.orderBy("depth", "url")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def best_candidate(rows: DataFrame, fields: list[str]) -> DataFrame:

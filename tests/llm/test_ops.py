@@ -639,3 +639,20 @@ def test_bitmap_marks_every_pattern(spark):
     places = np.array(ctx, np.int64).view(np.uint64) >> np.uint64(64 - pii.MARKED)
     assert bits[places.astype(np.int64)].all() and bits.sum() == len(set(places.tolist()))
     assert pii._digested(["M a b"]) == pii.signed(pii.digests("M", ["a"], ["b"])).tolist()
+
+
+def test_a_common_opening_is_in_many_groups():
+    import pandas as pd
+
+    opening = [f"o{i}" for i in range(16)]
+    texts = [" ".join([*opening, *(f"d{k}w{i}" for i in range(34))]) for k in range(200)]
+    digests = substrings._word_digests(pd.DataFrame({"text": texts}))
+    anchors = [substrings.signed(substrings.window_digests(w, 16)).tolist() for w in digests]
+    rows = pd.concat(substrings._suffix_rows(50, 16)(iter([pd.DataFrame({"doc_id": range(200), "text": texts, "anchors": anchors})])))
+    assert len(rows) == 200 and rows["prefix"].nunique() == rows["path"].nunique() == 200
+
+
+def test_crawl_query_has_no_row_limit(spark):
+    from tessera.queries import crawl_order
+
+    assert "Limit" not in crawl_order(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
