@@ -62,7 +62,7 @@ RATE = 0.25
 
 def keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of 63 bits of all tokens, END_KEY after each text's words; where each text starts; words' places in the keys."""
-    digests, whose, *_ = hashed_words(texts)
+    digests, whose = hashed_words(texts)
     place = np.arange(len(digests)) + whose
     out = np.full(len(digests) + len(texts), END_KEY, np.int64)
     out[place] = (digests >> np.uint64(1)).astype(np.int64)
@@ -108,7 +108,7 @@ class Places:
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches(frames, 2 * PIECE):
-        digests, *_ = hashed_words(frame["text"].tolist())
+        digests, _ = hashed_words(frame["text"].tolist())
         found, n = np.unique((digests >> np.uint64(1)).astype(np.int64), return_counts=True)
         yield pd.DataFrame({"word": np.append(found, END_KEY), "c": np.append(n, len(frame)).astype(np.int64)})
 

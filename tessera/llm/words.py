@@ -16,7 +16,7 @@ import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a task's word cache may hold; beyond that it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 class WordDigests(dict):
@@ -114,44 +114,11 @@ def _cut(held: list[pd.DataFrame], characters: int, column: str) -> Iterator[pd.
         start = end
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_BASE ** i`` and its inverse, modulo ``2**64``."""
-    if len(_POWERS.get("up", ())) < length:
-        size = max(length, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS["up"][:length], _POWERS["down"]
-
-
-def hashed_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Words of texts, A to Z lowered or as they are, without an object for each.
-
-    Gives their 64-bit digests, the text of each, where each starts and ends in the
-    joined bytes, and those bytes.  A digest is a polynomial of the word's bytes modulo
-    ``2**64`` with a mixed end; it depends on the word alone.
-    """
-    raw = [encoded(t).lower() if lower else encoded(t) for t in texts]
-    joined = b"\n".join([*raw, b""])
-    data = np.frombuffer(joined, np.uint8)
-    edges = np.flatnonzero(_SPACE[data])
-    starts = np.concatenate(([0], edges[:-1] + 1)) if len(edges) else np.empty(0, np.int64)
-    filled = edges > starts
-    starts, ends = starts[filled], edges[filled]
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    digests = (sums[ends] - sums[starts]) * down[starts]
-    digests ^= digests >> _S32
-    digests *= _C
-    digests ^= digests >> _S29
-    limits = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
-    return digests, np.searchsorted(limits, starts, "right"), starts, ends, joined
+_KNOWN = WordDigests()
+
+
+def hashed_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of texts, A to Z lowered or as they are, and the text of each."""
+    parts = [(encoded(t).lower() if lower else encoded(t)).split() for t in texts]
+    digests = _KNOWN.of([w for p in parts for w in p])
+    return digests, np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))

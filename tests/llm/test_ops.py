@@ -646,10 +646,70 @@ def test_a_common_opening_is_in_many_groups():
 
     opening = [f"o{i}" for i in range(16)]
     texts = [" ".join([*opening, *(f"d{k}w{i}" for i in range(34))]) for k in range(200)]
-    digests = substrings._word_digests(pd.DataFrame({"text": texts}))
-    anchors = [substrings.signed(substrings.window_digests(w, 16)).tolist() for w in digests]
-    rows = pd.concat(substrings._suffix_rows(50, 16)(iter([pd.DataFrame({"doc_id": range(200), "text": texts, "anchors": anchors})])))
-    assert len(rows) == 200 and rows["prefix"].nunique() == rows["path"].nunique() == 200
+    anchor = substrings.signed(substrings.window_digests(substrings._DIGESTS.of([w.encode() for w in opening]), 16))
+    rows = [b for t in texts for b in substrings.bundles(t, anchor, 50, 16)]
+    frame = pd.DataFrame([(p, str(i).encode(), 0, back, n, said, i, i) for i, (p, _, back, n, said) in enumerate(rows)], columns=["prefix", "bundle", "first", "back", "n", "words", "low", "high"])
+    if len(frame):  # if the opening is anybody's anchor
+        longer = pd.concat(substrings._parts(12, 50)(iter([frame])))
+        assert frame["prefix"].nunique() == 1 and longer["prefix"].nunique() == len(longer)
+
+
+def test_deep_nodes_are_equal_windows():
+    draw = np.random.default_rng(9)
+    length, rows = 8, []
+    for _ in range(300):
+        n = int(draw.integers(1, 5))
+        words = [b"abc"[i : i + 1] for i in draw.integers(0, 2, length + n - 1)]
+        rows.append((b" ".join(words), int(draw.integers(n - 1, 6)), n, int(draw.integers(0, 50))))
+    words, back, n, low = (list(x) if i == 0 else np.array(x) for i, x in enumerate(zip(*rows, strict=True)))
+    want = {}
+    for said, b, m, doc in rows:
+        for k in range(m):
+            key = (b - k, tuple(said.split()[k : k + length]))
+            want[key] = min(want.get(key, doc), doc)
+    got = {}
+    for which, window, least in substrings.deep_nodes(words, back, n, low, length):
+        for r, k, doc in zip(which.tolist(), window.tolist(), least.tolist(), strict=True):
+            got[r, k] = doc
+    assert got == {(r, k): want[b - k, tuple(said.split()[k : k + length])] for r, (said, b, m, _) in enumerate(rows) for k in range(m) if (r, k) in got}
+    assert len(got) == sum(n)
+
+
+def thue_morse(bits):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_that_a_polynomial_takes_for_one(spark):
+    one = thue_morse(11)
+    other = one.translate(str.maketrans("ab", "ba"))
+    filler = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*filler[:30], one, *filler[30:]])), (2, " ".join([*filler[:30], other, *filler[30:]])), (3, one), (4, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeated_passages(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+    for r in lm.score(docs).collect():
+        assert r["n_known"] == sum(w in counts for w in dict(rows)[r["doc_id"]].split()) + 1
+
+
+def test_texts_under_one_id_lose_their_own_words(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage), (2, f"one two {passage}"), (2, f"{passage} three"), (2, f"{passage} three"), (3, "so it goes " + "and on " * 200), (4, "and on " * 200)]
+    got = sorted(tuple(r)[1:] for r in substrings.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2)
+    assert got == [(61, 60, "three"), (61, 60, "three"), (62, 60, "one two")]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 2000])
+def test_substrings_of_many_near_copies(spark, limit):
+    draw = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(int(draw.integers(0, 4))):
+            w[int(draw.integers(0, 140))] = f"x{draw.integers(0, 3)}"
+        rows.append((k, " ".join([f"own{k}"] * int(draw.integers(0, 3)) + w[int(draw.integers(0, 40)) :])))
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50, limit).collect()}
+    assert got == plain_substrings(rows)
 
 
 def test_crawl_query_has_no_row_limit(spark):
