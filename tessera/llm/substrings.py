@@ -54,6 +54,7 @@ _OF_DOC = "doc_id long, mark long"
 _BUNDLE = f"{_OF_DOC}, prefix long, at array<int>, back int, n int, words binary"
 #: A bundle of a subtree: ``low`` and ``high`` are the smallest and largest document that have it, ``first`` its first window's place in the row ``bundle``.
 _LEAF = "prefix long, bundle binary, first int, back int, n int, words binary, low long, high long"
+_STARTS = "array<struct<at:array<int>,windows:array<struct<at:int,run:int>>>>"
 _HITS = "bundle binary, at int, run int, least long"
 
 _DIGESTS = WordDigests()
@@ -238,8 +239,8 @@ def _large_groups(rows: DataFrame, length: int, anchor: int, limit: int) -> Data
             return found
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000) -> DataFrame:
-    """``(doc_id, mark, starts)``: first words of the windows that a smaller document has too, as runs ``(at, run)``; ``mark`` tells the text."""
+def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 1000) -> DataFrame:
+    """``(doc_id, mark, starts)``: bundles with windows that a smaller document has too, as places ``at`` and runs of windows from there; ``mark`` tells the text."""
     anchor = min(ANCHOR, length)
     named = _named(docs)
     rows = cut(named.mapInPandas(_anchor_rows(length, anchor), f"{_OF_DOC}, anchor long, times int"))
@@ -255,16 +256,17 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000
     name = F.to_binary(F.to_json(F.struct("doc_id", "mark", "at")), F.lit("utf-8"))
     small = below(False).select("prefix", name.alias("bundle"), F.lit(0).alias("first"), "back", "n", "words", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
     own = F.from_json(F.col("bundle").cast("string"), "doc_id long, mark long, at array<int>")
-    starts = _walked(small, length).select(own.alias("own"), F.col("at").alias("window"), "run").select("own.doc_id", "own.mark", F.explode("own.at").alias("place"), "window", "run")
-    hits = starts.select("doc_id", "mark", (F.col("place") + F.col("window")).alias("at"), "run")
+    hits = _walked(small, length).select(own.alias("own"), F.array(F.struct("at", "run")).alias("windows")).select("own.doc_id", "own.mark", "own.at", "windows")
     if not shared.where("large").isEmpty():
         often = cut(below(True).withColumn("bundle", F.unhex(F.sha2("words", 256))))
         distinct = often.groupBy("prefix", "bundle").agg(F.first("back").alias("back"), F.first("n").alias("n"), F.first("words").alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         distinct = cut(distinct.select("prefix", "bundle", F.lit(0).alias("first"), "back", "n", "words", "low", "high"))
-        found = cut(_large_groups(distinct, length, anchor, group_limit).withColumnRenamed("at", "window"))
-        joined = often.select("doc_id", "mark", "bundle", "at").join(found, "bundle").where("least < doc_id")
-        hits = hits.unionByName(joined.select("doc_id", "mark", F.explode("at").alias("place"), "window", "run").select("doc_id", "mark", (F.col("place") + F.col("window")).alias("at"), "run"))
-    return hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "run")).alias("starts"))
+        # the windows of one bundle, so that a copy of it is one row however many smallest documents they have
+        found = _large_groups(distinct, length, anchor, group_limit).groupBy("bundle").agg(F.collect_list(F.struct("at", "run", "least")).alias("windows"), F.min("least").alias("least"))
+        joined = often.select("doc_id", "mark", "bundle", "at").join(cut(found), "bundle").where("least < doc_id")
+        own = F.transform(F.filter("windows", lambda w: w["least"] < F.col("doc_id")), lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")))
+        hits = hits.unionByName(joined.select("doc_id", "mark", "at", own.alias("windows")))
+    return hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "windows")).alias("starts"))
 
 
 def _pair(docs: DataFrame) -> DataFrame:
@@ -277,12 +279,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def without(text: str | None, starts, length: int) -> tuple[int, int, bytes]:
-    """Words of a text, words that its runs of windows cover, and the others joined by a space."""
+    """How many words a text has, how many of them its bundles' windows cover, and the others joined by a space."""
     words = encoded(text).split()
     if starts is None or not len(starts) or not words:
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    at, run = np.array([(r["at"], r["run"]) for r in starts], np.int64).T
+    at, run = np.array([(place + w["at"], w["run"]) for bundle in starts for place in bundle["at"] for w in bundle["windows"]], np.int64).T
     np.add.at(edge, at, 1)
     np.add.at(edge, np.minimum(at + run - 1 + length, len(words)), -1)
     keep = np.flatnonzero(edge[:-1].cumsum() == 0)
@@ -299,10 +301,10 @@ def _without(length: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 2000) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 1000) -> DataFrame:
     """``(doc_id, n_words, n_removed, text)``: kept words of every row, joined by one space."""
     schema = "doc_id long, n_words long, n_removed long, text string"
     found = repeated_passages(docs, length, group_limit)
     named = _named(docs).join(found, ["doc_id", "mark"], "left").mapInPandas(_without(length), schema)
-    unnamed = _pair(docs).where("doc_id is null").withColumn("starts", F.lit(None).cast("array<struct<at:int,run:int>>")).mapInPandas(_without(length), schema)
+    unnamed = _pair(docs).where("doc_id is null").withColumn("starts", F.lit(None).cast(_STARTS)).mapInPandas(_without(length), schema)
     return named.unionByName(unnamed)
