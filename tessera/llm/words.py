@@ -13,12 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.sql import DataFrame
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a task's word cache may hold; beyond that it starts anew.
 CACHE_ENTRIES = 400_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordDigests(dict):
     """Word (bytes or text) to unsigned 64-bit digest, computed at first use."""
 
