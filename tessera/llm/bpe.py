@@ -4,12 +4,13 @@ Encoding.  The text is cut at special tokens and then into pieces by the vocabul
 word pattern; merges never cross a piece.  ``sufficient_lookahead`` reads off the merge
 list how many bytes to the right can still change a token: a merge waits for earlier
 merges that would take its right end away, those wait for still earlier ones, and the
-longest such chain bounds the lookahead.  A piece that fits that window is stable when
-its end is seen, so it is merged at once.  A longer piece is read byte by byte: for
-every end the one token that can end there is found from the rule that a sequence of
+longest such chain bounds the lookahead.  The transducer reads a piece byte by byte.  For
+every end it finds the one token that can end there, from the rule that a sequence of
 tokens is the encoding if and only if each neighbouring pair is the encoding of its own
-bytes.  Tokens on which all open ends agree can't change any more; they are emitted and
-forgotten, so memory is that of the open window and not of the piece.
+bytes.  A token that ends at least the lookahead before the last byte read is stable: it
+is emitted and forgotten, so that a piece of any length needs the memory of a window.  What
+is left when the piece ends is emitted then.  Short pieces come again and again; their
+output is remembered in a table of bounded size.
 
 Decoding.  Tokens give bytes; a state machine holds back an unfinished character of at
 most three bytes, replaces what can't become a character, and emits text as it goes.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +36,10 @@ from tessera.llm.words import batches
 
 #: Fixed value: the word pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text whose pieces are held at once.
-SEGMENT = 1 << 16
-#: Entries of a task's caches.
-CACHE_ENTRIES = 600_000
+#: Characters of text whose pieces are held at once, and of a piece that are turned into bytes at once.
+SEGMENT, PART = 1 << 16, 1 << 12
+#: Entries of a task's caches, and the longest piece that is remembered.
+CACHE_ENTRIES, REMEMBERED = 400_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -86,14 +87,20 @@ class Vocabulary:
 class Encoder:
     """The transducer.  ``encode`` gives token ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary, window: int | None = None) -> None:
+    def __init__(self, vocabulary: Vocabulary, lookahead: int | None = None) -> None:
         self.v = vocabulary
-        self.window = max(window or vocabulary.sufficient_lookahead(), 1)
+        self.lookahead = vocabulary.sufficient_lookahead() if lookahead is None else lookahead
+        self.packed = {token: i.to_bytes(4, "little") for token, i in vocabulary.ids.items()}
         self.pattern = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.most_open = 0
+        sizes: dict[bytes, set[int]] = {}
+        for token in vocabulary.ids:
+            sizes.setdefault(token[-2:], set()).add(len(token))
+        #: Lengths of tokens by their last two bytes, the longest first.
+        self.sizes = {tail: sorted(found, reverse=True) for tail, found in sizes.items()}
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Packed ids, a segment of the text at a time."""
@@ -107,6 +114,11 @@ class Encoder:
         at, known = 0, self.known
         while at < len(text):
             end = self._safe_cut(text, at + SEGMENT)
+            if end - at > 2 * SEGMENT:  # no safe cut nearby: piece by piece
+                piece = self.pattern.match(text, at)
+                yield from self._long(text, at, piece.end())
+                at = piece.end()
+                continue
             segment = text if at == 0 and end == len(text) else text[at:end]
             pieces = self.pattern.findall(segment)
             try:
@@ -128,20 +140,21 @@ class Encoder:
         return len(text)
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        ids = self.v.ids
-        if len(data) > self.window:
-            return b"".join(ids[t].to_bytes(4, "little") for t in self.stream(data))
-        packed = b"".join([ids[t].to_bytes(4, "little") for t in self._merged(data)])
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        self.known[piece] = packed
+        packed = b"".join(self._long(piece, 0, len(piece)))
+        if len(piece) <= REMEMBERED:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known.clear()
+            self.known[piece] = packed
         return packed
 
+    def _long(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        """Packed ids of one piece, a part of it at a time."""
+        parts = (text[at : min(at + PART, end)].encode("utf-8", "surrogatepass") for at in range(start, end, PART))
+        for stable in self.transduce(parts):
+            yield b"".join(map(self.packed.__getitem__, stable))
+
     def _merged(self, data: bytes) -> list[bytes]:
         """Apply the earliest merge of the list, leftmost first, until none applies."""
-        if data in self.v.ids and len(data) == 1:
-            return [data]
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.v.ranks.get
         never = len(self.v.merges)
@@ -169,51 +182,39 @@ class Encoder:
             said = self.pairs[pair] = self._merged(left + right) == ([left, right] if left else [right])
         return said
 
-    def stream(self, data: bytes) -> Iterator[bytes]:
-        """Tokens of one piece, each as soon as it is stable."""
-        ids, longest = self.v.ids, self.v.longest
-        base, last = 0, [b""]  # last[k]: the last token of the encoding of data[:base + k]
-        for end in range(1, len(data) + 1):
-            for start in range(max(base, end - longest), end):
-                token = data[start:end]
-                if token in ids and self._fits(last[start - base], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-            self.most_open = max(self.most_open, end - base)
-            if end < len(data) and end - base >= 2 * longest:
-                stable = self._agreed(last, longest)
-                for token in stable:
-                    yield token
-                    base += len(token)
-                    last = last[len(token) :]
-        tail, at = [], len(data) - base
-        while at > 0:
-            tail.append(last[at])
-            at -= len(last[at])
-        yield from reversed(tail)
+    def transduce(self, parts: Iterable[bytes]) -> Iterator[list[bytes]]:
+        """Tokens of one piece that comes in parts, as soon as they are stable."""
+        ids, sizes, window = self.v.ids, self.sizes, max(2 * self.lookahead, 256)
+        data, last = b"", [b""]  # the bytes that no emitted token holds; last[k]: the last token of the encoding of data[:k]
+        for part in parts:
+            read = len(data)
+            data += part
+            for end in range(read + 1, len(data) + 1):
+                for size in sizes.get(data[max(end - 2, 0) : end], ()) if end > 1 else (1,):
+                    if size <= end and (token := data[end - size : end]) in ids and self._fits(last[end - size], token):
+                        break
+                else:
+                    token = data[end - 1 : end]
+                    if token not in ids or not self._fits(last[end - 1], token):
+                        raise ValueError("the vocabulary lacks a byte of the text")
+                last.append(token)
+            self.most_open = max(self.most_open, len(data))
+            if len(data) >= window:
+                ends = self._ends(last, len(data))
+                stable = [last[e] for e in ends if e <= len(data) - self.lookahead]
+                emitted = sum(map(len, stable))
+                data, last = data[emitted:], last[emitted:]
+                yield stable
+        yield [last[e] for e in self._ends(last, len(data))]
 
     @staticmethod
-    def _agreed(last: list[bytes], longest: int) -> list[bytes]:
-        """Leading tokens that every end in the open window of ``longest`` bytes has in common."""
-        common: list[int] | None = None
-        for end in range(max(1, len(last) - longest), len(last)):
-            cuts, at = [], end
-            while at > 0:
-                cuts.append(at)
-                at -= len(last[at])
-            cuts.reverse()
-            if common is None:
-                common = cuts
-            else:
-                same = 0
-                while same < min(len(common), len(cuts)) and common[same] == cuts[same]:
-                    same += 1
-                common = common[:same]
-            if not common:
-                return []
-        return [last[c] for c in common or []]
+    def _ends(last: list[bytes], at: int) -> list[int]:
+        """Ends of the tokens of the encoding up to ``at``."""
+        out = []
+        while at > 0:
+            out.append(at)
+            at -= len(last[at])
+        return out[::-1]
 
 
 class Decoder:
