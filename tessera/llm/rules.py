@@ -5,13 +5,16 @@ summed up per language and source in mergeable quantile sketches: a value below
 its own bucket, a larger one keeps its seven leading bits, which bounds the error of a
 quantile to one part in 64 at any count.  Merging is adding counts, so partial sketches
 form before the shuffle, hot sources are pre-aggregated, and sketches of a language or of
-everything come from adding those of its sources.
+everything come from adding those of its sources.  A sketch is as small as its buckets, of
+which there are less than 128 and 64 more for each power of two.
 
+Quartiles of a source lean towards those of its language, and these towards the corpus's,
+as if ``weight`` documents of the larger group were in the smaller: a source of any size has
+thresholds of its own, and the fewer its documents, the nearer they are to its language's.
 A measure's upper fence is the upper quartile plus ``SPREAD`` times the quartile
 distance, which counts as a stated least distance where a source hardly varies; word
-length has a lower fence too.  Groups of fewer than ``min_docs`` documents take the
-fences of their language, or else of the corpus.  The fences are joined back by language
-and source, and a document stays if it passes the base rules and lies within all.
+length has a lower fence too.  The fences are joined back by language and source, and a
+document stays if it passes the base rules and lies within all.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources
 are groups of their own.  Repeated rows and ties count as they come, one result for each
@@ -21,7 +24,6 @@ row; null doc_ids stay null.  Columns besides the four named ones are not read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
@@ -31,6 +33,8 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPREAD = 3
+#: Documents of a larger group that a smaller one is taken to hold besides its own.
+WEIGHT = 100
 #: Measure and the least quartile distance that counts for its fences.
 MEASURES = {"symbols": 200, "length": 50, "dup_lines": 1700, "repeats": 1000, "capitals": 500}
 
@@ -44,21 +48,28 @@ def _without(column: str, characters: str) -> Column:
     return F.translate(F.col(column), characters, "")
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the word, symbol, line and repetition counts of every row."""
+def base_measures(docs: DataFrame, fewer_bits: int = 0) -> DataFrame:
+    """``doc_id, lang, source`` and the word, symbol, line and repetition counts of every row; tests make digests clash by ``fewer_bits``."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     split = _once(named, "w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
-    sized = split.withColumn("n_words", F.size("w")).withColumn("shift", F.length(F.bin(F.size("w"))))
+    sized = split.withColumn("n_words", F.size("w")).withColumn("shift", F.length(F.bin(F.size("w"))) + fewer_bits)
     # sorted keys: leading bits of a three-word window's digest, then its first word's place
     keys = F.when(F.col("n_words") >= 3, F.expr("sort_array(transform(sequence(0, n_words - 3), i -> coalesce(shiftleft(shiftright(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), shift), shift) | i, 0L)))")).otherwise(F.expr("cast(array() as array<bigint>)"))
     keyed = _once(sized, "k", keys)
-    # neighbours with equal leading bits, confirmed word by word
+    # neighbours with equal leading bits, confirmed word by word; -1 tells of two windows that only share the bits
     at = "cast({0} - shiftleft(shiftright({0}, shift), shift) as int)"
     x, y = at.format("x"), at.format("get(k, j + 1)")
     same = " and ".join(f"get(w, {x} + {o}) = get(w, {y} + {o})" for o in range(3))
-    pairs = F.expr(f"filter(transform(k, (x, j) -> if(shiftright(x, shift) = shiftright(get(k, j + 1), shift) and {same}, array({x}, {x} + 1, {x} + 2, {y}, {y} + 1, {y} + 2), null)), p -> p is not null)")
+    pairs = F.expr(f"filter(transform(k, (x, j) -> if(shiftright(x, shift) = shiftright(get(k, j + 1), shift), if({same}, array({x}, {x} + 1, {x} + 2, {y}, {y} + 1, {y} + 2), array(-1)), null)), p -> p is not null)")
+    found = _once(keyed, "p", F.array_distinct(F.flatten(pairs)))
+    # where bits clash, the windows themselves are sorted and looked up; let() names a value inside an expression
+    let = lambda name, value, body: f"get(transform(array({value}), {name} -> {body}), 0)"
+    grams = "transform(sequence(0, n_words - 3), i -> concat_ws(' ', get(w, i), get(w, i + 1), get(w, i + 2)))"
+    twice = "array_distinct(filter(transform(gs, (x, j) -> if(x = get(gs, j - 1), x, null)), x -> x is not null))"
+    covered = "size(array_distinct(flatten(filter(transform(g, (x, i) -> if(array_contains(tw, x), array(i, i + 1, i + 2), null)), q -> q is not null))))"
+    exact = F.expr(let("g", grams, let("gs", "array_sort(g)", let("tw", twice, covered))))
     lines = F.expr(r"filter(split(t, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')")
-    repeated = _once(keyed, "n_repeat_words", F.size(F.array_distinct(F.flatten(pairs))).cast("long"))
+    repeated = _once(found, "n_repeat_words", F.when(F.array_contains("p", -1), exact).otherwise(F.size("p")).cast("long"))
     lined = _once(repeated, "lines", lines)
     return lined.select(
         "doc_id", "lang", "source", F.col("n_words").cast("long").alias("n_words"),
@@ -89,29 +100,39 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """``docs, low_<measure>, high_<measure>`` of every group."""
-    group = [*keys, "measure"]
-    seen = sketch.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("bucket"))).withColumn("docs", F.sum("n").over(W.partitionBy(*group)))
-    quarters = seen.groupBy(*group).agg(F.max("docs").alias("docs"), F.min(F.when(F.expr("upto * 4 >= docs"), F.col("bucket"))).alias("q1"), F.min(F.when(F.expr("upto * 4 >= docs * 3"), F.col("bucket"))).alias("q3"))
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """``keys, measure, docs, q1, q3``: a group's buckets are a bounded array, in which the quartiles are looked up."""
+    held = sketch.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("held"), F.sum("n").alias("docs"))
+    reached = "aggregate(held, named_struct('upto', 0L, 'at', cast(null as bigint)), (a, x) -> named_struct('upto', a.upto + x.n, 'at', coalesce(a.at, if((a.upto + x.n) * 4 >= docs * {0}, x.bucket, null))), a -> a.at)"
+    return held.select(*keys, "measure", "docs", F.expr(reached.format(1)).alias("q1"), F.expr(reached.format(3)).alias("q3"))
+
+
+def _leaning(quarter: str, weight: int) -> Column:
+    """A group's quartile with that of the larger group (``up_``) counted as ``weight`` documents; rounded towards zero."""
+    return F.expr(f"(docs * {quarter} + {weight} * up_{quarter}) div (docs + {weight})")
+
+
+def fences(sketch: DataFrame, weight: int) -> DataFrame:
+    """``lang, source, low_<measure>, high_<measure>`` of every source."""
+    up = lambda df, *keys: df.select(*[F.col(k).alias(f"up_{k}") for k in keys], F.col("measure").alias("up_measure"), F.col("q1").alias("up_q1"), F.col("q3").alias("up_q3"))
+    leaning = [_leaning("q1", weight).alias("q1"), _leaning("q3", weight).alias("q3")]
+    of_measure = F.col("measure") == F.col("up_measure")
+    of_lang = of_measure & F.col("lang").eqNullSafe(F.col("up_lang"))
+    corpus = up(quartiles(merge(sketch)))
+    by_lang = quartiles(merge(sketch, "lang"), "lang").join(corpus, of_measure).select("lang", "measure", *leaning)
+    by_source = quartiles(sketch, "lang", "source").join(up(by_lang, "lang"), of_lang).select("lang", "source", "measure", *leaning)
     out = []
     for m, least in MEASURES.items():
         reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * SPREAD
         out += [F.max(F.when(F.col("measure") == m, F.col("q1") - reach)).alias(f"low_{m}"), F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"high_{m}")]
-    return quarters.groupBy(*keys).agg(F.max("docs").alias("docs"), *out)
+    return by_source.groupBy("lang", "source").agg(*out)
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """Counts, measures, ``base_failed`` and ``kept`` of every row."""
     measured = cut(base_measures(docs).withColumns({f"m_{m}": c for m, c in measures().items()}))
-    sketch = cut(sketches(measured))
-    by_source = fences(sketch, "lang", "source")
-    limits = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
-    by_lang = fences(merge(sketch, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("docs").alias("l_docs"), *[F.col(c).alias(f"l_{c}") for c in limits])
-    overall = fences(merge(sketch)).select(F.lit(1).alias("one"), *[F.col(c).alias(f"g_{c}") for c in limits])
-    ladder = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("one", F.lit(1)).join(overall, "one")
-    chosen = [F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"g_{c}")).alias(c) for c in limits]
-    table = cut(ladder.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), *chosen))
+    limits = fences(cut(sketches(measured)), weight)
+    table = cut(limits.withColumnsRenamed({"lang": "k_lang", "source": "k_source"}))
     joined = measured.join(table, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left")
     base_failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     within = F.col("m_length") >= F.col("low_length")
@@ -120,16 +141,15 @@ def quality_rules(docs: DataFrame, min_docs: int = 200) -> DataFrame:
     return joined.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(*measured.columns, "base_failed", "kept")
 
 
-_LIMITS = ",\n".join(f"max(case when measure = '{m}' then q1 - {SPREAD} * greatest(q3 - q1, {least}) end) as low_{m}, max(case when measure = '{m}' then q3 + {SPREAD} * greatest(q3 - q1, {least}) end) as high_{m}" for m, least in MEASURES.items())
-_CHOSEN = ",\n".join(f"case when s.docs >= 200 then s.{side}_{m} when l.docs >= 200 then l.{side}_{m} else g.{side}_{m} end as {side}_{m}" for m in MEASURES for side in ("low", "high"))
-
-
-def _sql_fences(keys: str) -> str:
+def _sql_quartiles(keys: str) -> str:
     group = f"{keys}, " if keys else ""
-    return f"""select {group}max(docs) as docs, {_LIMITS} from (
-  select {group}measure, max(docs) as docs, min(case when upto * 4 >= docs then bucket end) as q1, min(case when upto * 4 >= docs * 3 then bucket end) as q3 from (
+    return f"""select {group}measure, max(docs) as docs, min(case when upto * 4 >= docs then bucket end)::bigint as q1, min(case when upto * 4 >= docs * 3 then bucket end)::bigint as q3 from (
     select {group}measure, bucket, sum(n) over (partition by {group}measure order by bucket) as upto, sum(n) over (partition by {group}measure) as docs
-    from (select {group}measure, bucket, sum(n) as n from sketch group by all)) group by {group}measure) {f"group by {keys}" if keys else ""}"""
+    from (select {group}measure, bucket, sum(n)::bigint as n from sketch group by all)) group by {group}measure"""
+
+
+_LEANING = ", ".join(f"((a.docs * a.{q} + {WEIGHT} * b.{q}) // (a.docs + {WEIGHT}))::bigint as {q}" for q in ("q1", "q3"))
+_LIMITS = ",\n".join(f"max(case when measure = '{m}' then q1 - {SPREAD} * greatest(q3 - q1, {least}) end) as low_{m}, max(case when measure = '{m}' then q3 + {SPREAD} * greatest(q3 - q1, {least}) end) as high_{m}" for m, least in MEASURES.items())
 
 
 ORACLE = rf"""
@@ -145,8 +165,10 @@ m as (select *, case when n_words > 0 then n_symbols * 10000 // n_words else 0 e
   case when word_chars > 0 then n_capitals * 10000 // word_chars else 0 end as m_capitals from b),
 long as (select lang, source, unnest(['symbols', 'length', 'dup_lines', 'repeats', 'capitals']) as measure, unnest([m_symbols, m_length, m_dup_lines, m_repeats, m_capitals]) as v from m where n_words > 0),
 sketch as (select lang, source, measure, case when v < 128 then v else (v >> (length(bin(v)) - 7)::int) << (length(bin(v)) - 7)::int end as bucket, count(*) as n from long group by all),
-s as ({_sql_fences("lang, source")}), l as ({_sql_fences("lang")}), g2 as ({_sql_fences("")}),
-f as (select s.lang, s.source, {_CHOSEN} from s join l on s.lang is not distinct from l.lang cross join g2 g)
+g0 as ({_sql_quartiles("")}), l0 as ({_sql_quartiles("lang")}), s0 as ({_sql_quartiles("lang, source")}),
+l as (select a.lang, a.measure, {_LEANING} from l0 a join g0 b on a.measure = b.measure),
+s as (select a.lang, a.source, a.measure, {_LEANING} from s0 a join l b on a.measure = b.measure and a.lang is not distinct from b.lang),
+f as (select lang, source, {_LIMITS} from s group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(m_length >= low_length and m_symbols <= high_symbols and m_length <= high_length and m_dup_lines <= high_dup_lines and m_repeats <= high_repeats and m_capitals <= high_capitals, false) as kept
 from (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m) m
