@@ -3,18 +3,19 @@
 1. Base.  E-mail addresses, IP addresses, card and phone numbers by fixed rules, leftmost
    and without overlap for each kind.  Keys of a fixed form and long hexadecimal strings
    are seeds of a fifth kind, ``secret``.
-2. Candidates.  Every other token with a digit, "@" or "=" might be an identifier.  Seeds
+2. Candidates.  Every other token with a digit, "@" or "=" might be an identifier; a token
+   is read in the pieces that commas, quotes, brackets and the like make of it.  Seeds
    and candidates carry their lexical contexts: the word before, the two words before,
-   the word after, and a leading ``key=`` or ``key:``.  A token of over ``LONG`` characters
-   (JSON without spaces, a long URL) is read in pieces, each with its own key.
-3. Patterns.  A context is a pattern of a kind if at least three different seeds have it,
-   however many seeds the kind has.  Contexts are 64-bit digests and patterns are only ever
-   joined by key.  A pass over all texts counts how often each context occurs, whatever
-   stands there; contexts that a bitmap of fixed size knows not to be patterns are passed over.
-4. Scores.  In rounds over the graph of patterns and instances: a pattern scores the summed
-   scores of its instances over all its occurrences; a candidate scores the chance that
-   one of its patterns is right.  Seeds score one.  A pattern that ordinary words follow
-   therefore stays weak, and one whose occurrences are nearly all known is trusted.
+   the word after, and a leading ``key=`` or ``key:``, all of any length.
+3. Graph.  Values and the contexts that at least three of them have are the graph; contexts
+   are 64-bit digests and only ever joined by key.  A pass over all texts counts how often
+   each such context occurs, whatever stands there; a bitmap of fixed size spares others.
+4. Generations.  A context is a pattern of a kind if at least three different instances have it:
+   seeds at first, then what was accepted before as well, so that identifiers that one pattern
+   found teach the next.  A pattern's trust is the summed scores of its instances over all its
+   occurrences; a candidate scores the chance that one of its patterns is right.  Seeds score
+   one.  A pattern that ordinary words follow therefore stays weak, and one whose occurrences are
+   nearly all known is trusted.  Generations end when nothing new is accepted.
 5. Candidates that end above ``accept`` are added to the spans as ``found_<kind>``, seeds of
    the fifth kind as ``secret``.  Base spans stay as they are.
 
@@ -45,14 +46,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,128})(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,})(?![0-9A-Za-z])")
 _TOKEN = re.compile(WORD)
 _MARKS = re.compile(r"[0-9@=]")
-_KEYED = re.compile(r"([A-Za-z_][A-Za-z0-9_-]{1,40})[=:](?=.)")
-#: Leading bits of a context's digest that the bitmap of patterns tells apart, and digests that tell kinds of contexts apart.
-MARKED, LONG = 23, 512
+#: Leading bits of a context's digest that the bitmap tells apart, and digests that tell kinds of contexts apart.
+MARKED = 23
 PLACES = {c: np.uint64(i + 1) for i, c in enumerate("LMRK")}
-_PIECE = re.compile(r"(?:([A-Za-z_][A-Za-z0-9_-]{1,40})[\"']?[=:][\"']?)?([^&,;\"'?{}\[\]]+)")
+_PIECE = re.compile(r"(?:([A-Za-z_][A-Za-z0-9_-]++)[\"']?[=:][\"']?)?([^&,;\"'?{}\[\]]+)")
 _EDGES = "\"'`()[]{}<>,;.!?#*$%&|"
 
 
@@ -105,13 +105,9 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def pieces(token: str) -> Iterator[tuple[str | None, int, int]]:
-    """Key or nothing, start and end of a token's values: one, or those of a long token's pieces."""
-    if len(token) <= LONG:
-        keyed = _KEYED.match(token)
-        yield keyed[1] if keyed else None, keyed.end() if keyed else 0, len(token)
-    else:
-        for m in _PIECE.finditer(token):
-            yield m[1], m.start(2), m.end(2)
+    """Key or nothing, start and end of the values in a token."""
+    for m in _PIECE.finditer(token):
+        yield m[1], m.start(2), m.end(2)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, list[str]]]:
@@ -136,17 +132,13 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
     out: list[tuple[int, int, str | None, str, list[str]]] = []
     opened, closed = [], []  # base spans, overlapping ones joined
-    keys: tuple[int, dict[int, str]] = (-1, {})  # keys before a long token's values
+    keys: tuple[int, dict[int, str]] = (-1, {})  # keys before the values of a token
     for kind, a, b in base:
         first = bisect_left(starts, a + 1) - 1
-        if spans[first][1] - spans[first][0] > LONG:
-            if keys[0] != first:
-                low, high = spans[first]
-                keys = first, {low + s: key for key, s, _ in pieces(text[low:high]) if key}
-            key = keys[1].get(a)
-        else:
-            keyed = _KEYED.match(text, spans[first][0], a)
-            key = keyed[1] if keyed and keyed.end() == a else None
+        if keys[0] != first:
+            low, high = spans[first]
+            keys = first, {low + s: key for key, s, _ in pieces(text[low:high]) if key}
+        key = keys[1].get(a)
         out.append((a, b, kind, text[a:b], contexts(a, b, key.lower() if key else None)))
         if closed and a < closed[-1]:
             closed[-1] = max(closed[-1], b)
@@ -160,7 +152,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
         for key, low, high in pieces(token):
             low, high = a + low, a + high
             before = bisect_left(opened, high) - 1
-            if before >= 0 and closed[before] > (a if b - a <= LONG else low):
+            if before >= 0 and closed[before] > low:
                 continue
             bare = text[low:high].lstrip(_EDGES)
             start, value = high - len(bare), bare.rstrip(_EDGES)
@@ -220,46 +212,52 @@ def _occurrences(held):
     return run
 
 
-def _bitmap(patterns: DataFrame) -> bytes:
-    """The leading bits of the patterns' digests, one bit for each value."""
+def _bitmap(contexts: DataFrame) -> bytes:
+    """The leading bits of the contexts' digests, one bit for each value."""
     place = F.shiftrightunsigned("ctx", 64 - MARKED)
-    bits = patterns.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32_767))).alias("bits"))
+    bits = contexts.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32_767))).alias("bits"))
     out = np.zeros((1 << MARKED) // 8, np.uint8)
     for part, own in bits.collect():
         out[part * 4096 : part * 4096 + len(own)] = np.frombuffer(bytes(own), np.uint8)
     return out.tobytes()
 
 
-def find(docs: DataFrame, accept: float = 0.6, rounds: int = 3, least: int = 3) -> DataFrame:
+def find(docs: DataFrame, accept: float = 0.6, generations: int = 8, least: int = 3) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` of every row."""
-    spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = cut(texts.mapInPandas(_scan, _FIRST))
     each = first.where(F.size("cands") > 0).select("rid", F.inline("cands"))
     edges = cut(each.select("kind", "value", F.explode("ctx").alias("ctx")).groupBy("kind", "value", "ctx").agg(F.count(F.lit(1)).alias("n")))
-    seeds = edges.where("kind is not null")
-    patterns = cut(seeds.groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least).select(F.col("kind").alias("pattern_kind"), "ctx"))
-    found = _spread(spark, edges, texts, patterns, accept, rounds)
+    found = _accepted(_graph(edges, texts, least), accept, generations, least)
     added = each.join(found, "value", "left").where("kind = 'secret' or (kind is null and found is not null)")
     spans = added.groupBy("rid").agg(F.collect_list(F.struct("s", "e", F.coalesce("kind", F.concat(F.lit("found_"), "found")).alias("k"))).alias("more"))
     joined = first.drop("cands").join(spans, "rid", "left")
     return joined.mapInPandas(_merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
-def _spread(spark, edges: DataFrame, texts: DataFrame, patterns: DataFrame, accept: float, rounds: int) -> DataFrame:
-    """Score patterns and instances in turn; gives each accepted value with its best kind."""
-    held = spark.sparkContext.broadcast(_bitmap(patterns))
-    # results that are joined by key are written out, so that the joins can split a hot context
-    counted = cut(texts.select("text").mapInPandas(_occurrences(held), "ctx long, occurs long").groupBy("ctx").agg(F.sum("occurs").alias("occurs")))
-    patterns = cut(patterns.join(counted, "ctx"))
-    graph = cut(edges.join(patterns, "ctx").where("kind is null or kind = pattern_kind"))
-    scores = graph.where("kind is null").select("value", "pattern_kind").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        weighed = graph.join(scores, ["value", "pattern_kind"], "left").withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        trust = cut(weighed.groupBy("pattern_kind", "ctx").agg((F.sum(F.col("n") * F.col("score")) / F.max("occurs")).alias("trust")))
-        doubt = F.log1p(-F.least("trust", F.lit(0.999)))
-        scores = cut(graph.where("kind is null").join(trust, ["pattern_kind", "ctx"]).groupBy("value", "pattern_kind").agg((1 - F.exp(F.sum(doubt))).alias("score")))
-    return scores.where(F.col("score") >= accept).groupBy("value").agg(F.max_by("pattern_kind", F.struct("score", "pattern_kind")).alias("found"))
+def _graph(edges: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """``kind, value, ctx, n, occurs`` of contexts that could become patterns; results that are joined by key are written out, so that joins can split a hot one."""
+    often = cut(edges.groupBy("ctx").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= least).select("ctx"))
+    held = texts.sparkSession.sparkContext.broadcast(_bitmap(often))
+    counted = texts.select("text").mapInPandas(_occurrences(held), "ctx long, occurs long").groupBy("ctx").agg(F.sum("occurs").alias("occurs"))
+    return cut(edges.join(cut(counted.join(often, "ctx")), "ctx"))
+
+
+def _accepted(graph: DataFrame, accept: float, generations: int, least: int) -> DataFrame:
+    """``value, found``: accepted values with their best kind."""
+    seeds = graph.where("kind is not null").select(F.col("kind").alias("as"), "value", F.lit(1.0).alias("score")).distinct()
+    unknown = graph.where("kind is null")
+    scores, taken = graph.sparkSession.createDataFrame([], "as string, value string, score double"), -1
+    for _ in range(generations):
+        instances = cut(seeds.unionByName(scores))
+        known = graph.join(instances, "value").where("kind is null or kind = as")
+        patterns = known.groupBy("as", "ctx").agg((F.sum(F.col("n") * F.col("score")) / F.max("occurs")).alias("trust"), F.count_if(F.col("score") >= accept).alias("support"))
+        patterns = cut(patterns.where(F.col("support") >= least).select("as", "ctx", F.least("trust", F.lit(0.999)).alias("trust")))
+        scores = cut(unknown.join(patterns, "ctx").groupBy("as", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score")))
+        before, taken = taken, scores.where(F.col("score") >= accept).count()
+        if taken == before:
+            break
+    return scores.where(F.col("score") >= accept).groupBy("value").agg(F.max_by("as", F.struct("score", "as")).alias("found"))
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
