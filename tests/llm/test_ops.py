@@ -93,6 +93,32 @@ def test_line_dedup_joins_short_lines(spark):
     assert got[2] == "start it off" and got[4] == rows[4]
 
 
+def test_line_dedup_of_runs_of_any_length(spark):
+    draw = np.random.default_rng(21)
+    source = [" ".join(["w"] * int(n)) + f" {k}" for k, n in enumerate(draw.integers(0, 5, 40))]
+    rows = {}
+    for i in range(40):
+        lines = []
+        for _ in range(int(draw.integers(1, 5))):
+            at = int(draw.integers(0, 36))
+            lines += source[at : at + int(draw.integers(1, 30))] + ([""] if draw.random() < 0.3 else [])
+            if draw.random() < 0.4:
+                lines.append(f"own {i} {len(lines)}")
+        rows[i] = "\n".join(lines)
+    for least in (1, 4, 5, 8):
+        got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), least).collect()}
+        assert got == plain_line_dedup(rows, least), least
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc", "gone", "line", "lines", "seq", "__gone", "__removed", "__lines", "__doc"]
+    rows = [(i, "five words are in here\nx", *range(len(names))) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    done = linededup.line_dedup(docs)
+    assert done.columns == ["doc_id", "text", "doc", "gone", "line", "lines", "seq", "__gone", "__doc", "__lines", "__removed"]
+    assert {tuple(r) for r in done.collect()} == {(1, "five words are in here\nx", 0, 1, 2, 3, 4, 5, 8, 2, 0), (2, "", 0, 1, 2, 3, 4, 5, 8, 2, 2)}
+
+
 def test_line_dedup_odd(odd, nothing):
     done = linededup.line_dedup(odd)
     assert done.columns == [*odd.columns, "__lines", "__removed"]
@@ -124,7 +150,7 @@ def plain_substrings(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
+@pytest.mark.parametrize("limit", [1000, 1])
 def test_substrings(docs, pairs, limit):
     got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeated_passages(docs, 50, limit).collect()}
     assert got == plain_substrings(pairs)
@@ -314,11 +340,30 @@ def test_bpe(docs, pairs, odd, nothing, vocabulary, library):
 
 def test_bpe_streams_long_pieces(vocabulary, library):
     v = bpe.Vocabulary(vocabulary)
-    encoder = bpe.Encoder(v, window=1)
-    for text in ("ab" * 3000, "=-" * 2000, " " * 3000 + "x", "intheirofthe" * 300, "a<|endoftext|>b<|endoftext|>", "été" * 900, "\n\n \t" * 500, "don't I'LL we're"):
+    encoder = bpe.Encoder(v)
+    draw = np.random.default_rng(14)
+    made = ["".join(draw.choice(list("aeinorst"), 5000)), "".join(draw.choice(list("=-_*/"), 5000)), "".join(draw.choice(["the", "in", "un", "ation", "er", "zz"], 2500))]
+    for text in ("ab" * 30000, "=-" * 2000, " " * 3000 + "x", "intheirofthe" * 300, "a<|endoftext|>b<|endoftext|>", "été" * 900, "\n\n \t" * 500, "don't I'LL we're", "漢字かな交じり文" * 40_000, "漢字" * 70_000 + " and " + "字" * 200_000, *made):
         ids = np.frombuffer(b"".join(encoder.encode(text)), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
-    assert encoder.most_open <= 2 * v.longest and v.sufficient_lookahead() >= v.longest
+    assert encoder.most_open <= 2 * v.sufficient_lookahead() + 4 * bpe.PART
+
+
+def test_tokens_are_stable_after_the_lookahead(vocabulary):
+    v = bpe.Vocabulary(vocabulary)
+    encoder, ahead = bpe.Encoder(v), v.sufficient_lookahead()
+    draw = np.random.default_rng(15)
+    for _ in range(20):
+        data = "".join(draw.choice(["the", "in", "e", "st", "ation", "er", "z", "ing", "s"], 2500)).encode()[:4000]
+        whole = [t for part in encoder.transduce([data]) for t in part]
+        for end in (len(data) - 1, len(data) - 400, len(data) - 1000):
+            ends = np.cumsum([len(t) for part in encoder.transduce([data[:end]]) for t in part])
+            sure = ends[ends <= end - ahead].tolist()
+            assert sure and sure == np.cumsum(list(map(len, whole)))[: len(sure)].tolist()
+        # in parts of any size the same tokens come, the first of them before the end
+        parts = [data[i : i + 7] for i in range(0, len(data), 7)]
+        found = list(encoder.transduce(parts))
+        assert [t for part in found for t in part] == whole and len(found) > 1
 
 
 def test_decoder_holds_back_unfinished_characters(vocabulary, library):
@@ -360,6 +405,19 @@ def test_rules(docs, pairs, odd, nothing):
     assert rules.quality_rules(nothing).count() == 0
 
 
+def test_repeats_where_digests_clash(docs, pairs):
+    got = {r["doc_id"]: r["n_repeat_words"] for r in rules.base_measures(docs, fewer_bits=46).collect()}
+    assert got == {i: plain_rules(t)[4] for i, t in pairs}
+
+
+def test_every_source_has_thresholds_of_its_own(spark):
+    rows = [(i, " ".join(["word"] * 40 + [f"w{i}x{j}" for j in range(60)]) + " #" * (i % 4 if s == "a" else 20 + i % 7), "en", s) for s, n in (("a", 300), ("b", 40)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sketch = rules.sketches(rules.base_measures(docs).withColumns({f"m_{m}": c for m, c in rules.measures().items()}))
+    high = {w: {r["source"]: r["high_symbols"] for r in rules.fences(sketch, w).collect()} for w in (0, 100, 10**6)}
+    assert high[0]["b"] > high[100]["b"] > high[10**6]["b"] > 0 and high[0]["a"] < high[0]["b"]
+
+
 def test_vote_model_recovers_accuracies():
     draw = np.random.default_rng(0)
     counts, truth = Counter(), {}
@@ -396,18 +454,38 @@ def test_classifier(spark, docs, odd, nothing):
 # ---- pages --------------------------------------------------------------------------------
 
 
-def test_pages(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet")
-    html_of = {r["page_id"]: r["html"] for r in pages.collect()}
+def plain_article(page):
+    """What stands between the article tags of a page whose only inline tags are b and br."""
     import html as references
 
+    inside = page.partition("<article>")[2].partition("</article>")[0]
+    blocks = (" ".join(references.unescape(b.replace("<b>", "").replace("</b>", "").replace("<br>", " ")).split()) for b in re.split("</?(?:p|h1)>", inside))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html_of = {r["page_id"]: r["html"] for r in pages.collect()}
     for r in html.extract(pages).collect():
-        inside = html_of[r["page_id"]].partition("<article>")[2].partition("</article>")[0]
-        blocks = (" ".join(references.unescape(re.sub("</?b>|<br>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inside))
-        assert r["text"].replace(" ", "") == "\n\n".join(b for b in blocks if b).replace(" ", "")
+        assert r["text"] == plain_article(html_of[r["page_id"]])
         assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize(("opens", "closes"), [("<div>", "</div>"), ("<div id=wrap><section>", "</section></div>"), ("<table><tr><td>", "</table>"), ("", "")])
+def test_density_decides_without_an_article_element(spark, opens, closes):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    lost = sum(html.main_text(p.replace("<article>", opens).replace("</article>", closes)) != plain_article(p) for p in pages)
+    assert lost <= 0.01 * len(pages)
+
+
+def test_hidden_parts_and_white_space():
+    prose = "Some words of an article that go on for a while. " * 5
+    page = f"<body><div><p>a<b>b</b>  c\n<i> d</i>e<br>f&nbsp;g</p><p>{prose}</p><div class=\"x\" hidden><p>{prose}</p></div><p data-hidden=no>last</p></div></body>"
+    assert html.main_text(page) == f"ab c de f g\n\n{prose.strip()}\n\nlast"
+    very_long = "<body><nav>" + "<a href=x>y</a>" * 2000 + "</nav><div>" + f"<p>{prose}</p>" * 5000 + "</div></body>"
+    assert html.main_text(very_long) == "\n\n".join([prose.strip()] * 5000)
+
+
 def test_page_parts():
     prose = "Some words of an article that go on for a while. " * 5
     page = f"<html><body><header>Site</header><ul class=menu><li><a href=x>Home</a></ul><div id=content><h2>Title &amp; more</h2><p>{prose}<p>Short.<ul><li>one<li>two</ul></div><aside>s</aside><div class='cookie-notice'>c</div><form>f</form><section class=comments><p>reader</p></section><footer>f</footer></body></html>"
@@ -633,6 +711,38 @@ def test_patterns_need_three_seeds_however_many_there_are(spark):
     assert got[9100] == "found_secret:14:22" and got[9103] == ""
 
 
+def test_accepted_values_teach_new_patterns(spark):
+    rows = [(i, f"config password=deadbeef{i:05x}cafe{i:05x} end") for i in range(40)]
+    rows += [(100 + i, f"config password=alpha{i}moon end") for i in range(6)]
+    rows += [(200 + i, f"the token alpha{i}moon issued for run") for i in range(6)]
+    rows += [(300, "a token zz9plural issued for run"), (301, "password=" + "x1" * 300), (302, "a longkey" + "k" * 60 + "=b2b2"), (303, "take 5 of 12.5 or 7pm")]
+    rows += [(400 + i, "longkey" + "k" * 60 + f"={i:04x}feedbeef{i:04x}beadfeed" + "0f" * 80) for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[103] == "found_secret:16:26" and got[203] == "found_secret:10:20"
+    assert got[300] == "found_secret:8:17" and got[301] == "found_secret:9:609" and got[302] == "found_secret:70:74" and got[303] == ""
+    assert got[400].startswith("secret:68:")
+
+
+def test_recall_of_unseen_identifiers(spark):
+    """Identifiers of no fixed form behind the words that stand before seeds; at least nine in ten are found, next to no plain numbers are."""
+    draw = np.random.default_rng(31)
+    leads = ("my key is", "api_key=", "call me:", "token", "secret:")
+    rows, planted, plain = [], [], []
+    for i in range(600):
+        lead = leads[i % 5]
+        seed = draw.random() < 0.6
+        value = "".join(draw.choice(list("0123456789abcdef"), 24)) + "a0" if seed else f"{draw.choice(['sun', 'moon', 'fox'])}-{draw.integers(10**5, 10**6)}x"
+        text = f"some words {draw.integers(10, 99)}00 of {i} pages, {lead}{'' if lead[-1] in '=' else ' '}{value} and so on"
+        rows.append((i, text))
+        plain.append(f":{11}:{15}")
+        if not seed:
+            planted.append((i, text.index(value), text.index(value) + len(value)))
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = np.mean([f"found_secret:{a}:{b}" in got[i].split(",") for i, a, b in planted])
+    assert recall >= 0.9, recall
+    assert np.mean([p in got[i] for i, p in enumerate(plain)]) < 0.01
+
+
 def test_bitmap_marks_every_pattern(spark):
     ctx = pii._digested([f"L word{i}" for i in range(500)] + [f"M a{i} b" for i in range(500)])
     bits = np.unpackbits(np.frombuffer(pii._bitmap(spark.createDataFrame([(c,) for c in ctx], "ctx long")), np.uint8), bitorder="little")
@@ -698,7 +808,7 @@ def test_texts_under_one_id_lose_their_own_words(spark):
     assert got == [(61, 60, "three"), (61, 60, "three"), (62, 60, "one two")]
 
 
-@pytest.mark.parametrize("limit", [1, 7, 2000])
+@pytest.mark.parametrize("limit", [1, 7, 1000])
 def test_substrings_of_many_near_copies(spark, limit):
     draw = np.random.default_rng(12)
     base = [f"b{i}" for i in range(140)]
