@@ -2,15 +2,17 @@
 
 1. Seven overlapping heuristic labellers vote "bad", "good" or nothing on each text:
    symbols, capitals, repeated words, repeated lines, table rows, exclamations, and a
-   lexicon of abuse.  The lexicon starts from fixed English words; words and word
-   beginnings that set toxic from clean documents apart are added from a bounded sample
-   of labelled rows (``LABELLED_ROWS``), which is all that labels are used for.
+   lexicon of abuse.  The lexicon starts from fixed English words; words and word beginnings that
+   set toxic from clean documents apart are added from a bounded sample of labelled rows
+   (``LABELLED_ROWS``), and so are beginnings of which a toxic document has ``BURST`` different
+   words or more, which a few labelled documents of a language suffice to tell.
 2. Votes of all documents are counted by pattern; there are at most ``3**7`` patterns,
    so the counts fit any driver.  Expectation-maximisation over the patterns estimates the
    share of bad documents and each labeller's accuracies (one table of vote
    probabilities a class), without labels.
 3. The posterior of a pattern is the label of a document in a bounded training sample
-   (``TRAINING_ROWS``, those whose digests are smallest), on which a logistic scorer over
+   (``TRAINING_ROWS``, those whose digests are smallest, and ``TOXIC_ROWS`` labelled toxic ones,
+   which are bad whatever the votes), on which a logistic scorer over
    hashed features is fitted by proximal updates that keep most weights zero.  Features:
    distinct words, their first four and five characters, and the measures in steps.
 4. The scorer reads every document; ``kept`` is a score below one half.
@@ -24,6 +26,7 @@ labels counts once for each.  Columns besides the named ones are not read.
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,11 @@ from pyspark.sql import functions as F
 from tessera.llm.words import CACHE_ENTRIES, batches
 
 #: Bounds of the samples on which lexicon and scorer are fitted.
-LABELLED_ROWS, TRAINING_ROWS = 20_000, 15_000
+LABELLED_ROWS, TRAINING_ROWS, TOXIC_ROWS = 20_000, 15_000, 5_000
+#: How often a labelled toxic row counts in training: there are few of them, and labels are surer than votes.
+TOXIC_WEIGHT = 3
+#: Different words with one beginning that count as a burst of it, and lengths of such beginnings.
+BURST, BEGINNINGS = 3, (4, 5, 6, 7)
 DIMENSIONS = 1 << 18
 #: Words of abuse to start from.
 ABUSE = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "disgusting", "worthless")
@@ -57,17 +64,38 @@ def terms(word: bytes) -> list[bytes]:
     return [bare, *[b"^" + text[:n].encode() for n in (4, 5) if len(text) >= n]] if bare else []
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    """Beginnings of a word of which several different words may make a burst."""
+    text = word.strip(_EDGES).decode("utf-8", "ignore")
+    return [f"{BURST}^{text[:n]}".encode() for n in BEGINNINGS if len(text) >= n]
+
+
+def bursts(words: set[bytes]) -> list[bytes]:
+    """Beginnings of which a text's different words make a burst."""
+    bare = {w.strip(_EDGES) for w in words}
+    return [t for t, n in Counter(t for w in bare for t in beginnings(w)).items() if n >= BURST]
+
+
 class Abuse(dict):
-    """Word to whether the lexicon has one of its terms."""
+    """Word to nothing, or to whether the lexicon has one of its terms and the beginnings that it has of it."""
 
     def __init__(self, lexicon: frozenset[bytes]) -> None:
         self.lexicon = lexicon
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[bool, tuple[bytes, ...]] | None:
         if len(self) >= CACHE_ENTRIES // 2:
             self.clear()
-        hit = self[word] = int(not self.lexicon.isdisjoint(terms(word)))
-        return hit
+        found = not self.lexicon.isdisjoint(terms(word)), tuple(t for t in beginnings(word) if t in self.lexicon)
+        said = self[word] = found if found[0] or found[1] else None
+        return said
+
+    def count(self, words: set[bytes]) -> int:
+        """Words that the lexicon has, and beginnings that burst."""
+        found = [x for x in map(self.__getitem__, words) if x is not None]
+        if not found:
+            return 0
+        several = Counter(t for _, own in found for t in own)
+        return sum(hit for hit, _ in found) + sum(n >= BURST for n in several.values())
 
 
 def measure(text: str | None, abuse: Abuse) -> tuple[set[bytes], list[float]] | None:
@@ -85,7 +113,7 @@ def measure(text: str | None, abuse: Abuse) -> tuple[set[bytes], list[float]] |
         1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
         text.count(" | ") / n,
         text.count("!!") / n,
-        float(sum(map(abuse.__getitem__, distinct))),
+        float(abuse.count(distinct)),
     ]
 
 
@@ -183,9 +211,13 @@ def _smallest(rows: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
 
 
-def abuse_lexicon(docs: DataFrame, labels: DataFrame, least: int = 6, most_terms: int = 4000) -> frozenset[bytes]:
-    """Fixed words, and terms that at least ``least`` toxic and nearly no clean documents of the labelled sample have."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+def _marked(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+
+
+def abuse_lexicon(docs: DataFrame, labels: DataFrame, least: int = 6, least_bursts: int = 3, most_terms: int = 4000) -> frozenset[bytes]:
+    """Fixed words, and terms that at least ``least`` (bursts: ``least_bursts``) toxic and nearly no clean documents of the labelled sample have."""
+    marked = _marked(labels)
     sample = marked.join(_smallest(marked, LABELLED_ROWS), "doc_id").distinct()
     texts = docs.join(F.broadcast(sample.orderBy("doc_id").limit(2 * LABELLED_ROWS)), "doc_id").select("toxic", "text")
 
@@ -194,14 +226,15 @@ def abuse_lexicon(docs: DataFrame, labels: DataFrame, least: int = 6, most_terms
             counts: dict[bytes, list[int]] = {}
             for toxic, text in zip(frame["toxic"], frame["text"], strict=True):
                 words = set((text or "").lower().encode("utf-8", "surrogatepass").split())
-                for t in {t for w in words for t in terms(w)}:
+                for t in {*(t for w in words for t in terms(w)), *bursts(words)}:
                     c = counts.setdefault(t, [0, 0])
                     c[0 if toxic else 1] += 1
             # a term without toxic documents in this piece still counts against others of its name
             yield pd.DataFrame({"term": list(counts), "toxic": [c[0] for c in counts.values()], "clean": [c[1] for c in counts.values()]})
 
     found = texts.mapInPandas(run, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = found.where((F.col("toxic") >= least) & (F.col("clean") * 100 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(most_terms)
+    enough = F.when(F.col("term").startswith(F.lit(f"{BURST}^").cast("binary")), least_bursts).otherwise(least)
+    kept = found.where((F.col("toxic") >= enough) & (F.col("clean") * 100 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(most_terms)
     return frozenset([bytes(r[0]) for r in kept.select("term").collect()]) | {w.encode() for w in ABUSE}
 
 
@@ -261,14 +294,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         abuse, places = Abuse(lexicon), Places()
         for frame in batches(frames):
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, text, toxic in zip(frame["doc_id"], frame["text"], frame["toxic"], strict=True):
                 found = measure(text, abuse)
                 if found is not None:
                     ids = [_place(b"=bias"), *map(_place, _steps(found[1]))]
                     values = [MEASURE_VALUE] * len(ids)
                     ids += [i for w in sorted(found[0]) for i in places[w]]
                     values += [damped(len(found[0]))] * (len(ids) - len(values))
-                    out.append((doc, np.array(ids, np.int32), np.array(values, np.float32), posterior.get(votes(found[1]), 0.5)))
+                    row = (doc, np.array(ids, np.int32), np.array(values, np.float32), 1.0 if toxic else posterior.get(votes(found[1]), 0.5))
+                    out += [row] * (TOXIC_WEIGHT if toxic else 1)
             yield pd.DataFrame(out, columns=["doc_id", "places", "v", "y"])
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows.sort(key=lambda r: r[0])
         yield pd.DataFrame({"weights": [train([r[1:] for r in rows]).tobytes()]})
 
-    chosen = texts.join(_smallest(texts, TRAINING_ROWS), "doc_id").mapInPandas(features, "doc_id long, places array<int>, v array<float>, y double")
+    some = _smallest(texts, TRAINING_ROWS).withColumn("toxic", F.lit(False))
+    worst = _smallest(_marked(labels).where("toxic = 1"), TOXIC_ROWS).withColumn("toxic", F.lit(True))
+    ids = some.unionByName(worst).groupBy("doc_id").agg(F.bool_or("toxic").alias("toxic"))  # at most both samples
+    chosen = texts.join(F.broadcast(ids), "doc_id").mapInPandas(features, "doc_id long, places array<int>, v array<float>, y double")
     learned = chosen.repartition(1).mapInPandas(learn, "weights binary").first()
     return Model(lexicon, posterior, np.frombuffer(learned[0], np.float32) if learned else np.zeros(DIMENSIONS, np.float32))
 
