@@ -1,16 +1,18 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Fingerprints of 64 bits link when they differ in at most two.  A random map sends the
-64 bit places to vectors of three bits; for each of the seven non-zero vectors ``v`` the
-mask of table ``v`` keeps the places whose vector has an odd product with ``v``.  The
-vectors of any two places span at most two of three dimensions, so some ``v`` is
+Fingerprints of 64 bits link when they differ in at most two.  A map sends the 64 bit places
+to non-zero vectors of three bits, nine or ten places to each; for each of the seven vectors ``v``
+the mask of table ``v`` keeps the places whose vector has an odd product with ``v``, 36 or 37 of
+them.  The vectors of any two places span at most two of three dimensions, so some ``v`` is
 orthogonal to both: two fingerprints that differ in those places agree under that mask.
 Every linked pair therefore meets in a bucket of some table (Pagh's construction).
 
-A bucket may hold thousands of near copies, so its pairs are never listed.  Inside a
-bucket two fingerprints can differ only in places that the mask drops; each member
-emits itself and its one-bit variants in those places, and members that emit the same
-value are within two bits.  All of them hang below the smallest document of that value.
+Most buckets hold a few fingerprints, whatever the corpus: 2**36 values for each table leave
+chance meetings rare.  Up to ``SMALL`` of them are compared in one row.  A larger one, of
+near copies, may hold thousands, so its pairs are never listed.  Inside a bucket two
+fingerprints can differ only in places that the mask drops; each member emits itself and
+its one-bit variants in those places, and members that emit the same value are within
+two bits.  All of them hang below the smallest document of that value.
 
 Null and empty texts have fingerprint zero, linked like any other.  Rows with a null
 doc_id get a fingerprint and the component of their fingerprint, but never name one.
@@ -35,6 +37,8 @@ from tessera.plans.lineage import cut
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Fingerprints of a bucket that are compared in one row.
+SMALL = 32
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -71,7 +75,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def covering_masks(radius: int = 2, bits: int = 64, seed: int = 5) -> list[int]:
     """The ``2**(radius+1) - 1`` masks of the covering construction, as signed longs."""
     draw = random.Random(seed)
-    vectors = [draw.randrange(2 ** (radius + 1)) for _ in range(bits)]
+    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+    draw.shuffle(vectors)
     masks = []
     for v in range(1, 2 ** (radius + 1)):
         mask = sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2)
@@ -93,13 +98,18 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for t, m in enumerate(masks)])
     placed = distinct.select("fp", "rep", F.inline(tables))
     # buckets and hubs are written out, so that joins with them can split large ones
-    shared = cut(placed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("table", "bucket"))
-    members = placed.join(shared, ["table", "bucket"]).select("fp", "rep", "table")
+    shared = cut(placed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("table", "bucket", (F.col("members") > SMALL).alias("large")))
+    inside = placed.join(shared, ["table", "bucket"])
+    few = inside.where("not large").groupBy("table", "bucket").agg(F.collect_list(F.struct("fp", "rep")).alias("m"))
+    near = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> bit_count(x.fp ^ y.fp) <= 2), y -> struct(greatest(x.rep, y.rep) as src, least(x.rep, y.rep) as dst))))")
+    direct = few.select(F.inline(near))
+    members = inside.where("large").select("fp", "rep", "table")
     flips = F.array(*[F.array(*[F.lit(f) for f in [0, *(_signed_bit(i) for i in range(64) if not (m >> i) & 1)]]) for m in masks])
     variants = members.select("rep", F.col("fp"), F.explode(flips[F.col("table")]).alias("flip")).select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("value")).distinct()
     variants = cut(variants)
     hubs = cut(variants.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "hub"))
-    return variants.join(hubs, "value").where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
+    by_hub = variants.join(hubs, "value").where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
+    return direct.unionByName(by_hub).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
