@@ -12,18 +12,21 @@ the doc_id leaves remainder 1 by 5 are held out; everything is learned from the
    previous word, previous two words together, the word before the previous (a skip),
    the one before that (a wider skip), and a constant; rare words, pairs and wider skips are
    hashed to a fixed number of rows.
-   Every partition makes adaptive gradient updates on its own
-   documents in batches; the partitions' weights are then mixed, each row in proportion
-   to how often a partition has seen it, over a tree whose groups hold at most 64.
+   Training documents are dealt by their digests to shards of about ``SHARD`` tokens, as many
+   as the tokens ask for, and read in the order of their digests; every shard makes
+   adaptive gradient updates in batches of fixed size, and the shards' weights are then mixed, each row in
+   proportion to how often a shard has seen it, over a tree whose groups hold at most 64.  So
+   scores depend on the rows and not on how they lie in files and partitions.
 4. Inside a class of head words the word is chosen by softmaxes over the same features along
    a tree of ``WAYS`` branches whose frequent words are near the root (Huffman's), so that its
    chance is normalised over the class's words.  A branch's share of training tokens is the
    softmax's prior; pairs of feature and node are hashed to a fixed number of rows.  In the tail one
    count's discount, ``n1 / (n1 + 2 n2)`` over all training words and kept between 0 and 1 by
-   half a word, is kept back for the one unknown word.  A head word
-   equal to its predecessor sums both ways; for a tail word only the first is counted.
+   half a word, is kept back for the one unknown word.  A word equal to its predecessor
+   sums both ways to say it, head word or not.
 
-``score`` is the model's log10 probability of the text, computed in numpy batches; what
+Texts are turned into codes once, after the head is known, and written out; all later passes
+read codes.  ``score`` is the model's log10 probability of the text, computed in numpy batches; what
 tail words add comes from the join.  ``base_score`` is the smoothed unigram score.
 
 Null and empty texts are one end.  Null doc_ids count as training documents.  Rows are
@@ -35,15 +38,15 @@ unknown, and an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import batches, hashed_words
+from tessera.llm.words import WordDigests, batches, encoded, hashed_words
 from tessera.plans.lineage import cut
 
 HEAD, CLASSES = 65_536, 32
@@ -53,11 +56,15 @@ WORD_ROWS = OWN + OTHER
 ROWS = 1 + 2 * WORD_ROWS + PAIRS + WIDE
 #: Rows of weights inside classes, the row of all nodes first, and branches of a node.
 INNER, WAYS = 65_536, 16
-FOLLOWED, BATCH, BLOCK, FAN = 64, 8_192, 512, 64
+FOLLOWED, BATCH, BLOCK, FAN, DOCUMENTS = 64, 8_192, 512, 64, 1_000
 REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
 #: Key of the end, which no word has but by chance, code before a text, characters of a piece.
 END_KEY, START, PIECE = (1 << 62) + 1, -1 - HEAD, 2_000_000
 RATE = 0.25
+#: Training tokens of a shard, more or less.
+SHARD = 2_000_000
+#: Words that a task counts before it gives its counts away.
+COUNTED = 300_000
 
 
 def keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,11 +113,23 @@ class Places:
         return out
 
 
+def _counted(counts: Counter, ends: int) -> pd.DataFrame:
+    keys = (WordDigests().of(list(counts)) >> np.uint64(1)).astype(np.int64)
+    return pd.DataFrame({"word": np.append(keys, END_KEY), "c": np.append(np.fromiter(counts.values(), np.int64, len(counts)), ends)})
+
+
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches(frames, 2 * PIECE):
-        digests, _ = hashed_words(frame["text"].tolist())
-        found, n = np.unique((digests >> np.uint64(1)).astype(np.int64), return_counts=True)
-        yield pd.DataFrame({"word": np.append(found, END_KEY), "c": np.append(n, len(frame)).astype(np.int64)})
+    """Counts of the words of all texts, given away whenever a task holds ``COUNTED`` words."""
+    counts, ends = Counter(), 0
+    for frame in frames:
+        for text in frame["text"]:
+            counts.update(encoded(text).lower().split())
+        ends += len(frame)
+        if len(counts) >= COUNTED:
+            yield _counted(counts, ends)
+            counts, ends = Counter(), 0
+    if ends:
+        yield _counted(counts, ends)
 
 
 def _hashed(values: np.ndarray, rows: int) -> np.ndarray:
@@ -148,7 +167,7 @@ def context_rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def labels(codes: np.ndarray, previous: np.ndarray, class_of: np.ndarray) -> np.ndarray:
-    kind = np.where(codes < 0, class_of[np.clip(-1 - codes, 0, len(class_of) - 1)], TAIL)
+    kind = np.where(codes < 0, class_of[np.clip(-1 - codes, 0, len(class_of) - 1)], TAIL) if len(class_of) else np.full(len(codes), TAIL)
     return np.where(codes == previous, REPEAT, kind)
 
 
@@ -196,10 +215,31 @@ class Trainer:
         self.seen[own] += np.append(size, len(wanted))
 
 
-def _sequences(frame: pd.DataFrame, places: Places) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens of a frame's texts, and where each text starts."""
-    keys, starts, _ = keyed(frame["text"].tolist())
-    return places.codes(keys), starts
+def _code(held):
+    """Texts to codes: places of head words, and the keys of all other words in their order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = Places(held.value)
+        for frame in batches(frames, PIECE):
+            keys, starts, _ = keyed(frame["text"].tolist())
+            codes = places.codes(keys)
+            ends = np.append(starts[1:], len(codes)).tolist()
+            short, out = np.minimum(codes, 0).astype(np.int32), codes >= 0
+            cuts = list(zip(starts.tolist(), ends, strict=True))
+            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "mark": frame["mark"], "held_out": frame["held_out"], "codes": [short[a:b].tobytes() for a, b in cuts], "tail": [codes[a:b][out[a:b]].tobytes() for a, b in cuts]})
+
+    return run
+
+
+_CODED = "rid long, doc_id long, mark long, held_out boolean, codes binary, tail binary"
+
+
+def _sequences(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens of a frame's texts, and where each text starts; the key of the word for words beyond the head."""
+    codes = np.frombuffer(b"".join(frame["codes"]), np.int32).astype(np.int64)
+    codes[codes >= 0] = np.frombuffer(b"".join(frame["tail"]), np.int64)
+    sizes = np.fromiter(map(len, frame["codes"]), np.int64, len(frame)) // 4
+    return codes, np.concatenate(([0], sizes.cumsum()[:-1])).astype(np.int64)
 
 
 def cluster(points: np.ndarray, counts: np.ndarray, groups: int, rounds: int = 12) -> np.ndarray:
@@ -289,55 +329,60 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
 
-def _followed(spark, train: DataFrame, head: np.ndarray) -> np.ndarray:
-    """How often each head word follows each of the most frequent words (the last column: any other)."""
-    held = spark.sparkContext.broadcast(head)
+def _followed(train: DataFrame, size: int) -> np.ndarray:
+    """How often each of ``size`` head words follows each of the most frequent words (the last column: any other)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, size = Places(held.value), len(held.value) * FOLLOWED
-        sums = np.zeros(size, np.int64)
-        for frame in batches(frames, 2 * PIECE):
-            all_codes, starts = _sequences(frame, codes)
+        sums = np.zeros(size * FOLLOWED, np.int64)
+        for frame in frames:
+            all_codes, starts = _sequences(frame)
             place = -1 - _before(all_codes, starts, 1)
             column = np.where((place >= 0) & (place < FOLLOWED - 1), place, FOLLOWED - 1)
             own = all_codes < 0
-            sums += np.bincount((-1 - all_codes[own]) * FOLLOWED + column[own], minlength=size)
+            np.add.at(sums, (-1 - all_codes[own]) * FOLLOWED + column[own], 1)
         cell = np.flatnonzero(sums)
         for at in range(0, len(cell), 100_000):
             part = cell[at : at + 100_000]
             yield pd.DataFrame({"cell": part, "n": sums[part]})
 
-    found = train.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(head) * FOLLOWED, np.float32)
+    found = train.select("codes", "tail").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * FOLLOWED, np.float32)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(len(head), FOLLOWED)
+    return out.reshape(size, FOLLOWED)
+
+
+def _learned(rows: pd.DataFrame, class_of: np.ndarray, trees: Trees) -> tuple[Trainer, Trainer]:
+    """Weights of classes and inside them after the documents of one shard."""
+    trainer, inside = Trainer(ROWS, CLASSES), Trainer(INNER, WAYS)
+    rows = rows.sort_values(["mark", "doc_id"], kind="stable")
+    for low in range(0, len(rows), DOCUMENTS):
+        all_codes, starts = _sequences(rows.iloc[low : low + DOCUMENTS])
+        contexts, previous = context_rows(all_codes, starts)
+        wanted = labels(all_codes, previous, class_of)
+        for at in range(0, len(wanted), BATCH):
+            part = slice(at, at + BATCH)
+            trainer.update(contexts[part], wanted[part])
+            own = np.flatnonzero((all_codes[part] < 0) & (wanted[part] != REPEAT))
+            _, inner, branch, prior = trees.steps(-1 - all_codes[part][own], contexts[part][own])
+            if len(branch):
+                inside.update(inner, branch, prior)
+    return trainer, inside
 
 
 def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and inside them after one pass of every partition over its documents and a tree of mixtures."""
-    held = spark.sparkContext.broadcast((model.head, model.class_of, model.trees))
+    """Weights of classes and inside them after one pass of every shard over its documents and a tree of mixtures."""
+    held = spark.sparkContext.broadcast((model.class_of, model.trees))
     inner_from = -(-ROWS // BLOCK)  # blocks of the weights inside classes come after the others
+    shards = max(-(-model.total // SHARD), 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, class_of, trees = held.value
-        codes, trainer, inside = Places(head), Trainer(ROWS, CLASSES), Trainer(INNER, WAYS)
-        for frame in batches(frames, PIECE):
-            all_codes, starts = _sequences(frame, codes)
-            rows, previous = context_rows(all_codes, starts)
-            wanted = labels(all_codes, previous, class_of)
-            for at in range(0, len(wanted), BATCH):
-                part = slice(at, at + BATCH)
-                trainer.update(rows[part], wanted[part])
-                own = np.flatnonzero((all_codes[part] < 0) & (wanted[part] != REPEAT))
-                _, inner, branch, prior = trees.steps(-1 - all_codes[part][own], rows[part][own])
-                if len(branch):
-                    inside.update(inner, branch, prior)
-        shard = TaskContext.get().partitionId()
-        for which, low in ((trainer, 0), (inside, inner_from)):
-            for block in range(-(-len(which.seen) // BLOCK)):
-                part = slice(block * BLOCK, (block + 1) * BLOCK)
-                if which.seen[part].any():
-                    yield pd.DataFrame({"shard": [shard], "block": [low + block], "seen": [which.seen[part].tobytes()], "weights": [which.weights[part].tobytes()]})
+        held_rows = list(frames)
+        for shard, rows in pd.concat(held_rows, ignore_index=True).groupby("shard") if held_rows else ():
+            for which, low in zip(_learned(rows, *held.value), (0, inner_from), strict=True):
+                for block in range(-(-len(which.seen) // BLOCK)):
+                    part = slice(block * BLOCK, (block + 1) * BLOCK)
+                    if which.seen[part].any():
+                        yield pd.DataFrame({"shard": [shard], "block": [low + block], "seen": [which.seen[part].tobytes()], "weights": [which.weights[part].tobytes()]})
 
     def mixed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
@@ -348,8 +393,8 @@ def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0]) // FAN], "block": [int(rows["block"].iloc[0])], "seen": [total.tobytes()], "weights": [weights.tobytes()]})
 
     schema = "shard int, block int, seen binary, weights binary"
-    shards = max(train.rdd.getNumPartitions(), 1)
-    parts = train.select("text").mapInPandas(run, schema)
+    dealt = train.select(F.pmod(F.xxhash64("mark", "doc_id"), F.lit(shards)).cast("int").alias("shard"), "mark", "doc_id", "codes", "tail")
+    parts = dealt.repartitionById(shards, "shard").mapInPandas(run, schema)
     while True:
         parts = parts.withColumn("group", F.floor(F.col("shard") / FAN)).groupBy("block", "group").applyInPandas(lambda rows: mixed(rows.drop(columns="group")), schema)
         shards = -(-shards // FAN)
@@ -363,18 +408,24 @@ def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
     return weights, inner
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
+_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>, again array<long>, again_repeat array<double>, again_tail array<double>"
+
+
+def _cut_at(starts: np.ndarray, places: np.ndarray, *arrays: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Arrays of values at places, in the parts that lie in each text."""
+    cuts = np.append(np.searchsorted(places, starts), len(places)).tolist()
+    for values in arrays:
+        yield [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _score(held):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = held.value
-        codes = Places(model.head)
-        for frame in batches(frames, PIECE):
-            all_codes, starts = _sequences(frame, codes)
+        for frame in frames:
+            all_codes, starts = _sequences(frame)
             rows, previous = context_rows(all_codes, starts)
             wanted = labels(all_codes, previous, model.class_of)
-            value = np.empty(len(all_codes))
+            value, repeat, tail = (np.empty(len(all_codes)) for _ in range(3))
             in_head, place = all_codes < 0, np.maximum(-1 - all_codes, 0)
             for at in range(0, len(value), BATCH):
                 part = slice(at, at + BATCH)
@@ -387,20 +438,22 @@ def _score(held):
                     plain = in_head[part] & ~again
                     both = np.logaddexp(own, logs[np.arange(len(logs)), model.class_of[place[part]]] + inside)
                     own = np.where(again, both, np.where(plain, own + inside, own))
-                value[part] = own
+                value[part], repeat[part], tail[part] = own, logs[:, REPEAT], logs[:, TAIL]
             base = np.where(in_head, model.base[np.minimum(place, max(len(model.base) - 1, 0))], 0.0) if len(model.base) else np.zeros(len(value))
             sums = lambda x: np.add.reduceat(x, starts)
             ends = np.append(starts[1:], len(all_codes))
-            # words of the tail by text; a negative count marks words said again, which have their class already
-            out = ~in_head
-            whose = np.repeat(np.arange(len(starts)), ends - starts)[out]
-            said = np.where(wanted[out] == REPEAT, -1, 1)
-            grouped = pd.DataFrame({"text": whose, "word": all_codes[out], "n": said}).groupby(["text", "word", np.sign(said)], sort=True)["n"].sum().reset_index(level=2, drop=True).reset_index()
-            cuts = np.searchsorted(grouped["text"].to_numpy(), np.arange(len(starts) + 1))
-            words, n = grouped["word"].to_numpy(), grouped["n"].to_numpy(np.int32)
-            tails = [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            times = [n[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": ends - starts, "known": sums(in_head.astype(np.int64)), "base": sums(base), "score": sums(value) / np.log(10), "tail": tails, "times": times})
+            # words beyond the head, whose shares are joined by key; those said again have two ways, which meet there
+            twice = np.flatnonzero(~in_head & (wanted == REPEAT))
+            value[twice] = 0.0
+            once = np.flatnonzero(~in_head & (wanted != REPEAT))
+            whose = np.repeat(np.arange(len(starts)), ends - starts)[once]
+            order = np.lexsort((all_codes[once], whose))
+            whose, words = whose[order], all_codes[once][order]
+            first = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (words[1:] != words[:-1])))) if len(words) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(words))).astype(np.int32)
+            tails, counts = _cut_at(np.arange(len(starts)), whose[first], words[first], times)
+            said, ways, others = _cut_at(starts, twice, all_codes[twice], repeat[twice], tail[twice])
+            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": ends - starts, "known": sums(in_head.astype(np.int64)), "base": sums(base), "score": sums(value) / np.log(10), "tail": tails, "times": counts, "again": said, "again_repeat": ways, "again_tail": others})
 
     return run
 
@@ -428,7 +481,11 @@ def score(docs: DataFrame) -> DataFrame:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.where(F.col("c") >= _least_count(counts)).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head, own = top["word"].to_numpy(), top["c"].to_numpy()
-    class_of = FIRST + cluster(_followed(spark, train, head), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
+    held = spark.sparkContext.broadcast(head)
+    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("mark"), "held_out", "text")
+    coded = cut(numbered.mapInPandas(_code(held), _CODED))
+    train = coded.where(~F.col("held_out"))
+    class_of = FIRST + cluster(_followed(train, len(head)), own, CLASSES - FIRST) if len(head) else np.zeros(0, np.int64)
     class_of[head == END_KEY] = END
     model = Model(head, own, class_of, sums["n"], sums["v"])
     in_tail = F.col("c") < 2
@@ -439,16 +496,17 @@ def score(docs: DataFrame) -> DataFrame:
     if len(head):
         model.weights, model.inner = _train(spark, train, model)
     held = spark.sparkContext.broadcast(model)
-    numbered = texts.withColumn("rid", F.monotonically_increasing_id())
-    scored = cut(numbered.mapInPandas(_score(held), _SCORED))
+    scored = cut(coded.drop("mark").mapInPandas(_score(held), _SCORED))
     # the tail's share of the scores
     mass, discount, unknown = model.tail_shares(rare["v"], rare["n1"], rare["n2"])
     base_norm = sums["n"] + 0.5 * (sums["v"] + 1)
-    times = F.abs("n")
-    c = F.coalesce("c", F.lit(0))
-    inside = F.when(c > 0, F.log10((c - F.lit(discount)) / F.lit(mass))).otherwise(F.lit(float(np.log10(unknown))))
-    words = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("times").alias("n")))).join(tail, "word", "left")
-    added = words.groupBy("rid").agg(F.sum(times * F.log10((c + 0.5) / F.lit(float(base_norm)))).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("n") * inside).otherwise(0.0)).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"))
-    joined = scored.drop("tail", "times").join(added, "rid", "left")
+    c, n = F.coalesce("c", F.lit(0)), F.col("n")
+    inside = F.when(c > 0, F.ln((c - F.lit(discount)) / F.lit(mass))).otherwise(F.lit(float(np.log(unknown))))
+    share = F.when(F.col("repeat").isNull(), n * inside).otherwise(F.greatest("repeat", F.col("other") + inside) + F.log1p(F.exp(-F.abs(F.col("repeat") - F.col("other") - inside))))
+    once = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("times").alias("n")))).select("rid", "word", "n", F.lit(None).cast("double").alias("repeat"), F.lit(None).cast("double").alias("other"))
+    again = scored.where(F.size("again") > 0).select("rid", F.inline(F.arrays_zip(F.col("again").alias("word"), F.col("again_repeat").alias("repeat"), F.col("again_tail").alias("other")))).select("rid", "word", F.lit(1).alias("n"), "repeat", "other")
+    words = once.unionByName(again).join(tail, "word", "left")
+    added = words.groupBy("rid").agg(F.sum(n * F.log10((c + 0.5) / F.lit(float(base_norm)))).alias("more_base"), (F.sum(share) / float(np.log(10))).alias("more"), F.sum(F.when(c > 0, n).otherwise(0)).alias("more_known"))
+    joined = scored.drop("tail", "times", "again", "again_repeat", "again_tail").join(added, "rid", "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).cast("long").alias("n_known"), F.lit(int(sums["n"])).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more")).alias("score"))
