@@ -49,6 +49,8 @@ from tessera.plans.lineage import cut
 ANCHOR = 16
 #: Characters of text that are read at once, and bundles that a task sorts at once.
 PIECE, SORTED = 1_000_000, 4_000
+#: Parts into which the copies of a bundle are dealt.
+SALTS = 16
 #: Documents that loses by text, and what a bundle's windows are: n of them, the first at each of the words in ``at``, the anchor ``back`` words on.
 _OF_DOC = "doc_id long, mark long"
 _BUNDLE = f"{_OF_DOC}, prefix long, at array<int>, back int, n int, words binary"
@@ -263,7 +265,10 @@ def repeated_passages(docs: DataFrame, length: int = 50, group_limit: int = 1000
         distinct = cut(distinct.select("prefix", "bundle", F.lit(0).alias("first"), "back", "n", "words", "low", "high"))
         # the windows of one bundle, so that a copy of it is one row however many smallest documents they have
         found = _large_groups(distinct, length, anchor, group_limit).groupBy("bundle").agg(F.collect_list(F.struct("at", "run", "least")).alias("windows"), F.min("least").alias("least"))
-        joined = often.select("doc_id", "mark", "bundle", "at").join(cut(found), "bundle").where("least < doc_id")
+        # dealt out by salt, as one bundle may be in any number of documents
+        found = cut(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        copies = often.select("doc_id", "mark", "bundle", "at", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        joined = copies.join(found, ["bundle", "salt"]).where("least < doc_id")
         own = F.transform(F.filter("windows", lambda w: w["least"] < F.col("doc_id")), lambda w: F.struct(w["at"].alias("at"), w["run"].alias("run")))
         hits = hits.unionByName(joined.select("doc_id", "mark", "at", own.alias("windows")))
     return hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "windows")).alias("starts"))
