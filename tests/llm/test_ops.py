@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, classifier, decontaminate, html, linededup, lm, pii, rules, simhash, substrings
 
@@ -204,7 +205,9 @@ def test_near_duplicates(docs, pairs):
     assert got == plain_components(pairs)
 
 
-def test_links_within_two_bits(spark):
+@pytest.mark.parametrize("small", [1, 4, 32])
+def test_links_within_two_bits(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
     draw = np.random.default_rng(1)
     base = [int(x) for x in draw.integers(0, 2**63, 30)]
     prints = {}
@@ -235,7 +238,7 @@ def test_links_within_two_bits(spark):
 
 def test_covering_masks_cover_all_pairs():
     masks = [m & (2**64 - 1) for m in simhash.covering_masks()]
-    assert len(masks) == 7
+    assert len(masks) == 7 and all(m.bit_count() in (36, 37) for m in masks)
     assert all(any(not m & (1 << a | 1 << b) for m in masks) for a in range(64) for b in range(a))
 
 
@@ -296,12 +299,32 @@ def test_decontamination_edits(spark):
 
 def test_multi_index_finds_all_within_radius():
     draw = np.random.default_rng(3)
-    texts = [(i, " ".join(f"w{draw.integers(0, 40)}" for _ in range(30))) for i in range(40)]
-    items = decontaminate.Items(texts, 28)
-    found = draw.integers(0, 2**63, 500).astype(np.uint64)
-    window, item = items.candidates(30, found)
-    near = np.bitwise_count(found[:, None] ^ items.fps[30][None, :]) <= 28
-    assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(near)), strict=True))
+    rows = [(i, i, " ".join(f"w{draw.integers(0, 40)}" for _ in range(30))) for i in range(40)]
+    items = decontaminate.Items(rows, 68)
+    fps = items.fps[30]
+    found = [draw.integers(0, 256, (200, 32)).astype(np.uint8)]
+    for far in (0, 30, 60, 66, 67, 68, 69, 72, 90):  # so many bits from an item, spread at random and crowded into few blocks
+        for crowd in (256, 120, far):
+            for _ in range(10 if far else 1):
+                flips = np.zeros(256, np.uint8)
+                flips[draw.choice(max(crowd, far), far, replace=False)] = 1
+                found.append(fps[draw.integers(0, 40)][None, :] ^ np.packbits(flips)[None, :])
+    found = np.concatenate(found)
+    far = np.bitwise_count(found[:, None, :] ^ fps[None, :, :]).sum(axis=2)
+    assert set(items.candidates(30, found)) == set(zip(*map(list, np.nonzero(far <= 68)), strict=True)) and (far == 68).any()
+    assert (sum(items.tables[30][b][found[:200, b]].astype(int) for b in range(32)) >= items.least).mean() < 0.05  # the index is selective
+
+
+def test_decontamination_keeps_columns_and_repeats(spark):
+    item = " ".join(f"t{i}" for i in range(40))
+    long = " ".join(f"w{i % 977}" for i in range(120_000)) + " " + item + " tail"
+    rows = [(1, item, "a", 1, "x"), (1, item, "a", 1, "x"), (2, "clean words only", "b", 2, "y"), (2, "clean words only", "b", 2, "y"), (3, long, None, 3, "z"), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, rid long, tokens string")
+    items = spark.createDataFrame([(1, item, 5), (2, item, 5)], "item_id long, text string, rid int")
+    got = decontaminate.contaminated(docs, items, block_characters=10)
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in got.collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0), (3, 1, 120_000), (3, 2, 120_000)]
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, [rows[2], rows[3], rows[5]]))
 
 
 # ---- tokens -----------------------------------------------------------------------------
@@ -444,6 +467,11 @@ def test_classifier(spark, docs, odd, nothing):
     bad = {r["doc_id"]: r["quality"] == 0 for r in labels.where("toxic = 0").collect()}
     assert np.mean([got[i] != b for i, b in bad.items()]) > 0.97
     assert np.mean([got[i] for i, b in bad.items() if not b]) > 0.98
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+        found = classifier.classify(docs, labels).join(labels, "doc_id").groupBy("toxic", "quality").agg(F.avg(F.col("kept").cast("int")), F.count("*")).collect()
+        kept = {(r[0], r[1]): r[2] for r in found}
+        assert kept[1, 1] <= 0.1 and kept.get((1, 0), 0) <= 0.1 and kept[0, 1] >= 0.98, (size, found)
     none = labels.limit(0)
     assert classifier.classify(odd, none).count() == len(ODD)
     assert classifier.classify(nothing, none).count() == 0
@@ -650,7 +678,8 @@ def test_classes_are_learned_from_the_corpus(spark):
     counts = Counter(w for t in texts for w in t.split())
     head = sorted(counts, key=lambda w: (-counts[w], w))
     keys = np.concatenate([lm.keyed([w])[0][:1] for w in head])
-    follows = lm._followed(spark, spark.createDataFrame([(t,) for t in texts], "text string"), keys)
+    rows = spark.createDataFrame([(i, i, i, False, t) for i, t in enumerate(texts)], "rid long, doc_id long, mark long, held_out boolean, text string")
+    follows = lm._followed(rows.mapInPandas(lm._code(spark.sparkContext.broadcast(keys)), lm._CODED), len(keys))
     place = {w: i for i, w in enumerate(head)}
     assert follows[place["cat"], place["the"]] == 12 and follows[place["wet"], place["is"]] == 12 and follows.sum() == sum(counts.values())
     group = lm.cluster(follows, np.array([counts[w] for w in head]), 4)
@@ -658,6 +687,29 @@ def test_classes_are_learned_from_the_corpus(spark):
     assert len(nouns) == len(words) == 1 and nouns != words
 
 
+def test_scores_do_not_depend_on_the_layout(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)  # several shards
+    found = [{r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys()
+    assert all(math.isclose(x, y, rel_tol=1e-9) for i in found[0] for x, y in zip(found[0][i], found[1][i], strict=True))
+
+
+def test_a_repeated_tail_word_sums_both_ways(spark, monkeypatch):
+    """After one rare word the probabilities of all next words, itself and unknown ones included, sum to at most one."""
+    monkeypatch.setattr(lm, "HEAD", 12)
+    texts = [f"of the often{i % 9} rare{i} rare{i} and rare{(i * 7) % 60}" for i in range(60)]
+    alone = sorted({w for t in texts for w in t.split()}) + ["never"]
+    held = (i for i in range(10_000, 10**6) if zlib.crc32(str(i).encode()) % 5 == 1)
+    kept = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 != 1)
+    rows = [*zip(kept, texts, strict=False), *zip(held, ["rare5", *(f"rare5 {w}" for w in alone)], strict=False)]
+    scores = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, *pairs_ = [10 ** scores[i] for i, _ in rows[60:]]
+    # P(rare5) splits into the end after it and all next words, each followed by an end
+    again = pairs_[alone.index("rare5")]
+    assert again > max(p for p, w in zip(pairs_, alone, strict=True) if w.startswith("rare") and w != "rare5")
+    assert first > 0 and sum(pairs_) < 1
+
+
 def test_wider_skip_is_a_feature():
     starts = np.array([0])
     rows, _ = lm.context_rows(np.arange(5), starts)
