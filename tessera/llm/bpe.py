@@ -39,7 +39,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Characters of text whose pieces are held at once, and of a piece that are turned into bytes at once.
 SEGMENT, PART = 1 << 16, 1 << 12
 #: Entries of a task's caches, and the longest piece that is remembered.
-CACHE_ENTRIES, REMEMBERED = 400_000, 64
+CACHE_ENTRIES, REMEMBERED = 1_000_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,11 +140,14 @@ class Encoder:
         return len(text)
 
     def _piece(self, piece: str) -> bytes:
-        packed = b"".join(self._long(piece, 0, len(piece)))
-        if len(piece) <= REMEMBERED:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[piece] = packed
+        if len(piece) > REMEMBERED:
+            return b"".join(self._long(piece, 0, len(piece)))
+        data, last = piece.encode("utf-8", "surrogatepass"), [b""]
+        self._read(data, last)
+        packed = b"".join([self.packed[last[e]] for e in self._ends(last, len(data))])
+        if len(self.known) >= CACHE_ENTRIES:
+            self.known.clear()
+        self.known[piece] = packed
         return packed
 
     def _long(self, text: str, start: int, end: int) -> Iterator[bytes]:
@@ -172,36 +175,43 @@ class Encoder:
                 found[i] = rank((parts[i], parts[i + 1]), never)
         return parts
 
-    def _fits(self, left: bytes, right: bytes) -> bool:
+    def _fits(self, pair: tuple[bytes, bytes]) -> bool:
         """Whether the two tokens are the encoding of their joined bytes; nothing may stand on the left."""
-        pair = (left, right)
-        said = self.pairs.get(pair)
-        if said is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            said = self.pairs[pair] = self._merged(left + right) == ([left, right] if left else [right])
+        left, right = pair
+        if len(self.pairs) >= CACHE_ENTRIES:
+            self.pairs.clear()
+        said = self.pairs[pair] = self._merged(left + right) == ([left, right] if left else [right])
         return said
 
+    def _read(self, data: bytes, last: list[bytes]) -> None:
+        """Read on to the end of ``data``: for each further byte the last token of the encoding up to there."""
+        packed, sizes, said = self.packed, self.sizes, self.pairs.get
+        for end in range(len(last), len(data) + 1):
+            for size in sizes.get(data[end - 2 : end], ()) if end > 1 else ():
+                if size <= end:
+                    token = data[end - size : end]
+                    if token in packed:
+                        pair = (last[end - size], token)
+                        fits = said(pair)
+                        if self._fits(pair) if fits is None else fits:
+                            last.append(token)
+                            break
+            else:
+                token = data[end - 1 : end]
+                if token not in packed or not self._fits((last[end - 1], token)):
+                    raise ValueError("the vocabulary lacks a byte of the text")
+                last.append(token)
+
     def transduce(self, parts: Iterable[bytes]) -> Iterator[list[bytes]]:
         """Tokens of one piece that comes in parts, as soon as they are stable."""
-        ids, sizes, window = self.v.ids, self.sizes, max(2 * self.lookahead, 256)
+        window = max(2 * self.lookahead, 256)
         data, last = b"", [b""]  # the bytes that no emitted token holds; last[k]: the last token of the encoding of data[:k]
         for part in parts:
-            read = len(data)
             data += part
-            for end in range(read + 1, len(data) + 1):
-                for size in sizes.get(data[max(end - 2, 0) : end], ()) if end > 1 else (1,):
-                    if size <= end and (token := data[end - size : end]) in ids and self._fits(last[end - size], token):
-                        break
-                else:
-                    token = data[end - 1 : end]
-                    if token not in ids or not self._fits(last[end - 1], token):
-                        raise ValueError("the vocabulary lacks a byte of the text")
-                last.append(token)
+            self._read(data, last)
             self.most_open = max(self.most_open, len(data))
             if len(data) >= window:
-                ends = self._ends(last, len(data))
-                stable = [last[e] for e in ends if e <= len(data) - self.lookahead]
+                stable = [last[e] for e in self._ends(last, len(data)) if e <= len(data) - self.lookahead]
                 emitted = sum(map(len, stable))
                 data, last = data[emitted:], last[emitted:]
                 yield stable
