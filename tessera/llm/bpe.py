@@ -177,6 +177,9 @@ class Encoder:
 
     def _fits(self, pair: tuple[bytes, bytes]) -> bool:
         """Whether the two tokens are the encoding of their joined bytes; nothing may stand on the left."""
+        said = self.pairs.get(pair)
+        if said is not None:
+            return said
         left, right = pair
         if len(self.pairs) >= CACHE_ENTRIES:
             self.pairs.clear()
