@@ -89,11 +89,14 @@ def shingle_classes(docs: DataFrame, group: str | None = None, key: str = "doc_i
 def similar_classes(classes: DataFrame, threshold: float = 0.92, ratio: float = 1.35) -> DataFrame:
     """``(a, b, jaccard)`` of classes of one group, ``a < b``, within the size ratio: exact."""
     flat = classes.where("n > 0").select("class", "grp", "n", F.explode("shingles").alias("h"))
-    often = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    often = cut(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")))  # written out, so that the join can split a hot shingle
     ordered = flat.join(often, "h").withColumn("rank", F.row_number().over(W.partitionBy("class").orderBy("df", "h")))
-    heads = cut(ordered.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("class", "grp", "h"))
-    a, b = heads.select(F.col("class").alias("a"), "grp", "h"), heads.select(F.col("class").alias("b"), F.col("grp").alias("g"), F.col("h").alias("k"))
-    pairs = a.join(b, (F.col("h") == F.col("k")) & F.col("grp").eqNullSafe(F.col("g")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    heads = cut(ordered.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("class", "grp", "h", "n", F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold))).cast("int").alias("band")))
+    # sizes of a pair differ by the threshold at most, so they lie in one band or in neighbouring ones; bands share out a hot shingle
+    a = heads.select(F.col("class").alias("a"), "grp", "h", F.col("n").alias("n_a"), "band")
+    b = heads.select(F.col("class").alias("b"), F.col("grp").alias("g"), F.col("h").alias("k"), F.col("n").alias("n_b"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band_b"))
+    near_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
+    pairs = a.join(b, (F.col("h") == F.col("k")) & (F.col("band") == F.col("band_b")) & F.col("grp").eqNullSafe(F.col("g")) & (F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"w_{x}"), F.col("shingles").alias(f"s_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     small, large = F.least("w_a", "w_b"), F.greatest("w_a", "w_b")

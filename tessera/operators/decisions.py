@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.lexicons import DIVERSITY_GATES, GATES, SIGNALS, STRUCTURE_SIGNALS
+from tessera.functions.lexicons import ANNOTATION_LABELS, DIVERSITY_GATES, GATES, SIGNALS, STRUCTURE_SIGNALS
 from tessera.operators.components import connected_components
+from tessera.plans.lineage import cut
+from tessera.plans.session import checked_broadcast
 
 
 def signal_table(spark: SparkSession, signals: Iterable[tuple] = SIGNALS) -> DataFrame:
@@ -34,7 +38,7 @@ def signal_rows(features: DataFrame, profiles: DataFrame, signals: DataFrame, fl
     ``features`` has one row for each document with its ``profile`` name, features and counts.
     """
     settings = profiles.select("profile", *[F.col(c) for c in profiles.columns if c != "profile"])
-    df = features.join(F.broadcast(settings), "profile").crossJoin(F.broadcast(signals))
+    df = features.join(checked_broadcast(settings), "profile").crossJoin(checked_broadcast(signals))
     thresholds = [s[2] for s in SIGNALS]
     wide = df.select(
         *features.columns, "signal", "direction", "quantile", "threshold_key",
@@ -73,33 +77,81 @@ def split_components(rows: DataFrame, key: str, fields: list[str], scoped: list[
     """
     each = F.array_compact(F.array(*[F.when(T.known_label(F.trim(F.col(f))).isNotNull(), group_tokens(f, f in scoped, F.col(source))) for f in fields]))
     tokens = rows.select(F.col(key).alias("k"), F.explode(each).alias("token"))
-    least = tokens.groupBy("token").agg(F.min("k").alias("least"))
+    least = cut(tokens.groupBy("token").agg(F.min("k").alias("least")))  # written out, so that the join can split a hot token
     found = connected_components(tokens.join(least, "token").select(F.col("k").alias("src"), F.col("least").alias("dst")))
     return rows.select(F.col(key).alias("id")).join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("component"))
 
 
-def greedy_split(components: DataFrame, by: list[str], fraction: float = GATES["calibration_fraction"], seed: str = GATES["seed"]) -> DataFrame:
+def _folded(rows: pd.DataFrame, by: list[str], fraction: float) -> pd.DataFrame:
+    """Whether each component of one group goes to calibration."""
+    rows = rows.sort_values("mark")
+    docs, words = rows["docs"].sum(), rows["words"].sum()
+    far = lambda d, w: abs(d - docs * fraction) / max(docs, 1.0) + abs(w - words * fraction) / max(words, 1.0)
+    in_docs, in_words, taken = 0.0, 0.0, []
+    for d, w in zip(rows["docs"], rows["words"], strict=True):
+        taken.append(far(in_docs + d, in_words + w) <= far(in_docs, in_words))
+        if taken[-1]:
+            in_docs, in_words = in_docs + d, in_words + w
+    return rows[[*by, "component", "mark"]].assign(cal=taken)
+
+
+def greedy_split(components: DataFrame, by: list[str], fraction: float = GATES["calibration_fraction"], seed: str = GATES["seed"], in_task: int = 100_000) -> DataFrame:
     """``(by.., component, arm)``: components in the order of a seeded digest go to calibration while that brings both sizes nearer.
 
-    ``components`` has ``by, component, docs, words``, one row for each component.  The
-    order makes it a fold, over one array of four numbers for each component of a group.
+    ``components`` has ``by, component, docs, words``, one row for each component.  A group of at most
+    ``in_task`` components is folded in one task, a larger one in rounds: sizes in calibration only
+    grow, so a component that doesn't bring them nearer never will.  A round therefore keeps those
+    that would by themselves, adds them up in order (blocks by the digest's leading digits, so
+    that no group is one task's), takes all before the first one that doesn't fit any more, and goes
+    on behind it.  Rounds follow how often that happens, not the rows.  Either way gives the same arms.
     """
     mark = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(b).cast("string") for b in by], F.col("component").cast("string")), 256)
-    row = F.struct(mark.alias("mark"), F.col("component"), F.col("docs").cast("double").alias("docs"), F.col("words").cast("double").alias("words"))
-    gathered = components.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"), F.sum("docs").cast("double").alias("docs"), F.sum("words").cast("double").alias("words"))
-    kind = components.schema["component"].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("w"), F.array().cast(f"array<struct<component:{kind},cal:boolean>>").alias("out"))
-    cost = lambda d, w: F.abs(d - F.col("docs") * fraction) / F.greatest(F.col("docs"), F.lit(1.0)) + F.abs(w - F.col("words") * fraction) / F.greatest(F.col("words"), F.lit(1.0))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = cost(acc["d"] + x["docs"], acc["w"] + x["words"]) <= cost(acc["d"], acc["w"])
-        grow = lambda a, b: F.when(take, a + b).otherwise(a)
-        return F.struct(grow(acc["d"], x["docs"]).alias("d"), grow(acc["w"], x["words"]).alias("w"), F.concat(acc["out"], F.array(F.struct(x["component"].alias("component"), take.alias("cal")))).alias("out"))
-
-    folded = gathered.select(*by, F.aggregate("all", start, step, lambda acc: acc["out"]).alias("out"))
-    n, in_cal = F.size("out"), F.size(F.filter("out", lambda x: x["cal"]))
-    arm = F.when((n > 1) & (in_cal == n) & (F.col("i") == n - 1), "validation").when((n > 1) & (in_cal == 0) & (F.col("i") == 0), "calibration").when(F.col("x.cal"), "calibration").otherwise("validation")
-    return folded.select(*by, "out", F.posexplode("out").alias("i", "x")).select(*by, F.col("x.component").alias("component"), arm.alias("arm"))
+    every = cut(components.select(*by, "component", mark.alias("mark"), F.col("docs").cast("double").alias("docs"), F.col("words").cast("double").alias("words")))
+    counts = cut(every.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("all_docs"), F.sum("words").alias("all_words"), F.lit(0.0).alias("in_docs"), F.lit(0.0).alias("in_words")))
+    same = lambda left, right: reduce(lambda x, y: x & y, [left[b].eqNullSafe(right[b]) for b in by])
+    few, sizes = counts.where(F.col("n") <= in_task), counts.where(F.col("n") > in_task).drop("n")
+    kinds = f"{components.select(*by, 'component')._jdf.schema().toDDL()}, mark string, cal boolean"
+    chosen = every.join(few, same(every, few), "left_semi").groupBy(*by).applyInPandas(lambda rows: _folded(rows, by, fraction), kinds)
+    if not sizes.isEmpty():
+        rows = cut(every.join(sizes, same(every, sizes), "left_semi"))
+        chosen = chosen.unionByName(_in_rounds(rows, sizes, by, fraction))
+    chosen = cut(chosen)
+    ends = cut(chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("cal").alias("in_cal"), F.min("mark").alias("first"), F.max("mark").alias("last")))
+    arm = F.when((F.col("n") > 1) & (F.col("in_cal") == F.col("n")) & (F.col("mark") == F.col("last")), "validation").when((F.col("n") > 1) & (F.col("in_cal") == 0) & (F.col("mark") == F.col("first")), "calibration").when(F.col("cal"), "calibration").otherwise("validation")
+    return chosen.join(ends, same(chosen, ends)).select(*[chosen[b] for b in by], "component", arm.alias("arm"))
+
+
+def _in_rounds(rows: DataFrame, sizes: DataFrame, by: list[str], fraction: float) -> DataFrame:
+    """The same as ``_folded`` over groups of any size; ``sizes`` has each group's sums and what calibration holds."""
+    state = ("all_docs", "all_words", "in_docs", "in_words")
+    same = lambda left, right: reduce(lambda x, y: x & y, [left[b].eqNullSafe(right[b]) for b in by])
+    far = lambda d, w: F.abs(d - F.col("all_docs") * fraction) / F.greatest(F.col("all_docs"), F.lit(1.0)) + F.abs(w - F.col("all_words") * fraction) / F.greatest(F.col("all_words"), F.lit(1.0))
+    nearer = lambda d, w: far(d + F.col("docs"), w + F.col("words")) <= far(d, w)
+    block, left, taken = F.left("mark", F.lit(3)), rows, None
+    names = [*by, "component", "mark", "docs", "words"]
+    while True:
+        fits = left.join(sizes, same(left, sizes)).select(*[left[c] for c in names], *state).where(nearer(F.col("in_docs"), F.col("in_words"))).withColumn("block", block)
+        fits = cut(fits)
+        if fits.isEmpty():
+            break
+        before = lambda column, *keys: F.coalesce(F.sum(column).over(W.partitionBy(*by, *keys).orderBy("mark" if keys else "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        blocks = fits.groupBy(*by, "block").agg(F.sum("docs").alias("d"), F.sum("words").alias("w")).select(*by, "block", before("d").alias("block_docs"), before("w").alias("block_words"))
+        blocks = blocks.select(*[F.col(c).alias(f"of_{c}") for c in (*by, "block")], "block_docs", "block_words")
+        placed = fits.join(blocks, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "block")]))
+        docs, words = F.col("in_docs") + F.col("block_docs") + before("docs", "block"), F.col("in_words") + F.col("block_words") + before("words", "block")
+        tried = placed.withColumn("d", docs).withColumn("w", words).withColumn("fits", nearer(F.col("d"), F.col("w")))
+        tried = cut(tried.select(*names, "fits"))
+        stops = tried.groupBy(*[F.col(b).alias(f"of_{b}") for b in by]).agg(F.min(F.when(~F.col("fits"), F.col("mark"))).alias("stop"))
+        marked = tried.join(stops, reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by])).select(*names, "stop")
+        inside = marked.where("stop is null or mark < stop").select(*names)
+        taken = inside if taken is None else taken.unionByName(inside)
+        left = marked.where("mark > stop").select(*names)
+        grown = inside.groupBy(*by).agg(F.sum("docs").alias("d"), F.sum("words").alias("w"))
+        sizes = cut(sizes.join(grown, same(sizes, grown), "left").select(*[sizes[b] for b in by], "all_docs", "all_words", (F.col("in_docs") + F.coalesce("d", F.lit(0.0))).alias("in_docs"), (F.col("in_words") + F.coalesce("w", F.lit(0.0))).alias("in_words")))
+    if taken is None:
+        return rows.select(*by, "component", "mark", F.lit(False).alias("cal"))
+    own = taken.select(F.col("mark").alias("m"), F.lit(True).alias("cal"))
+    return rows.join(own, F.col("mark") == F.col("m"), "left").select(*by, "component", "mark", F.coalesce("cal", F.lit(False)).alias("cal"))
 
 
 def candidate_thresholds(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -125,27 +177,33 @@ def annotation_summary(alerts: DataFrame, annotations: DataFrame, by: list[str],
 def unknown_references(annotations: DataFrame, documents: DataFrame, signals: DataFrame, key: str = "document_id") -> DataFrame:
     """Annotations of documents or signals that don't exist."""
     lost = annotations.join(documents.select(key).distinct(), key, "left_anti")
-    odd = annotations.join(F.broadcast(signals.select("signal").distinct()), "signal", "left_anti").select(*annotations.columns)
+    odd = annotations.join(checked_broadcast(signals.select("signal").distinct()), "signal", "left_anti").select(*annotations.columns)
     return lost.select(*annotations.columns).unionByName(odd).distinct()
 
 
+def unknown_labels(annotations: DataFrame, allowed: tuple[str, ...] = ANNOTATION_LABELS, label: str = "label") -> DataFrame:
+    """Annotations whose label isn't one of the allowed; blank labels say nothing."""
+    said = F.trim(F.coalesce(F.col(label), F.lit("")))
+    return annotations.where((said != "") & ~said.isin(*allowed))
+
+
 def conflicting_labels(annotations: DataFrame, on: list[str]) -> DataFrame:
     """Keys with more than one label; blank labels say nothing."""
     return annotations.where(F.coalesce(F.trim("label"), F.lit("")) != "").groupBy(*on).agg(F.count_distinct("label").alias("labels")).where("labels > 1")
 
 
-def diversity_gate(rows: DataFrame, by: str = "profile", gates: dict[str, tuple] = DIVERSITY_GATES, source: str = "source_id", channel: str = "channel", author: str = "author_or_group", words: str = "words") -> DataFrame:
-    """Eight checks of provenance for each profile, and whether all hold."""
-    measured = None
+def diversity_gate(rows: DataFrame, by: str = "profile", gates: dict[str, tuple] = DIVERSITY_GATES, source: str = "source_id", channel: str = "channel", author: str = "author_or_group", words: str = "words", within: tuple[str, ...] = ()) -> DataFrame:
+    """Eight checks of provenance for each profile (and each value of ``within`` in it), and whether all hold."""
+    measured, keys = None, [by, *within]
     for kind, column in (("source", source), ("channel", channel), ("author", author)):
         label = T.known_label(F.col(column))
-        each = rows.groupBy(by, label.alias("l")).agg(F.count(F.lit(1)).alias("d"), F.sum(words).alias("w"))
+        each = rows.groupBy(*keys, label.alias("l")).agg(F.count(F.lit(1)).alias("d"), F.sum(words).alias("w"))
         known = F.col("l").isNotNull()
         total = lambda c, known=known: F.sum(F.when(known, F.col(c)).otherwise(0))
         ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
         top = lambda c, known=known: F.coalesce(F.max(F.when(known, F.col(c))), F.lit(0))
-        part = each.groupBy(by).agg(F.count_if(known).alias(f"{kind}s"), ratio(total("d"), F.sum("d")).alias(f"{kind}_document_coverage"), ratio(total("w"), F.sum("w")).alias(f"{kind}_word_coverage"), ratio(top("d"), total("d")).alias(f"{kind}_document_share"), ratio(top("w"), total("w")).alias(f"{kind}_word_share"))
-        measured = part if measured is None else measured.join(part, by)
+        part = each.groupBy(*keys).agg(F.count_if(known).alias(f"{kind}s"), ratio(total("d"), F.sum("d")).alias(f"{kind}_document_coverage"), ratio(total("w"), F.sum("w")).alias(f"{kind}_word_coverage"), ratio(top("d"), total("d")).alias(f"{kind}_document_share"), ratio(top("w"), total("w")).alias(f"{kind}_word_share"))
+        measured = part if measured is None else measured.join(part, keys)
     names = "least_sources int, least_channels int, max_source_documents double, max_source_words double, author_needed boolean, least_author_coverage double, max_author_documents double, max_author_words double"
     table = rows.sparkSession.createDataFrame([(p, *g) for p, g in gates.items()], f"{by} string, {names}")
     df = measured.join(F.broadcast(table), by)
@@ -160,7 +218,7 @@ def diversity_gate(rows: DataFrame, by: str = "profile", gates: dict[str, tuple]
         "maximum_known_author_concentration": "not author_needed or (author_document_share <= max_author_documents and author_word_share <= max_author_words)",
     }
     shares = [F.bround(c, 4).alias(c) for c in measured.columns if c.endswith(("coverage", "share"))]
-    return df.select(by, "sources", "channels", "authors", *shares, *[F.expr(v).alias(k) for k, v in checks.items()], F.expr(" and ".join(f"({v})" for v in checks.values())).alias("gate_met"))
+    return df.select(*keys, "sources", "channels", "authors", *shares, *[F.expr(v).alias(k) for k, v in checks.items()], F.expr(" and ".join(f"({v})" for v in checks.values())).alias("gate_met"))
 
 
 def bootstrap_reduction(flags: DataFrame, by: list[str], rounds: int = 2000, order: str = "id") -> DataFrame:

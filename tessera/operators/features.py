@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicons import LETTERS, PROFILE_NAMES, PROFILE_VALUES, RUSSIAN, Pack
+from tessera.plans.session import checked_broadcast
 
 FAMILIES = ("road", "hype", "jargon", "nominal", "bureau", "pivots", "fillers")
 #: Feature of each family's rate.
@@ -119,7 +120,7 @@ def prose_findings(docs: DataFrame, profile_table: DataFrame, pack: Pack = RUSSI
     the table give no findings.
     """
     measured = compute_features(docs, pack)
-    df = measured.join(F.broadcast(profile_table.withColumnRenamed("profile", "__profile")), F.col(mode) == F.col("__profile"))
+    df = measured.join(checked_broadcast(profile_table.withColumnRenamed("profile", "__profile")), F.col(mode) == F.col("__profile"))
     style = F.col("style")
     c, info, warning, empty = F.col, F.lit("info"), F.lit("warning"), F.lit("")
     enough = c("words") >= c("punctuation_min_words")

@@ -63,6 +63,14 @@ def requirement_key(line: Column, req_id: str = L.REQ_ID) -> Column:
     return F.when(F.length(plain) >= 25, plain)
 
 
+def repeated_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, line, first_line)`` of lines that say what an earlier line of their document says, letter case and punctuation aside."""
+    lines = docs.select(key, F.posexplode(split_lines(F.col(text))).alias("i", "body"))
+    keyed = lines.select(key, (F.col("i") + 1).cast("long").alias("line"), requirement_key(F.col("body")).alias("said")).where("said is not null")
+    first = keyed.groupBy(key, "said").agg(F.min("line").alias("first_line"))
+    return keyed.join(first, [key, "said"]).where("line > first_line").select(key, "line", "first_line")
+
+
 def requirement_findings(docs: DataFrame, profile: str = "generic", text: str = "text") -> DataFrame:
     """One row for each finding: columns of ``docs``, then ``code, severity, line, excerpt, detail``; first of equal ones only."""
     if profile not in L.REQUIRED_SECTIONS:

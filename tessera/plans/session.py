@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,3 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def checked_broadcast(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A table to be broadcast if it has at most ``rows`` rows; a larger one is left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

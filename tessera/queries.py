@@ -143,7 +143,7 @@ def doc_paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select page_id, length(html)::bigint as n_chars, length(regexp_replace(regexp_replace(regexp_replace(html, 'https?://[^\s)>]+', ' ', 'g'), '<[^>\n]+>', ' ', 'g'), '\s+', '', 'g'))::bigint as visible from pages""")
 def mask_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    masked = features.once(pages, m=T.blank_out(T.blank_out(F.col("html"), r"https?://[^\s)>]+"), r"<[^>\n]+>"))
+    masked = features.once(pages, m=T.mask_markup(F.col("html")))
     return masked.select("page_id", F.length("m").cast("long").alias("n_chars"), F.length(F.regexp_replace("m", r"\s+", "")).cast("long").alias("visible"))
 
 
@@ -326,9 +326,11 @@ def top_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.max_by("source", F.struct("n", "source")).alias("source"), F.max("n").alias("n"), F.bround(F.max("n") / F.sum("n"), 4).alias("share"))
 
 
-@query(rf"""select doc_id from documents where {_sql_count("text", _WORD)} >= 50 and len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: len(regexp_extract_all(x, '{_WORD}')) >= 3)) >= 1""")
+@query(rf"""with d as (select doc_id, text || repeat(' слово', (doc_id % 7)::int * 150) as text from documents)
+select doc_id from d where len(regexp_extract_all(text, '[А-Яа-яЁё]')) / greatest(len(regexp_extract_all(text, '[А-Яа-яЁёA-Za-z]')), 1)::double >= 0.4 and {_sql_count("text", _WORD)} >= 50 and len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: len(regexp_extract_all(x, '{_WORD}')) >= 3)) >= 1""")
 def eligible_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.eligible(table(spark, sf_dir, "documents"), 50, 1, 0.0).select("doc_id")
+    russian = F.concat("text", F.repeat(F.lit(" слово"), F.pmod("doc_id", F.lit(7)) * 150))
+    return corpus.eligible(table(spark, sf_dir, "documents").withColumn("text", russian), 50, 1, 0.4).select("doc_id")
 
 
 @query("select doc_id from documents order by sha256(doc_id::varchar), doc_id limit 100")
@@ -365,10 +367,7 @@ k as (select doc_id, line, trim(regexp_replace(lower(body), '[^\p{L}\p{N}_]+', '
 m as (select *, min(line) over (partition by doc_id, key) as first_line from k where length(key) >= 25)
 select doc_id, line::bigint as line, first_line::bigint as first_line from m where line > first_line""")
 def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(requirements.split_lines(F.col("text"))).alias("i", "body"))
-    keyed = lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), requirements.requirement_key(F.col("body")).alias("key")).where("key is not null")
-    first = keyed.groupBy("doc_id", "key").agg(F.min("line").alias("first_line"))
-    return keyed.join(first, ["doc_id", "key"]).where("line > first_line").select("doc_id", "line", "first_line")
+    return requirements.repeated_lines(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
@@ -387,11 +386,15 @@ def requirement_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # every turn gets a number, every other one a quotation, so that edits of both occur
+    number, quotation = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(10)), F.when(F.col("turn") % 2 == 0, F.lit(' "kept words"')).otherwise("")
+    talk = talk.withColumn("text", F.concat("text", F.lit(" No. "), number.cast("string"), quotation))
     following = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("edited"))
     return talk.withColumnRenamed("text", "source").join(following, ["conv_id", "turn"])
 
 
-_TURNS = "t as (select a.conv_id, a.turn, a.text as b, c.text as a from conversations a join conversations c on c.conv_id = a.conv_id and c.turn = a.turn + 1)"
+_TURNS = """said as (select conv_id, turn, text || ' No. ' || ((conv_id * 7 + turn * 3) % 10) || case when turn % 2 = 0 then ' "kept words"' else '' end as text from conversations),
+t as (select a.conv_id, a.turn, a.text as b, c.text as a from said a join said c on c.conv_id = a.conv_id and c.turn = a.turn + 1)"""
 
 
 def _sql_bags(pattern: str) -> str:
@@ -434,7 +437,7 @@ def integrity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir).withColumn("profile", _mode())
+    docs = texts(spark, sf_dir).withColumn("profile", _mode()).withColumn("split_group", F.xxhash64("text").cast("string"))
     measured = features.compute_features(docs, ENGLISH).drop("text", "style")
     named = measured.withColumn("id", F.col("doc_id")).withColumn("source_id", F.col("source")).withColumn("channel", F.col("lang")).withColumn("author_or_group", F.col("source"))
     return decisions.signal_rows(named, features.profiles(spark), decisions.signal_table(spark))
@@ -483,30 +486,8 @@ def adjudication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.annotation_summary(_alerts(spark, sf_dir).where("old_fires"), _annotations(spark, sf_dir), ["profile"], ["id"])
 
 
-@query(f"""with {_ALERTS}, {_LABELS}, o as (select profile, {_SUMMARY} from a left join l using (doc_id) where old_fires group by profile),
-x as (select profile, {_SUMMARY} from a left join l using (doc_id) where old_fires and not candidate_fires group by profile),
-z as (select c.profile, c.old, c.candidate, coalesce(o.alerts, 0) as alerts, coalesce(o.decisive, 0) as alerts_decisive, o.actionable_precision as p, coalesce(x.alerts, 0) as removed, coalesce(x.decisive, 0) as rd, coalesce(x.non_actionable, 0) as rn from c left join o using (profile) left join x using (profile))
-select profile, case when candidate = old then 'keep_old_candidate_equals_old' when removed < 10 then 'keep_old_candidate_effect_sample_too_small' when rd < 10 then 'candidate_blocked_needs_removed_alert_adjudication' when rn / rd::double >= 0.8 then 'candidate_supported_on_validation_pending_human_review' else 'keep_old_removed_alerts_include_too_many_actionable_cases' end as candidate_decision,
-  case when alerts < 20 then 'off_not_evaluable_insufficient_natural_alert_sample' when alerts_decisive < 20 then 'off_blocked_needs_alert_adjudication' when p <= 0.25 then 'off_supported_by_low_actionable_precision_pending_human_review' else 'off_not_supported_signal_has_actionable_natural_alerts' end as off_decision from z""")
-def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = cut(_alerts(spark, sf_dir))
-    labels = _annotations(spark, sf_dir)
-    base = alerts.groupBy("profile").agg(F.first("old").alias("old"), F.first("candidate").alias("candidate"))
-    summary = lambda rows, names: decisions.annotation_summary(rows, labels, ["profile"], ["id"]).select("profile", *[F.col(a).alias(b) for a, b in names.items()])
-    old = summary(alerts.where("old_fires"), {"alerts": "alerts", "decisive": "alerts_decisive", "actionable_precision": "alerts_precision"})
-    gone = summary(alerts.where("old_fires and not candidate_fires"), {"alerts": "removed", "decisive": "removed_decisive", "non_actionable": "removed_non_actionable"})
-    wide = base.join(old, "profile", "left").join(gone, "profile", "left").na.fill(0, ["alerts", "alerts_decisive", "removed", "removed_decisive", "removed_non_actionable"])
-    gated = wide.withColumn("evidence_gate", F.lit(True)).withColumn("control", F.lit(True))
-    return gated.select("profile", decisions.candidate_decision().alias("candidate_decision"), decisions.off_decision().alias("off_decision"))
 
 
-@query()
-def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.token_count(F.col("text")).alias("words"), F.xxhash64("text").cast("string").alias("split_group"), F.lit(None).cast("string").alias("author_or_group"))
-    docs = cut(docs.withColumn("source_id", F.col("source")))
-    parts = decisions.split_components(docs, "doc_id", ["author_or_group", "split_group"], [])
-    sized = docs.join(parts, "doc_id").groupBy("source", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"))
-    return decisions.greedy_split(sized, ["source"])
 
 
 @query()
@@ -515,16 +496,8 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.bootstrap_reduction(flags, ["profile"])
 
 
-@query()
-def diversity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(_mode().alias("profile"), F.col("source").alias("source_id"), F.col("lang").alias("channel"), F.col("source").alias("author_or_group"), T.token_count(F.col("text")).alias("words"))
-    return decisions.diversity_gate(docs)
 
 
-@query("select doc_id from labels where doc_id not in (select doc_id from documents where lang = 'en')")
-def unknown_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return table(spark, sf_dir, "labels").select("doc_id").join(english, "doc_id", "left_anti")
 
 
 # ---- evaluation, events, star joins -----------------------------------------------------
@@ -619,3 +592,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.bround(F.avg("sentence_mean_words"), 4).alias("mean_sentence_words"))
 
 
+from tessera import queries_protocol  # noqa: E402, F401  registers further queries

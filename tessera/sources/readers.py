@@ -111,9 +111,16 @@ def member_records(name: str, raw: str) -> Iterator[tuple[str, str, str]]:
         yield stem, raw, ""
 
 
-def zip_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, member, id, text, author)`` of ZIP members with known suffixes; directories and huge members go."""
+def zip_records(spark: SparkSession, path: str | list[str], md5: dict[str, str] | None = None) -> DataFrame:
+    """``(archive, member, id, text, author)`` of ZIP members with known suffixes; directories and huge members go.
+
+    ``md5`` has the stated digest of archives by file name; one that differs raises.
+    """
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    if md5:
+        stated = F.create_map(*[F.lit(x) for pair in md5.items() for x in pair])[F.element_at(F.split("path", "/"), -1)]
+        wrong = stated.isNotNull() & (F.md5("content") != F.lower(stated))
+        archives = archives.withColumn("content", F.when(wrong, F.raise_error(F.concat(F.lit("md5 differs: "), "path")).cast("binary")).otherwise(F.col("content")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -186,3 +193,76 @@ def load_sources(registry: dict[str, Callable[[SparkSession, dict], DataFrame]],
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
+
+def discover_local(spark: SparkSession, root: str, sources: list[dict], given: dict[str, str] | None = None, adapter: str = "manual_or_local_tree") -> dict[str, str]:
+    """Folders of local sources: the given ones, and ``root/<id>`` of others with that adapter where a manifest lies."""
+    found = dict(given or {})
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for source in sources:
+        folder = f"{root.rstrip('/')}/{source['id']}"
+        path = hadoop(f"{folder}/manifest.csv")
+        if source.get("adapter") == adapter and source["id"] not in found and path.getFileSystem(settings).exists(path):
+            found[source["id"]] = folder
+    return found
+
+
+def local_tree(files: DataFrame, root: str, declared: list[str], sidecar: DataFrame | None = None) -> DataFrame:
+    """Files of a tree with their provenance: ``path, text, id, channel, ...`` and ``reason``, null where the row may be imported.
+
+    ``sidecar`` has ``path`` relative to the root, ``id``, ``channel`` and any other columns; without
+    one a file's id is its relative path and its channel is unknown.
+    """
+    base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
+    plain = F.regexp_replace("path", r"^file:/*", "/")
+    inside = files.select(F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1))).alias("own"), "text")
+    if sidecar is None:
+        rows = inside.select(F.col("own").alias("path"), "text", F.col("own").alias("id"), F.lit(None).cast("string").alias("channel"))
+    else:
+        rows = sidecar.join(inside, F.trim(sidecar["path"]) == F.col("own"), "left").drop("own")
+    twice = rows.groupBy(F.trim("id").alias("of_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of_id")
+    name = F.coalesce(F.trim("path"), F.lit(""))
+    escapes = name.rlike(r"^([/\\\\]|[A-Za-z][A-Za-z0-9+.-]*:)|(^|/)\.\.(/|$)")
+    known = F.coalesce(F.trim("channel"), F.lit(""))
+    reason = (
+        F.when(escapes, "path_escapes_tree")
+        .when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing_id")
+        .when(F.col("of_id").isNotNull(), "duplicate_id")
+        .when((known != "") & ~known.isin(*declared), "undeclared_channel")
+        .when(F.col("text").isNull(), "missing_file")
+    )
+    return rows.join(twice, F.trim("id") == F.col("of_id"), "left").withColumn("reason", reason).drop("of_id")
+
+
+def strict(rows: DataFrame, reason: str = "reason", key: str = "id") -> DataFrame:
+    """Rows without a reason; the first row that has one raises when it is read."""
+    bad = F.raise_error(F.concat_ws(": ", F.col(reason), F.col(key).cast("string")))
+    return rows.where(F.when(F.col(reason).isNotNull(), bad.isNull()).otherwise(True)).drop(reason)
+
+
+def numbered_books(spark: SparkSession, path: str, pattern: str = r"book_[0-9]+\.txt") -> DataFrame:
+    """``(path, text)`` of the text files whose names match."""
+    return text_files(spark, path, ("txt",)).where(F.element_at(F.split("path", "/"), -1).rlike(f"^{pattern}$"))
+
+
+def fetched(requests: DataFrame, fetch: Callable[[str], bytes], extract: Callable[[bytes], str] | None = None) -> DataFrame:
+    """What is at each ``url``: ``(url, content, text, error)``, through functions that the caller brings.
+
+    The plug-in point of sources that need a network, OCR or PDF reading: ``fetch`` brings the bytes (with
+    what retries and delays it likes), ``extract`` turns them into text (UTF-8 if there is none).  A
+    failure is a row with an error, so that one page doesn't end a job.  Pages of a listing, trees and
+    search results are ``requests`` whose contents give further ones.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                try:
+                    content = fetch(url)
+                    rows.append((url, content, extract(content) if extract else content.decode("utf-8", "replace"), None))
+                except Exception as problem:  # any failure of the caller's function is that row's result
+                    rows.append((url, None, None, f"{type(problem).__name__}: {problem}"))
+            yield pd.DataFrame(rows, columns=["url", "content", "text", "error"])
+
+    return requests.select(F.col("url").cast("string")).mapInPandas(run, "url string, content binary, text string, error string")

@@ -41,10 +41,17 @@ def rebased(path: Column, old_base: str, new_base: str) -> Column:
     return F.when(path.startswith(old_base.rstrip("/") + "/"), inside).otherwise(path)
 
 
-def append_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows, then new rows whose keys are new; the first of equal new keys wins by any order."""
-    fresh = new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
-    return old.unionByName(fresh.select(*old.columns))
+def append_new(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Old rows, then new rows whose keys are new; of equal new keys the first by ``order`` (or as they were read) wins."""
+    placed = new.withColumn("__place", F.col(order) if order else F.monotonically_increasing_id())
+    first = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*new.columns), "__place").alias("r")).select("r.*")
+    on = [first[k].eqNullSafe(old[k]) for k in keys]
+    return old.unionByName(first.join(old, on, "left_anti").select(*old.columns))
+
+
+def kept_rows(old: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of an earlier manifest whose file is still there."""
+    return old.join(files.select(F.col("path").alias("__path")).distinct(), F.col(path) == F.col("__path"), "left_semi")
 
 
 def last_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -61,3 +68,34 @@ def inventory(files: DataFrame, path: str = "path") -> DataFrame:
 def prepared_totals(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """Documents, words and paragraphs of each prepared source."""
     return docs.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum(T.word_count(F.col(text))).alias("words"), F.sum(T.corpus_paragraph_count(F.col(text))).alias("paragraphs"))
+
+
+def prepared_corpus(docs: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
+    """Documents as Parquet, a folder for each source."""
+    docs.write.mode(mode).partitionBy(by).parquet(path)
+
+
+def representative_manifest(rows: DataFrame, old_base: str, new_base: str, path: str = "path", text: str = "text") -> DataFrame:
+    """Rows with paths relative to another folder and their file's SHA-256."""
+    return rows.withColumn("sha256", F.sha2(text, 256)).withColumn(path, rebased(F.col(path), old_base, new_base)).drop(text)
+
+
+def hash_manifest(files: DataFrame, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, sha256)`` of ``(path, content)`` rows below a folder, without top folders that are excluded."""
+    base = root.rstrip("/") + "/"
+    own = files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{base}", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    return own.where(~F.element_at(F.split("path", "/"), 1).isin(*exclude)) if exclude else own
+
+
+def console_lines(findings: DataFrame, name: str = "doc_id") -> DataFrame:
+    """One line of text for each finding, and one for each document with its number of findings, in reading order."""
+    line = F.format_string("%s:%d [%s] %s: %s", F.col(name).cast("string"), F.col("line"), F.col("level"), F.col("code"), F.col("message"))
+    each = findings.select(F.col(name).alias("of"), F.lit(0).alias("last"), F.col("line").alias("at"), line.alias("said"))
+    total = findings.groupBy(F.col(name).alias("of")).agg(F.count(F.lit(1)).alias("n")).select("of", F.lit(1).alias("last"), F.lit(0).alias("at"), F.format_string("%s: %d", F.col("of").cast("string"), F.col("n")).alias("said"))
+    return each.unionByName(total).orderBy("of", "last", "at", "said").select("said")
+
+
+def show(findings: DataFrame, name: str = "doc_id", lines: int = 100) -> None:
+    """Print the first lines of the report."""
+    for row in console_lines(findings, name).limit(lines).collect():
+        print(row["said"])

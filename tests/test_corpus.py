@@ -159,3 +159,18 @@ def test_evaluation(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, v string")
     assert sorted(map(tuple, evaluation.compare(a, b, ["k"]).collect())) == [(1, "missing"), (2, "changed"), (4, "extra")]
+
+
+def test_greedy_split_in_rounds_equals_the_fold(spark):
+    import random
+
+    from tessera.operators import decisions
+
+    draw = random.Random(4)
+    rows = [(g, i, draw.choice((1, 1, 1, 2, 9)), draw.choice((5, 40, 40, 300, 2000))) for g in ("a", "b", None) for i in range({"a": 400, "b": 7}.get(g, 60))]
+    rows += [("one", 1, 1, 10), ("two", 1, 1, 10), ("two", 2, 1, 10)]
+    table = spark.createDataFrame(rows, "g string, component long, docs long, words long")
+    folded = {(r["g"], r["component"]): r["arm"] for r in decisions.greedy_split(table, ["g"]).collect()}
+    rounds = {(r["g"], r["component"]): r["arm"] for r in decisions.greedy_split(table, ["g"], in_task=0).collect()}
+    assert len(folded) == len(rows) and folded == rounds
+    assert {r[3] for r in rows if r[0] == "a"} and {"calibration", "validation"} == {a for (g, _), a in folded.items() if g == "a"}
