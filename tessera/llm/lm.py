@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WordDigests, batches, encoded, hashed_words
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import cut, drop
 
 HEAD, CLASSES = 65_536, 32
 #: Rows of the weight table: own rows of frequent words, hashed rows of other words, of pairs, of wider skips.
@@ -56,15 +56,15 @@ WORD_ROWS = OWN + OTHER
 ROWS = 1 + 2 * WORD_ROWS + PAIRS + WIDE
 #: Rows of weights inside classes, the row of all nodes first, and branches of a node.
 INNER, WAYS = 65_536, 16
-FOLLOWED, BATCH, BLOCK, FAN, DOCUMENTS = 64, 8_192, 512, 64, 1_000
+FOLLOWED, BATCH, BLOCK, FAN, DOCUMENTS = 64, 2_048, 512, 64, 1_000
 REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
 #: Key of the end, which no word has but by chance, code before a text, characters of a piece.
 END_KEY, START, PIECE = (1 << 62) + 1, -1 - HEAD, 2_000_000
-RATE = 0.25
+RATE = 0.5
 #: Training tokens of a shard, more or less.
-SHARD = 2_000_000
+SHARD = 4_000_000
 #: Words that a task counts before it gives its counts away.
-COUNTED = 300_000
+COUNTED = 600_000
 
 
 def keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,61 +184,67 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None
 
 
 class Trainer:
-    """Adaptive gradient updates of one partition."""
+    """Gradient updates of one shard, whose steps adapt to each row's gradients so far."""
 
     def __init__(self, rows: int, width: int) -> None:
         self.weights = np.zeros((rows, width), np.float32)
-        self.squares = np.full((rows, width), 1.0, np.float32)
+        self.squares = np.full(rows, 1.0, np.float32)
         self.seen = np.zeros(rows, np.int64)
 
     def update(self, rows: np.ndarray, wanted: np.ndarray, prior: np.ndarray | None = None) -> None:
+        """One step on a batch, a feature at a time: what is gathered and summed then stays near the processor."""
         gradient = np.exp(log_softmax(self.weights, rows, prior))
         gradient[np.arange(len(wanted)), wanted] -= 1
-        flat = rows.T.ravel().astype(np.uint16)  # ROWS and INNER fit, and short keys are sorted by digits
-        order = np.argsort(flat, kind="stable")
-        sorted_rows = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        own = np.append(sorted_rows[first], 0).astype(np.int64)
-        whose = np.tile(np.arange(len(wanted)), rows.shape[1]).take(order)
-        total = np.empty((len(own), gradient.shape[1]), np.float32)
-        total[-1] = gradient.sum(axis=0)
-        size = np.diff(np.append(first, len(flat)))
-        alone, many = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
-        total[alone] = gradient.take(whose[first[alone]], axis=0)  # most rows occur once in a batch
-        if len(many):
-            inside = gradient.take(whose[np.repeat(size > 1, size)], axis=0)
-            total[many] = np.add.reduceat(inside, np.append(0, size[many].cumsum()[:-1]), axis=0)
-        squares = self.squares.take(own, axis=0)
-        squares += total * total
+        for k in range(rows.shape[1]):
+            key = rows[:, k].astype(np.uint16)  # ROWS and INNER fit, and short keys are sorted by digits
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            total, many = gradient.take(order[first], axis=0), size > 1  # most rows occur once in a batch
+            if many.any():
+                inside = gradient.take(order[np.repeat(many, size)], axis=0)
+                total[many] = np.add.reduceat(inside, np.append(0, size[many][:-1].cumsum()), axis=0)
+            self._step(key[first].astype(np.int64), total, size)
+        self._step(np.zeros(1, np.int64), gradient.sum(axis=0, keepdims=True), len(wanted))
+
+    def _step(self, own: np.ndarray, total: np.ndarray, size: np.ndarray | int) -> None:
+        squares = self.squares[own] + np.einsum("ij,ij->i", total, total)
         self.squares[own] = squares
-        self.weights[own] -= RATE * total / np.sqrt(squares)
-        self.seen[own] += np.append(size, len(wanted))
+        total *= (RATE / np.sqrt(squares))[:, None]
+        weights = self.weights.take(own, axis=0)
+        weights -= total
+        self.weights[own] = weights
+        self.seen[own] += size
 
 
 def _code(held):
-    """Texts to codes: places of head words, and the keys of all other words in their order."""
+    """Texts to codes: which tokens are of the head, the places of those, and the keys of the others."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = Places(held.value)
         for frame in batches(frames, PIECE):
             keys, starts, _ = keyed(frame["text"].tolist())
             codes = places.codes(keys)
-            ends = np.append(starts[1:], len(codes)).tolist()
-            short, out = np.minimum(codes, 0).astype(np.int32), codes >= 0
-            cuts = list(zip(starts.tolist(), ends, strict=True))
-            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "mark": frame["mark"], "held_out": frame["held_out"], "codes": [short[a:b].tobytes() for a, b in cuts], "tail": [codes[a:b][out[a:b]].tobytes() for a, b in cuts]})
+            parts = np.split(codes, starts[1:])
+            heads = [part < 0 for part in parts]
+            packed = {"n": list(map(len, parts)), "mask": [np.packbits(h).tobytes() for h in heads], "places": [(-1 - c[h]).astype(np.uint16).tobytes() for c, h in zip(parts, heads, strict=True)], "tail": [c[~h].tobytes() for c, h in zip(parts, heads, strict=True)]}
+            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"].astype("Int64"), "mark": frame["mark"], "held_out": frame["held_out"], **packed})
 
     return run
 
 
-_CODED = "rid long, doc_id long, mark long, held_out boolean, codes binary, tail binary"
+_CODES = ("n", "mask", "places", "tail")
+_CODED = "rid long, doc_id long, mark long, held_out boolean, n int, mask binary, places binary, tail binary"
 
 
 def _sequences(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all tokens of a frame's texts, and where each text starts; the key of the word for words beyond the head."""
-    codes = np.frombuffer(b"".join(frame["codes"]), np.int32).astype(np.int64)
-    codes[codes >= 0] = np.frombuffer(b"".join(frame["tail"]), np.int64)
-    sizes = np.fromiter(map(len, frame["codes"]), np.int64, len(frame)) // 4
+    sizes = frame["n"].to_numpy(np.int64)
+    head = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(frame["mask"], sizes.tolist(), strict=True)]).view(bool)
+    codes = np.empty(len(head), np.int64)
+    codes[head] = -1 - np.frombuffer(b"".join(frame["places"]), np.uint16).astype(np.int64)
+    codes[~head] = np.frombuffer(b"".join(frame["tail"]), np.int64)
     return codes, np.concatenate(([0], sizes.cumsum()[:-1])).astype(np.int64)
 
 
@@ -334,7 +340,7 @@ def _followed(train: DataFrame, size: int) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(size * FOLLOWED, np.int64)
-        for frame in frames:
+        for frame in filter(len, frames):
             all_codes, starts = _sequences(frame)
             place = -1 - _before(all_codes, starts, 1)
             column = np.where((place >= 0) & (place < FOLLOWED - 1), place, FOLLOWED - 1)
@@ -345,7 +351,7 @@ def _followed(train: DataFrame, size: int) -> np.ndarray:
             part = cell[at : at + 100_000]
             yield pd.DataFrame({"cell": part, "n": sums[part]})
 
-    found = train.select("codes", "tail").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = train.select(*_CODES).mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * FOLLOWED, np.float32)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, FOLLOWED)
@@ -376,8 +382,8 @@ def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
     shards = max(-(-model.total // SHARD), 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_rows = list(frames)
-        for shard, rows in pd.concat(held_rows, ignore_index=True).groupby("shard") if held_rows else ():
+        parts = list(filter(len, frames))
+        for shard, rows in pd.concat(parts, ignore_index=True).groupby("shard") if parts else ():
             for which, low in zip(_learned(rows, *held.value), (0, inner_from), strict=True):
                 for block in range(-(-len(which.seen) // BLOCK)):
                     part = slice(block * BLOCK, (block + 1) * BLOCK)
@@ -393,7 +399,7 @@ def _train(spark, train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0]) // FAN], "block": [int(rows["block"].iloc[0])], "seen": [total.tobytes()], "weights": [weights.tobytes()]})
 
     schema = "shard int, block int, seen binary, weights binary"
-    dealt = train.select(F.pmod(F.xxhash64("mark", "doc_id"), F.lit(shards)).cast("int").alias("shard"), "mark", "doc_id", "codes", "tail")
+    dealt = train.select(F.pmod(F.xxhash64("mark", "doc_id"), F.lit(shards)).cast("int").alias("shard"), "mark", "doc_id", *_CODES)
     parts = dealt.repartitionById(shards, "shard").mapInPandas(run, schema)
     while True:
         parts = parts.withColumn("group", F.floor(F.col("shard") / FAN)).groupBy("block", "group").applyInPandas(lambda rows: mixed(rows.drop(columns="group")), schema)
@@ -421,7 +427,7 @@ def _cut_at(starts: np.ndarray, places: np.ndarray, *arrays: np.ndarray) -> Iter
 def _score(held):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = held.value
-        for frame in frames:
+        for frame in filter(len, frames):
             all_codes, starts = _sequences(frame)
             rows, previous = context_rows(all_codes, starts)
             wanted = labels(all_codes, previous, model.class_of)
@@ -497,6 +503,7 @@ def score(docs: DataFrame) -> DataFrame:
         model.weights, model.inner = _train(spark, train, model)
     held = spark.sparkContext.broadcast(model)
     scored = cut(coded.drop("mark").mapInPandas(_score(held), _SCORED))
+    drop(coded)
     # the tail's share of the scores
     mass, discount, unknown = model.tail_shares(rare["v"], rare["n1"], rare["n2"])
     base_norm = sums["n"] + 0.5 * (sums["v"] + 1)
