@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, classifier, decontaminate, linededup, simhash
 from tessera.llm.queries import table
+from tessera.llm.words import fresh
 from tessera.plans.lineage import cut
 
 
@@ -23,9 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents made of nothing else."""
-    done = linededup.line_dedup(docs).where("__removed = 0 or __removed < __lines")
+    count, gone = fresh(docs, "n_lines"), fresh(docs, "n_removed")
+    done = linededup.line_dedup(docs, lines=count, removed=gone).where((F.col(gone) == 0) | (F.col(gone) < F.col(count)))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
 

@@ -75,6 +75,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: All windows of 50 words by their words, and the smallest document of each.
+SUBSTRINGS = rf"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+s as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as said from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+m as (select said, min(doc_id) as low from s group by said having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from (select doc_id, i from s join m using (said) where doc_id > low)),
+e as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+k as (select doc_id, count(gone.p) as n_removed, string_agg(word, ' ' order by p) filter (gone.p is null) as kept from e left join gone using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+
+
+def _runs(most: int) -> str:
+    """Windows of 1 to ``most`` lines that have ``most`` words, by their lines."""
+    said = ["body", *(f"lead(body, {k}) over here" for k in range(1, most))]
+    words = ["n", *(f"lead(n, {k}) over here" for k in range(1, most))]
+    return " union all ".join(f"select doc_id, seq, {j} as j, [{', '.join(said[:j])}] as said, {' + '.join(words[:j])} as words from l window here as (partition by doc_id order by seq)" for j in range(1, most + 1))
+
+
+#: Runs of up to five lines with five words or more; as every line has a word, these cover all longer runs.
+LINES = rf"""
+with a as (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null),
+l as (select *, row_number() over (partition by doc_id order by line) as seq from (select *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) as n from a) where n > 0),
+r as (select * from ({_runs(5)}) where words >= 5),
+f as (select j, said, min(doc_id * 10000000 + seq) as first from r group by j, said having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(seq, seq + j)) as seq from (select doc_id, seq, j from r join f using (j, said) where doc_id * 10000000 + seq <> first)),
+g as (select doc_id, line from gone join l using (doc_id, seq)),
+k as (select doc_id, string_agg(body, chr(10) order by line) filter (g.line is null) as kept, count(g.line) as n_removed from a left join g using (doc_id, line) group by doc_id),
+n as (select doc_id, count(*) as n_lines from l group by doc_id)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join k using (doc_id) left join n using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE,
+    "op6_substring_dedup": SUBSTRINGS,
+    "op8_line_dedup": LINES,
 }

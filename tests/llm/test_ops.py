@@ -874,6 +874,22 @@ def test_substrings_of_many_near_copies(spark, limit):
     assert got == plain_substrings(rows)
 
 
+def test_operators_on_columns_of_any_name(spark, odd, vocabulary):
+    names = ["rid", "kind", "value", "ctx", "mark", "prefix", "anchor", "anchors", "starts", "shard", "codes", "tail", "word", "bucket", "fp", "rep", "component_id", "posterior", "toxic", "doc", "line", "seq", "digest", "tokens", "all", "measure", "k_lang", "held_out"]
+    wide = odd.select("doc_id", "text", "lang", "source").withColumns({n: F.lit("x") for n in names})
+    labels = spark.createDataFrame([(9, 1, 0, "x")], "doc_id long, toxic int, quality int, text string")
+    items = spark.createDataFrame([(1, "one two three", "x")], "item_id long, text string, rid string")
+    found = {
+        1: classifier.classify(wide, labels), 2: rules.quality_rules(wide), 4: bpe.encode_digests(wide, vocabulary), 6: substrings.remove_repeated_passages(wide),
+        7: pii.find(wide), 8: linededup.line_dedup(wide), 9: simhash.simhash_near_dedup(wide), 10: lm.score(wide),
+    }
+    for n, rows in found.items():
+        assert sorted(str(r["doc_id"]) for r in rows.collect()) == sorted(str(i) for i, *_ in ODD), n
+    assert {r["doc_id"] for r in decontaminate.contaminated(wide, items).collect()} == {4, None}
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "y")], "page_id long, url string, html string, text string")
+    assert [r["text"] for r in html.extract(pages).collect()] == ["x"]
+
+
 def test_crawl_query_has_no_row_limit(spark):
     from tessera.queries import crawl_order
 

@@ -32,6 +32,17 @@ def test_stages_on_odd_rows(spark):
             assert stage(spark, source, DATA).count() <= source.count()
 
 
+def test_stages_on_columns_of_any_name(spark):
+    names = ["doc", "gone", "n_lines", "n_removed", "__removed", "__lines", "digest", "fp", "rep", "component", "rid", "toxic", "posterior", "kept"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40")
+    wide = docs.selectExpr("*", *[f"{i} as `{n}`" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, found = stage(spark, docs, DATA), stage(spark, wide, DATA)
+        assert found.columns == wide.columns, name
+        assert sorted(map(tuple, found.select(*docs.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str), name
+        assert {tuple(r) for r in found.select(*[f"`{n}`" for n in names]).collect()} <= {tuple(range(len(names)))}, name
+
+
 def test_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "labels", "pages"):
