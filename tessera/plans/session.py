@@ -34,9 +34,11 @@ def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, with batches fit for texts.
 
     Enough where executors see the driver's folders; elsewhere install the package or
-    send it with ``--py-files``.  A batch size other than Spark's own is left alone.
+    send it with ``--py-files``.  A batch size that the session was given, or any other than
+    Spark's own, is left alone.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    stated = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(stated) == "10000" and not spark.sparkContext.getConf().contains(stated):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")

@@ -234,7 +234,8 @@ select version, sum(n)::bigint as findings, count(distinct doc_id) as documents_
 def alert_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _findings(spark, sf_dir).where(F.col("code").isin(*_LEXICAL_CODES)).select("doc_id", "level", "code")
     versions = found.withColumn("version", F.explode(F.when(F.col("code") == "nominalization", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("quiet")))))
-    docs = _measured(spark, sf_dir).select("doc_id", "words")
+    prose = T.mask_quotes(T.mask_markup(F.coalesce("text", F.lit(""))))
+    docs = texts(spark, sf_dir).select("doc_id", T.token_count(prose).alias("words"))
     return calibrate.alert_burden(versions, docs)
 
 
@@ -592,4 +593,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.bround(F.avg("sentence_mean_words"), 4).alias("mean_sentence_words"))
 
 
-from tessera import queries_protocol  # noqa: E402, F401  registers further queries
+from tessera import queries_parts, queries_protocol  # noqa: E402, F401  register further queries

@@ -1,9 +1,11 @@
 """Sources, markup, sinks and streams."""
 
+import hashlib
 import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
@@ -90,3 +92,63 @@ def test_windows_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, streams.windowed_counts(rows, "ts", ["kind"], "v").collect()))
+
+
+def test_html_reader_nests_as_tags_do():
+    read_html = markup.read_html
+    text, links = read_html("<p>a<b>b</p>c<nav>menu <a href=x>y</a></nav></i>d<br/>e<script>1</script><div>f</section>g")
+    assert "".join(text.split()) == "abcdefg" and links == ["x"]
+    words = "слово " * 100
+    assert read_html(f"<div>before<article>{words}</article></div>")[0].strip() == words.strip()
+    assert "before" in read_html("<div>before<article>слово</article></div>")[0]
+    assert read_html("<div class='x body'>in</div>out", "body")[0].strip() == "in"
+
+
+def test_sources_of_local_trees(spark, tmp_path):
+    for name in ("a/manifest.csv", "b/other.csv", "tree/one.txt", "tree/two.txt", "tree/book_7.txt", "tree/book_x.txt"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("text of " + name)
+    sources = [{"id": "a", "adapter": "manual_or_local_tree"}, {"id": "b", "adapter": "manual_or_local_tree"}, {"id": "c", "adapter": "zip"}]
+    assert readers.discover_local(spark, str(tmp_path), sources, {"c": "given"}) == {"a": f"{tmp_path}/a", "c": "given"}
+    files = readers.text_files(spark, str(tmp_path / "tree"))
+    rows = [("one.txt", "1", "web"), ("two.txt", "2", "secret"), ("../b/other.csv", "3", "web"), ("/etc/passwd", "4", ""), ("gone.txt", "5", "web"), ("one.txt", "6", ""), ("two.txt", "6", "web"), ("one.txt", " ", "web")]
+    found = readers.local_tree(files, str(tmp_path / "tree"), ["web"], spark.createDataFrame(rows, "path string, id string, channel string")).collect()
+    assert sorted((r["path"], r["id"], r["reason"] or "") for r in found) == sorted([
+        ("one.txt", "1", ""), ("two.txt", "2", "undeclared_channel"), ("../b/other.csv", "3", "path_escapes_tree"), ("/etc/passwd", "4", "path_escapes_tree"),
+        ("gone.txt", "5", "missing_file"), ("one.txt", "6", "duplicate_id"), ("two.txt", "6", "duplicate_id"), ("one.txt", " ", "missing_id")])
+    plain = readers.local_tree(files, str(tmp_path / "tree"), [])
+    assert plain.where("reason is not null").isEmpty() and readers.strict(plain).count() == 4
+    with pytest.raises(Exception, match="duplicate_id"):
+        readers.strict(readers.local_tree(files, str(tmp_path / "tree"), ["web"], spark.createDataFrame(rows[5:7], "path string, id string, channel string"))).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in readers.numbered_books(spark, str(tmp_path / "tree")).collect()] == ["book_7.txt"]
+
+
+def test_archives_have_the_stated_digest(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as file:
+        file.writestr("one.txt", "some words")
+    digest = hashlib.md5((tmp_path / "x.zip").read_bytes()).hexdigest()
+    assert readers.zip_records(spark, str(tmp_path / "x.zip"), {"x.zip": digest.upper()}).count() == 1
+    with pytest.raises(Exception, match="md5 differs"):
+        readers.zip_records(spark, str(tmp_path / "x.zip"), {"x.zip": "0" * 32}).collect()
+
+
+def test_fetching_is_a_plug_in(spark):
+    def fetch(url: str) -> bytes:
+        if url == "bad":
+            raise OSError("no such host")
+        return f"page of {url}".encode()
+
+    rows = {r["url"]: r for r in readers.fetched(spark.createDataFrame([("a",), ("bad",)], "url string"), fetch).collect()}
+    assert rows["a"]["text"] == "page of a" and rows["a"]["error"] is None and rows["bad"]["error"] == "OSError: no such host" and rows["bad"]["text"] is None
+
+
+def test_appends_reports_and_manifests(spark):
+    old = spark.createDataFrame([("p", "d1", "first", 0)], "profile string, sha256 string, text string, at int")
+    new = spark.createDataFrame([("p", "d2", "late", 9), ("p", "d2", "early", 3), ("p", "d1", "again", 1), ("p", None, "none", 2)], old.schema)
+    assert sorted(r["text"] for r in sinks.append_new(old, new, ["profile", "sha256"], "at").collect()) == ["early", "first", "none"]
+    assert sinks.kept_rows(spark.createDataFrame([("x",), ("y",)], "path string"), spark.createDataFrame([("x",)], "path string")).count() == 1
+    found = spark.createDataFrame([(2, 7, "info", "long-sentence", "m"), (2, 3, "warning", "hype-density", "n")], "doc_id long, line int, level string, code string, message string")
+    assert [r["said"] for r in sinks.console_lines(found).collect()] == ["2:3 [warning] hype-density: n", "2:7 [info] long-sentence: m", "2: 2"]
+    files = spark.createDataFrame([("file:/r/a/x", bytearray(b"1")), ("/r/b/y", bytearray(b"2"))], "path string, content binary")
+    assert [r["path"] for r in sinks.hash_manifest(files, "/r", ("b",)).collect()] == ["a/x"]

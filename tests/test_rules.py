@@ -93,3 +93,32 @@ def test_bags_keep_multiplicity(spark):
     pairs = spark.createDataFrame([("1 1 1 2", "1 2 2")], "source string, edited string")
     row = next(r for r in integrity_findings(pairs).collect() if r["code"] == "numeric-change")
     assert row["removed"] == ["1", "1"] and row["added"] == ["2"]
+
+
+def test_capped_selection_equals_the_plain_loop(spark):
+    from collections import Counter
+
+    from tessera.operators.protocol import capped_selection, digest_order
+
+    rows = [(i, f"a{i % 7}" if i % 11 else None, 2000 + i % 9) for i in range(300)]
+    for most, page in ((100, 1000), (20, 3), (400, 50)):
+        got = capped_selection(spark.createDataFrame(rows, "id long, author string, year long"), "id", "author", "year", most=most, page=page)
+        chosen, authors, years = [], Counter(), Counter()
+        for cap in (1, 2, 3, 5):
+            for i, a, y in sorted(rows, key=lambda r: digest_order(r[0])):
+                if len(chosen) < most and i not in chosen and authors[a or ""] < cap and years[y] < 5:
+                    chosen.append(i)
+                    authors[a or ""] += 1
+                    years[y] += 1
+        assert [r["id"] for r in got.orderBy("place").collect()] == chosen
+
+
+def test_workflow_says_the_first_failure(spark):
+    from tessera.operators import protocol
+
+    good = {f: not said for f, said, *_ in protocol.WORKFLOW}
+    rows = [good, *({**good, f: said} for f, said, *_ in protocol.WORKFLOW), {**good, "manifest": None}]
+    names = list(good)
+    table = spark.createDataFrame([(i, *[r[n] for n in names]) for i, r in enumerate(rows)], f"i int, {', '.join(f'{n} boolean' for n in names)}")
+    got = {r["i"]: r["s"]["exit_code"] for r in table.select("i", protocol.workflow_state().alias("s")).collect()}
+    assert got == {0: 0, **{i + 1: code for i, (*_, code, _) in enumerate(protocol.WORKFLOW)}, len(rows) - 1: 2}
