@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import CACHE_ENTRIES, batches
+from tessera.llm.words import batches
 
 #: Bounds of the samples on which lexicon and scorer are fitted.
 LABELLED_ROWS, TRAINING_ROWS, TOXIC_ROWS = 20_000, 15_000, 5_000
@@ -45,6 +45,8 @@ TOXIC_WEIGHT = 3
 #: Different words with one beginning that count as a burst of it, and lengths of such beginnings.
 BURST, BEGINNINGS = 3, (4, 5, 6, 7)
 DIMENSIONS = 1 << 18
+#: Words that a task remembers for the lexicon, and as many for the scorer; beyond that it starts anew.
+KNOWN_WORDS = 800_000
 #: Words of abuse to start from.
 ABUSE = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "disgusting", "worthless")
 LABELLERS = ("symbols", "capitals", "repeats", "lines", "tables", "shouts", "abuse")
@@ -81,12 +83,16 @@ class Abuse(dict):
 
     def __init__(self, lexicon: frozenset[bytes]) -> None:
         self.lexicon = lexicon
+        mark = f"{BURST}^"
+        self.heads = {t.decode()[len(mark) :][: BEGINNINGS[0]] for t in lexicon if t.startswith(mark.encode())}
 
     def __missing__(self, word: bytes) -> tuple[bool, tuple[bytes, ...]] | None:
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
-        found = not self.lexicon.isdisjoint(terms(word)), tuple(t for t in beginnings(word) if t in self.lexicon)
-        said = self[word] = found if found[0] or found[1] else None
+        hit = not self.lexicon.isdisjoint(terms(word))
+        head = word.strip(_EDGES).decode("utf-8", "ignore")[: BEGINNINGS[0]]
+        own = tuple(t for t in beginnings(word) if t in self.lexicon) if head in self.heads else ()
+        said = self[word] = (hit, own) if hit or own else None
         return said
 
     def count(self, words: set[bytes]) -> int:
@@ -168,7 +174,7 @@ class Places(dict):
     """Word to the places of its features."""
 
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= CACHE_ENTRIES // 4:
+        if len(self) >= KNOWN_WORDS // 4:
             self.clear()
         found = self[word] = [_place(t) for t in terms(word)]
         return found
@@ -250,7 +256,7 @@ class _Scores(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         value = self[word] = float(sum(self.weights[_place(t)] for t in terms(word)))
         return value
