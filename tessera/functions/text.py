@@ -126,10 +126,28 @@ def sentence_places(text: Column) -> Column:
     return F.filter(F.transform(found, lambda h: F.struct(h["pos"].alias("pos"), h["matched"].alias("matched"), token_count(h["matched"]).alias("n"))), lambda s: s["n"] >= 2)
 
 
+def _is_prose(block: Column) -> Column:
+    return (block != "") & ~block.startswith("#") & ~block.startswith("```") & ~block.rlike(U + r"^(?:[-*+]|\d+[.)])\s") & (token_count(block) >= 3)
+
+
+def _trimmed(block: Column) -> Column:
+    return replace(block, r"\A\s+|\s+\z", "")
+
+
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines that are prose: no heading, fence or list item, three tokens or more."""
-    blocks = F.transform(F.split(text, U + r"\n\s*\n+", -1), lambda b: replace(b, r"\A\s+|\s+\z", ""))
-    return F.filter(blocks, lambda b: (b != "") & ~b.startswith("#") & ~b.startswith("```") & ~b.rlike(U + r"^(?:[-*+]|\d+[.)])\s") & (token_count(b) >= 3))
+    return F.filter(F.transform(F.split(text, U + r"\n\s*\n+", -1), _trimmed), _is_prose)
+
+
+def paragraph_places(text: Column) -> Column:
+    """``array<struct<pos int, text string>>`` of the same blocks; ``pos`` is where the block starts, white space included."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<pos:int,text:string>>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        grown = F.when(acc["i"] % 2 == 0, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("pos"), _trimmed(part).alias("text"))))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(part)).alias("at"), (acc["i"] + 1).alias("i"), grown.alias("out"))
+
+    return F.filter(F.aggregate(_marked(text, r"\n\s*\n+", U), start, step, lambda acc: acc["out"]), lambda b: _is_prose(b["text"]))
 
 
 def per_thousand(hit_count: Column, words: Column) -> Column:

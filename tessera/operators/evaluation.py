@@ -47,6 +47,11 @@ def coverage(cases: DataFrame, declared: DataFrame, dimensions: str = "dimension
     return declared.join(seen, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("cases", F.lit(0)).alias("cases"), F.col("cases").isNotNull().alias("covered"))
 
 
+def profiles_covered(sources: DataFrame, profiles: str = "profiles", source: str = "id") -> DataFrame:
+    """``profile, sources``: the sources that declare each profile, in order; as many values as there are sources."""
+    return sources.select(source, F.explode(profiles).alias("profile")).groupBy("profile").agg(F.array_sort(F.collect_set(source)).alias("sources"))
+
+
 def run_plan(cases: DataFrame, arms: list[str], runs: int, case: str = "case_id") -> DataFrame:
     """Every case in every arm, ``runs`` times: the sizes of the product are the caller's."""
     spark = cases.sparkSession

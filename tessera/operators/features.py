@@ -35,6 +35,14 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, *[PROFILE_VALUES[n][i] for n in names]) for i, p in enumerate(PROFILE_NAMES)], ["profile", *names])
 
 
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """A profile table from a JSON object of profiles, each an object of settings; what one leaves out is as in the first built-in profile."""
+    said = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("profile", "given"))
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    of = lambda name, values: F.coalesce(F.col("given")[name].cast(kinds[type(values[0])]), F.lit(values[0])).alias(name)
+    return said.select("profile", *[of(name, values) for name, values in PROFILE_VALUES.items()])
+
+
 def compute_features(docs: DataFrame, pack: Pack = RUSSIAN, text: str = "text", include_quotes: bool = False) -> DataFrame:
     """Adds the features of ``METRICS``, ``n_<family>`` counts, ``n_dashes, n_colons, n_ellipses`` and the masked ``style`` text.
 
@@ -143,7 +151,7 @@ def prose_findings(docs: DataFrame, profile_table: DataFrame, pack: Pack = RUSSI
     df = once(
         df, **{f"h_{f}": F.when(speaks[f], h).otherwise(no_hits) for f, h in places.items()},
         h_long=F.filter(F.when(speaks["long"], T.sentence_places(style)).otherwise(F.array().cast("array<struct<pos:int,matched:string,n:bigint>>")), lambda s: s["n"] >= F.col("long_sentence_words_info")),
-        h_para=F.when(speaks["para"], F.get(T.paragraphs(style), F.lit(0))),
+        h_para=F.when(speaks["para"], F.get(T.paragraph_places(style), F.lit(0))["pos"]),
     )
     none = F.array().cast("array<struct<level:string,code:string,pos:int,sample:string>>")
     row = lambda level, code, pos, sample: F.struct(level.alias("level"), F.lit(code).alias("code"), pos.cast("int").alias("pos"), sample.cast("string").alias("sample"))
@@ -162,7 +170,7 @@ def prose_findings(docs: DataFrame, profile_table: DataFrame, pack: Pack = RUSSI
         alone(speaks["colon"], c("colon_level"), "colon-density", first("h_colon"), empty),
         alone(c("rhythm_checks") & (c("sentences") >= c("min_sentences_for_cv")) & (c("sentence_cv") < c("sentence_cv_min_info")), info, "sentence-uniformity", F.lit(0), empty),
         each(c("h_long"), info, "long-sentence", 0),
-        alone(speaks["para"], info, "one-sentence-paragraphs", F.greatest(F.expr("instr(style, h_para)") - 1, F.lit(0)), empty),
+        alone(speaks["para"], info, "one-sentence-paragraphs", F.coalesce("h_para", F.lit(0)), empty),
         alone(speaks["fillers"], info, "filler-density", first("h_fillers"), empty),
     )
     found = df.withColumn("f", F.explode(rules))

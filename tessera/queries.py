@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markup
 from tessera.functions import text as T
-from tessera.functions.lexicons import ENGLISH, LETTERS, PROFILE_NAMES, PROFILE_VALUES
+from tessera.functions.lexicons import ENGLISH, LETTERS, PROFILE_NAMES, PROFILE_VALUES, REQUIRED_SECTIONS
 from tessera.operators import calibrate, corpus, decisions, evaluation, features, integrity, requirements
 from tessera.plans.lineage import cut
 from tessera.plans.session import importable, spread
@@ -109,8 +109,8 @@ def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-def _sql_protected() -> str:
-    out = "text"
+def _sql_protected(column: str = "text") -> str:
+    out = column
     for _ in range(2):
         out = f"regexp_replace({out}, '(\\d)\\.(\\d)', '\\1∯\\2', 'g')"
     for n in (3, 2, 1):
@@ -191,7 +191,16 @@ def safe_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.safe_normalize(F.col("text")), 256).alias("digest"))
 
 
-@query()
+_MARKDOWN = r"""
+with a as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '^\s*\{[%{].*[}%]\}\s*$')) as l from documents),
+b as (select doc_id, list_transform(l, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s{0,3}#{1,6}\s+', ''), '^\s*>\s?', ''), '^\s*[-*+]\s+', ''), '^\s*\d+[.)]\s+', '')) as l from a),
+c as (select doc_id, list_transform(list_filter(l, lambda x: not regexp_matches(x, '^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$')), lambda x: {'x': x, 'cells': string_split(regexp_replace(trim(x), '^\|+|\|+$', '', 'g'), '|')}) as l from b),
+d as (select doc_id, list_transform(l, lambda c: case when contains(c.x, '|') and not regexp_matches(c.x, 'https?://') and len(c.cells) > 1 then array_to_string(list_filter(list_transform(c.cells, lambda y: trim(y, chr(32) || chr(9))), lambda y: y <> ''), '. ') else c.x end) as l from c),
+t as (select doc_id, array_to_string(list_transform(l, lambda x: trim(regexp_replace(x, '[\t \f\v]+', ' ', 'g'))), chr(10)) as t from d)
+select doc_id, sha256(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as digest from t"""
+
+
+@query(_MARKDOWN)
 def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(markup.markdown_to_text(F.col("text")), 256).alias("digest"))
 
@@ -205,7 +214,26 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features, findings, calibration --------------------------------------------------
 
 
-@query()
+def _sql_sentences(column: str) -> str:
+    """Token counts of the sentences of a text, those of two tokens or more."""
+    return f"list_filter(list_transform(regexp_extract_all({_sql_protected(column)}, '[^.!?…\\n]+(?:[.!?…]+|\\n?$)'), lambda x: len(regexp_extract_all(replace(x, '∯', '.'), '{_TOKEN}'))), lambda n: n >= 2)"
+
+
+_PROSE = rf"""
+b as (select doc_id, masked, {_sql_sentences("masked")} as s, list_transform(regexp_split_to_array(masked, '\n\s*\n+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')) as blocks from d),
+p as (select doc_id, list_filter(blocks, lambda x: x <> '' and not starts_with(x, '#') and not starts_with(x, '```') and not regexp_matches(x, '^(?:[-*+]|\d+[.)])\s') and len(regexp_extract_all(x, '{_TOKEN}')) >= 3) as paras from b),
+o as (select doc_id, count(*) as paragraphs, count(*) filter (len({_sql_sentences("x")}) <= 1) as single from (select doc_id, unnest(paras) as x from p) group by doc_id),
+l as (select doc_id, count(*) as sentences, avg(n) as mean, stddev_pop(n) as sd, quantile_cont(n::double, 0.9) as p90, quantile_cont(n::double, 0.95) as p95, max(n)::bigint as longest from (select doc_id, unnest(s) as n from b) group by doc_id),
+m as (select doc_id, len(regexp_extract_all(masked, '—|\s–\s'))::bigint as dashes, ({_sql_count("masked", ":")} - {_sql_count("masked", "[0-9]:[0-9]")}) as colons, {_sql_count("masked", "[.][.][.]|…")} as ellipses from d)"""
+_OF_FAMILY = {"pivots": "pivot_per_1000", "fillers": "filler_per_1000"}
+_PER = "round_even(case when r.words > 0 then {0} * 1000.0::double / r.words else 0 end, 4)"
+
+
+@query(f"""with {_LEXICAL.strip()}, {_PROSE.strip()}
+select r.doc_id, r.words, coalesce(l.sentences, 0) as sentences, coalesce(o.paragraphs, 0) as paragraphs, round_even(coalesce(mean, 0), 4) as sentence_mean_words, round_even(coalesce(sd / mean, 0), 4) as sentence_cv,
+  round_even(coalesce(p90, 0), 4) as sentence_p90_words, round_even(coalesce(p95, 0), 4) as sentence_p95_words, coalesce(longest, 0) as sentence_max_words, round_even(coalesce(single / o.paragraphs::double, 0), 4) as one_sentence_paragraph_ratio,
+  {_PER.format("dashes")} as dash_per_1000, {_PER.format("colons")} as colon_per_1000, {", ".join(f"r_{x} as {_OF_FAMILY.get(x, x + '_per_1000')}" for x in _FAMILIES)}, {_PER.format("ellipses")} as ellipsis_per_1000
+from r left join l using (doc_id) left join o using (doc_id) join m using (doc_id)""")
 def prose_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).select("doc_id", *features.METRICS)
 
@@ -379,7 +407,14 @@ def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.fence_states(docs, "doc_id")
 
 
-@query()
+_SECTIONS = ", ".join(f"('{v[0]}')" for v in REQUIRED_SECTIONS["gost19"])
+_NO_HEADING = " and ".join(f"not contains(h, '{x.replace('ё', 'е')}')" for v in REQUIRED_SECTIONS["gost19"] for x in v)
+
+
+@query(rf"""with h as (select doc_id, lower(text) as h from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1)::int as line from documents)
+select doc_id, 'TZ014' as code, 'warning' as severity, 1 as line, name as excerpt from h, (values {_SECTIONS}) s(name) where {_NO_HEADING}
+union all select doc_id, 'TZ001', 'warning', line, left(trim(regexp_replace(body, '\s+', ' ', 'g')), 240) from l where regexp_matches(body, '(?i)\b(?:TODO|TBD|FIXME|XXX)\b')""")
 def requirement_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return requirements.requirement_findings(docs, "gost19").drop("text", "detail")

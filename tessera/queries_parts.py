@@ -182,3 +182,9 @@ def calibrate_odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.get(F.array(F.lit("12"), F.lit("x"), F.lit(None).cast("string"), F.lit("7.5")), (F.col("doc_id") % 4).cast("int"))
     rows = table(spark, sf_dir, "documents").select("lang", T.token_count(F.col("text")).alias("words"), cell.alias("n"))
     return calibrate.calibrate(rows, ["lang"], list(_METRIC)).select("lang", "documents", "words_total", "metric", "p50", "p95")
+
+
+@query("select lang as profile, string_agg(source, ',' order by source) as sources, count(*) as n from (select distinct lang, source from documents) group by lang")
+def profiles_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.collect_set("lang").alias("profiles"))
+    return evaluation.profiles_covered(declared).select("profile", F.array_join("sources", ",").alias("sources"), F.size("sources").cast("long").alias("n"))

@@ -221,7 +221,14 @@ def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.unknown_labels(table(spark, sf_dir, "labels").select("doc_id", said.alias("label")))
 
 
-@query()
+@query("""with recursive pool as (select doc_id, source, doc_id % 23 as year, row_number() over (order by sha256(doc_id::varchar)) as r, count(*) over () as n from documents),
+steps as (select k * n + r as step, cap, doc_id, source, year from pool, (values (0, 1), (1, 2), (2, 3), (3, 5)) c(k, cap)),
+fold(step, ids, authors, years) as (select 0::bigint, []::bigint[], []::varchar[], []::bigint[] union all
+  select step, case when ok then list_append(ids, doc_id) else ids end, case when ok then list_append(authors, source) else authors end, case when ok then list_append(years, year) else years end from (
+    select s.step, f.ids, f.authors, f.years, s.doc_id, s.source, s.year, len(f.ids) < 100 and not list_contains(f.ids, s.doc_id) and len(list_filter(f.authors, lambda a: a = s.source)) < s.cap and len(list_filter(f.years, lambda y: y = s.year)) < 5 as ok
+    from fold f join steps s on s.step = f.step + 1)),
+whole as (select ids from fold order by step desc limit 1)
+select doc_id, source, doc_id % 23 as year, place::int as place from (select unnest(ids) as doc_id, generate_subscripts(ids, 1) as place from whole) join documents using (doc_id)""")
 def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 23).alias("year"))
     return protocol.capped_selection(pool, "doc_id", "source", "year")

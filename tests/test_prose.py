@@ -106,3 +106,24 @@ def test_unknown_mode_gives_nothing(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "id string, text string, mode string")
     assert prose_findings(docs, profiles(spark)).count() == 0
+
+
+def test_places_of_paragraphs(spark):
+    text = "# слово слово слово\n\nслово слово слово\n \n\n- пункт пункт пункт\n\nслово слово слово"
+    rows = spark.createDataFrame([(text,)], "t string").select(T.paragraph_places(F.col("t")).alias("p"), T.paragraphs(F.col("t")).alias("q")).first()
+    assert [(r["pos"], r["text"]) for r in rows["p"]] == [(text.index("\n\nслово") + 2, "слово слово слово"), (text.rindex("слово слово слово"), "слово слово слово")]
+    assert rows["q"] == [r["text"] for r in rows["p"]]
+
+
+def test_profiles_from_json(spark, tmp_path):
+    import json
+
+    from tessera.operators.features import read_profiles
+
+    path = tmp_path / "profiles.json"
+    path.write_text(json.dumps({"own": {"min_road_hits": 2, "road_per_1000_warn": 4.5, "rhythm_checks": False, "hype_level": "off"}, "bare": {}}))
+    found = {r["profile"]: r for r in read_profiles(spark, str(path)).collect()}
+    assert (found["own"]["min_road_hits"], found["own"]["road_per_1000_warn"], found["own"]["rhythm_checks"], found["own"]["hype_level"]) == (2, 4.5, False, "off")
+    built_in = profiles(spark).where("profile = 'prose'").first()
+    assert all(found["bare"][c] == built_in[c] for c in built_in.asDict() if c != "profile")
+    assert read_profiles(spark, str(path)).columns == profiles(spark).columns
