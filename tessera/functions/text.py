@@ -150,6 +150,17 @@ def paragraph_places(text: Column) -> Column:
     return F.filter(F.aggregate(_marked(text, r"\n\s*\n+", U), start, step, lambda acc: acc["out"]), lambda b: _is_prose(b["text"]))
 
 
+def first_paragraph_place(text: Column) -> Column:
+    """Where the first of these blocks starts; null without one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("pos"))
+
+    def step(acc: Column, part: Column) -> Column:
+        found = F.when(acc["pos"].isNotNull(), acc["pos"]).when((acc["i"] % 2 == 0) & _is_prose(_trimmed(part)), acc["at"])
+        return F.struct((acc["at"] + F.length(part)).alias("at"), (acc["i"] + 1).alias("i"), found.alias("pos"))
+
+    return F.aggregate(_marked(text, r"\n\s*\n+", U), start, step, lambda acc: acc["pos"])
+
+
 def per_thousand(hit_count: Column, words: Column) -> Column:
     return F.bround(F.when(words > 0, hit_count * F.lit(1000.0) / words).otherwise(F.lit(0.0)), 4)
 

@@ -151,7 +151,7 @@ def prose_findings(docs: DataFrame, profile_table: DataFrame, pack: Pack = RUSSI
     df = once(
         df, **{f"h_{f}": F.when(speaks[f], h).otherwise(no_hits) for f, h in places.items()},
         h_long=F.filter(F.when(speaks["long"], T.sentence_places(style)).otherwise(F.array().cast("array<struct<pos:int,matched:string,n:bigint>>")), lambda s: s["n"] >= F.col("long_sentence_words_info")),
-        h_para=F.when(speaks["para"], F.get(T.paragraph_places(style), F.lit(0))["pos"]),
+        h_para=F.when(speaks["para"], T.first_paragraph_place(style)),
     )
     none = F.array().cast("array<struct<level:string,code:string,pos:int,sample:string>>")
     row = lambda level, code, pos, sample: F.struct(level.alias("level"), F.lit(code).alias("code"), pos.cast("int").alias("pos"), sample.cast("string").alias("sample"))

@@ -110,9 +110,9 @@ def test_empty_table(spark):
 
 def test_places_of_paragraphs(spark):
     text = "# слово слово слово\n\nслово слово слово\n \n\n- пункт пункт пункт\n\nслово слово слово"
-    rows = spark.createDataFrame([(text,)], "t string").select(T.paragraph_places(F.col("t")).alias("p"), T.paragraphs(F.col("t")).alias("q")).first()
+    rows = spark.createDataFrame([(text,)], "t string").select(T.paragraph_places(F.col("t")).alias("p"), T.paragraphs(F.col("t")).alias("q"), T.first_paragraph_place(F.col("t")).alias("f")).first()
     assert [(r["pos"], r["text"]) for r in rows["p"]] == [(text.index("\n\nслово") + 2, "слово слово слово"), (text.rindex("слово слово слово"), "слово слово слово")]
-    assert rows["q"] == [r["text"] for r in rows["p"]]
+    assert rows["q"] == [r["text"] for r in rows["p"]] and rows["f"] == rows["p"][0]["pos"]
 
 
 def test_profiles_from_json(spark, tmp_path):
