@@ -38,15 +38,15 @@ unknown, and an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import WordDigests, batches, encoded, hashed_words
+from tessera.llm.words import batches, encoded
 from tessera.plans.lineage import cut, drop
 
 HEAD, CLASSES = 65_536, 32
@@ -61,20 +61,107 @@ REPEAT, TAIL, END, FIRST = 0, 1, 2, 3
 #: Key of the end, which no word has but by chance, code before a text, characters of a piece.
 END_KEY, START, PIECE = (1 << 62) + 1, -1 - HEAD, 2_000_000
 RATE = 0.5
+#: Gradients of a row in a batch that are added one after the other.
+FEW = 4
 #: Training tokens of a shard, more or less.
 SHARD = 4_000_000
+#: Words whose digests are computed at once.
+AT_ONCE = 300_000
 #: Words that a task counts before it gives its counts away.
 COUNTED = 600_000
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_BYTE, _HALF = np.uint64(0xFF), np.uint64(0xFFFFFFFF)
+#: 1 for what separates words.
+_SPACES = bytes(int(b in b"\x20\t\n\x0b\x0c\r") for b in range(256))
+
+
+def _rotate(x: np.ndarray, bits: int) -> None:
+    high = x >> np.uint64(64 - bits)
+    x <<= np.uint64(bits)
+    x |= high
+
+
+def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words."""
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = np.frombuffer(raw.translate(_SPACES), bool)
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def _digests(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 42) of words that 16 bytes follow, those of one length together; words beyond 31 bytes, which XXH64 reads in stripes, one by one."""
+    lanes = np.frombuffer(raw, "<u8", len(raw) // 8)
+
+    def read(at: np.ndarray) -> np.ndarray:
+        place, bits = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        out = lanes.take(place) >> bits
+        high = lanes.take(place + 1) << (np.uint64(63) - bits)
+        out |= high << np.uint64(1)
+        return out
+
+    kind = np.minimum(sizes, 32).astype(np.uint8)  # short keys are sorted by digits
+    order = np.argsort(kind, kind="stable")
+    at_all, ends = starts[order], np.bincount(kind, minlength=33).cumsum()
+    found = np.empty(len(starts), np.uint64)
+    for size in range(1, 32):
+        at = at_all[ends[size - 1] : ends[size]]
+        if not len(at):
+            continue
+        h = np.full(len(at), (42 + int(_P5) + size) % 2**64, np.uint64)
+        for low in range(0, size - 7, 8):
+            x = read(at + low) * _P2
+            _rotate(x, 31)
+            h ^= x * _P1
+            _rotate(h, 27)
+            h *= _P1
+            h += _P4
+        left = size % 8
+        if left:
+            rest = read(at + (size - left))
+        if left >= 4:
+            h ^= (rest & _HALF) * _P1
+            _rotate(h, 23)
+            h *= _P2
+            h += _P3
+        for k in range(left & 4, left):
+            h ^= ((rest >> np.uint64(8 * k)) & _BYTE) * _P5
+            _rotate(h, 11)
+            h *= _P1
+        for bits, factor in ((33, _P2), (29, _P3)):
+            h ^= h >> np.uint64(bits)
+            h *= factor
+        h ^= h >> np.uint64(32)
+        found[ends[size - 1] : ends[size]] = h
+    long = slice(ends[31], None)
+    found[long] = [xxhash.xxh64_intdigest(raw[a : a + n], 42) for a, n in zip(at_all[long].tolist(), sizes[order[long]].tolist(), strict=True)]
+    out = np.empty(len(starts), np.uint64)
+    out[order] = found
+    return out
+
+
+def _word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of 63 bits of all words, A to Z lowered, and how many words each text has."""
+    raws = [encoded(text) for text in texts]
+    raw = b"\n".join([*raws, b" " * 16]).lower()
+    starts, sizes = _spans(raw)
+    before = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    keys = np.empty(len(starts), np.int64)
+    for at in range(0, len(starts), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        keys[part] = (_digests(raw, starts[part], sizes[part]) >> np.uint64(1)).astype(np.int64)
+    return keys, np.diff(before)
+
+
 def keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of 63 bits of all tokens, END_KEY after each text's words; where each text starts; words' places in the keys."""
-    digests, whose = hashed_words(texts)
-    place = np.arange(len(digests)) + whose
-    out = np.full(len(digests) + len(texts), END_KEY, np.int64)
-    out[place] = (digests >> np.uint64(1)).astype(np.int64)
-    sizes = np.bincount(whose, minlength=len(texts)) + 1
-    return out, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), place
+    """Keys of all tokens, END_KEY after each text's words; where each text starts; words' places in the keys."""
+    keys, words = _word_keys(texts)
+    place = np.arange(len(keys)) + np.repeat(np.arange(len(texts)), words)
+    out = np.full(len(keys) + len(texts), END_KEY, np.int64)
+    out[place] = keys
+    return out, np.concatenate(([0], np.cumsum(words + 1)[:-1])).astype(np.int64), place
 
 
 class Places:
@@ -113,33 +200,52 @@ class Places:
         return out
 
 
-def _counted(counts: Counter, ends: int) -> pd.DataFrame:
-    keys = (WordDigests().of(list(counts)) >> np.uint64(1)).astype(np.int64)
-    return pd.DataFrame({"word": np.append(keys, END_KEY), "c": np.append(np.fromiter(counts.values(), np.int64, len(counts)), ends)})
+def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, in order, and the sums of their counts."""
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    return words[first], np.add.reduceat(counts[order], first)
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the words of all texts, given away whenever a task holds ``COUNTED`` words."""
-    counts, ends = Counter(), 0
-    for frame in frames:
-        for text in frame["text"]:
-            counts.update(encoded(text).lower().split())
-        ends += len(frame)
-        if len(counts) >= COUNTED:
-            yield _counted(counts, ends)
-            counts, ends = Counter(), 0
-    if ends:
-        yield _counted(counts, ends)
+    held, fresh, waiting = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+    for frame in batches(frames, PIECE):
+        keys = np.sort(np.append(_word_keys(frame["text"].tolist())[0], np.full(len(frame), END_KEY)))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        fresh.append((keys[first], np.diff(np.append(first, len(keys)))))
+        waiting += len(first)
+        if waiting >= COUNTED:
+            held, fresh, waiting = _summed(*map(np.concatenate, zip(held, *fresh, strict=True))), [], 0
+            if len(held[0]) >= COUNTED:
+                yield pd.DataFrame({"word": held[0], "c": held[1]})
+                held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    if fresh or len(held[0]):
+        words, counts = _summed(*map(np.concatenate, zip(held, *fresh, strict=True)))
+        yield pd.DataFrame({"word": words, "c": counts})
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rests(products: np.ndarray, rows: int) -> np.ndarray:
+    """Remainders of the upper bits, by a division that numpy does for many at once."""
+    x = (products >> np.uint64(33)).astype(np.uint32)
+    x -= x // np.uint32(rows) * np.uint32(rows)
+    return x.astype(np.int64)
 
 
 def _hashed(values: np.ndarray, rows: int) -> np.ndarray:
-    x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(rows)).astype(np.int64)
+    return _rests(values.astype(np.uint64) * _FACTOR, rows)
 
 
 def _word_rows(codes: np.ndarray) -> np.ndarray:
     place = -1 - codes
-    return np.where((codes < 0) & (place < OWN), place, OWN + _hashed(codes, OTHER))
+    out = np.where((codes < 0) & (place < OWN), place, 0)
+    other = np.flatnonzero((codes >= 0) | (place >= OWN))
+    out[other] = OWN + _hashed(codes[other], OTHER)
+    return out
 
 
 def _before(codes: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
@@ -162,8 +268,12 @@ def context_rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     """Weight rows of every token's context, ``(tokens, 4)``, and the codes of the previous tokens."""
     one, two, three = (_before(codes, starts, k) for k in (1, 2, 3))
     pair = _hashed(one * np.int64(31) + two * np.int64(1_000_003), PAIRS)
-    rows = np.stack([1 + _word_rows(one), 1 + WORD_ROWS + _word_rows(two), 1 + 2 * WORD_ROWS + pair, 1 + 2 * WORD_ROWS + PAIRS + _hashed(three, WIDE)], axis=1).astype(np.int32)
-    return rows, one
+    rows = np.empty((4, len(codes)), np.int32)  # a feature's rows lie together
+    rows[0] = 1 + _word_rows(one)
+    rows[1] = 1 + WORD_ROWS + _word_rows(two)
+    rows[2] = 1 + 2 * WORD_ROWS + pair
+    rows[3] = 1 + 2 * WORD_ROWS + PAIRS + _hashed(three, WIDE)
+    return rows.T, one
 
 
 def labels(codes: np.ndarray, previous: np.ndarray, class_of: np.ndarray) -> np.ndarray:
@@ -171,7 +281,7 @@ def labels(codes: np.ndarray, previous: np.ndarray, class_of: np.ndarray) -> np.
     return np.where(codes == previous, REPEAT, kind)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+def _logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     logits = weights.take(rows[:, 0], axis=0)
     logits += weights[0]
     for k in range(1, rows.shape[1]):
@@ -179,7 +289,16 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None
     np.clip(logits, -60, 60, out=logits)  # within what float32 can raise e to
     if prior is not None:
         logits += prior
-    logits -= np.log(np.exp(logits) @ np.ones((weights.shape[1], 1), np.float32))
+    return logits
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones((values.shape[1], 1), np.float32)
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    logits = _logits(weights, rows, prior)
+    logits -= np.log(_sums(np.exp(logits)))
     return logits
 
 
@@ -190,31 +309,54 @@ class Trainer:
         self.weights = np.zeros((rows, width), np.float32)
         self.squares = np.full(rows, 1.0, np.float32)
         self.seen = np.zeros(rows, np.int64)
+        self.whole = self.weights.view(f"V{4 * width}").ravel()  # a row as one value, which is written at once
 
     def update(self, rows: np.ndarray, wanted: np.ndarray, prior: np.ndarray | None = None) -> None:
         """One step on a batch, a feature at a time: what is gathered and summed then stays near the processor."""
-        gradient = np.exp(log_softmax(self.weights, rows, prior))
+        gradient = _logits(self.weights, rows, prior)
+        np.exp(gradient, out=gradient)
+        gradient /= _sums(gradient)
         gradient[np.arange(len(wanted)), wanted] -= 1
+        edge = np.ones(len(wanted) + 1, bool)
         for k in range(rows.shape[1]):
             key = rows[:, k].astype(np.uint16)  # ROWS and INNER fit, and short keys are sorted by digits
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(first, len(key)))
-            total, many = gradient.take(order[first], axis=0), size > 1  # most rows occur once in a batch
-            if many.any():
-                inside = gradient.take(order[np.repeat(many, size)], axis=0)
-                total[many] = np.add.reduceat(inside, np.append(0, size[many][:-1].cumsum()), axis=0)
-            self._step(key[first].astype(np.int64), total, size)
-        self._step(np.zeros(1, np.int64), gradient.sum(axis=0, keepdims=True), len(wanted))
-
-    def _step(self, own: np.ndarray, total: np.ndarray, size: np.ndarray | int) -> None:
-        squares = self.squares[own] + np.einsum("ij,ij->i", total, total)
+            order = key.argsort(kind="stable")
+            key = key.take(order)
+            np.not_equal(key[1:], key[:-1], out=edge[1:-1])
+            first = edge.nonzero()[0]
+            size = first[1:] - first[:-1]
+            first = first[:-1]
+            total = gradient.take(order.take(first), axis=0)  # most rows occur once in a batch
+            self._more(total, gradient, order, first, size)
+            self._step(key.take(first).astype(np.int64), total, size)
+        self._step(np.zeros(1, np.int64), gradient.sum(axis=0, keepdims=True), np.array([len(wanted)]))
+
+    @staticmethod
+    def _more(total: np.ndarray, gradient: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Adds the second to the ``FEW``-th gradient of each row one after the other, and those beyond in runs."""
+        many = (size > 1).nonzero()[0]
+        for k in range(1, FEW):
+            if not len(many):
+                return
+            sums = total.take(many, axis=0)
+            sums += gradient.take(order.take(first.take(many) + k), axis=0)
+            total[many] = sums
+            many = many[size.take(many) > k + 1]
+        if len(many):
+            left = size.take(many) - FEW
+            runs = left.cumsum() - left
+            place = np.arange(runs[-1] + left[-1]) + (first.take(many) + FEW - runs).repeat(left)
+            inside = gradient.take(order.take(place), axis=0).view(np.complex64)  # two columns at once
+            total[many] += np.add.reduceat(inside, runs, axis=0).view(np.float32)
+
+    def _step(self, own: np.ndarray, total: np.ndarray, size: np.ndarray) -> None:
+        squares = self.squares.take(own)
+        squares += np.einsum("ij,ij->i", total, total)
         self.squares[own] = squares
         total *= (RATE / np.sqrt(squares))[:, None]
         weights = self.weights.take(own, axis=0)
         weights -= total
-        self.weights[own] = weights
+        np.put(self.whole, own, weights.view(self.whole.dtype).ravel(), mode="clip")
         self.seen[own] += size
 
 
@@ -296,21 +438,32 @@ class Trees:
         depth = max(map(len, paths), default=0)
         flat = np.array([p + [(-1, -1)] * (depth - len(p)) for p in paths], np.int32).reshape(len(class_of), depth, 2)
         self.node, self.branch = flat[..., 0], flat[..., 1]
+        # the same without gaps
+        on_way = self.node >= 0
+        self.length = on_way.sum(axis=1)
+        self.from_, self.nodes, self.branches = self.length.cumsum() - self.length, self.node[on_way], self.branch[on_way]
+        self.product = (ROWS * (1 + np.arange(len(self.shares)))).astype(np.uint64) * _FACTOR
 
     def steps(self, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All choices on the ways to head words: whose, their weight rows, branches taken, and priors."""
-        node = self.node[places]
-        whose, depth = np.nonzero(node >= 0)
-        node = node[whose, depth]
-        inner = 1 + _hashed(rows[whose].astype(np.int64) + ROWS * (1 + node[:, None].astype(np.int64)), INNER - 1)
-        return whose, inner, self.branch[places[whose], depth], self.shares[node]
+        length = self.length.take(places)
+        ends = length.cumsum()
+        whose = np.arange(len(places)).repeat(length)
+        at = np.arange(len(whose)) + (self.from_.take(places) + length - ends).repeat(length)
+        node = self.nodes.take(at)
+        # the hash of row + ROWS * (1 + node), whose two products are added
+        products = (rows.T.astype(np.uint64) * _FACTOR).take(whose, axis=1)
+        products += self.product.take(node)
+        return whose, (1 + _rests(products, INNER - 1)).T, self.branches.take(at), self.shares.take(node, axis=0)
 
     def logs(self, weights: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Log chance of each head word inside its class after its context."""
         whose, inner, branch, prior = self.steps(places, rows)
         if not len(whose):
             return np.zeros(len(places))
-        found = log_softmax(weights, inner, prior)[np.arange(len(whose)), branch]
+        logits = _logits(weights, inner, prior)
+        found = logits[np.arange(len(whose)), branch]
+        found -= np.log(_sums(np.exp(logits, out=logits)))[:, 0]
         return np.bincount(whose, found, len(places))
 
 
@@ -440,10 +593,10 @@ def _score(held):
                 if len(model.head):
                     inside, known = np.zeros(len(own)), np.flatnonzero(in_head[part])
                     inside[known] = model.trees.logs(model.inner, place[part][known], rows[part][known])
-                    again = in_head[part] & (wanted[part] == REPEAT)
-                    plain = in_head[part] & ~again
-                    both = np.logaddexp(own, logs[np.arange(len(logs)), model.class_of[place[part]]] + inside)
-                    own = np.where(again, both, np.where(plain, own + inside, own))
+                    again = np.flatnonzero(in_head[part] & (wanted[part] == REPEAT))
+                    both = np.logaddexp(own[again], logs[again, model.class_of[place[part][again]]] + inside[again])
+                    own += inside  # nothing for words beyond the head
+                    own[again] = both
                 value[part], repeat[part], tail[part] = own, logs[:, REPEAT], logs[:, TAIL]
             base = np.where(in_head, model.base[np.minimum(place, max(len(model.base) - 1, 0))], 0.0) if len(model.base) else np.zeros(len(value))
             sums = lambda x: np.add.reduceat(x, starts)

@@ -121,13 +121,3 @@ def _cut(held: list[pd.DataFrame], characters: int, column: str) -> Iterator[pd.
         end = max(start + 1, int(np.searchsorted(sizes, base + characters, "right")))
         yield frame.iloc[start:end]
         start = end
-
-
-_KNOWN = WordDigests()
-
-
-def hashed_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words of texts, A to Z lowered or as they are, and the text of each."""
-    parts = [(encoded(t).lower() if lower else encoded(t)).split() for t in texts]
-    digests = _KNOWN.of([w for p in parts for w in p])
-    return digests, np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
