@@ -7,6 +7,8 @@ need no shuffle.  Null texts count as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,17 @@ def _has(line: Column, pattern: str) -> Column:
     return line.rlike(T.UI + pattern)
 
 
-def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``lines``: ``array<struct<no int, body string, code boolean, fence boolean>>`` with the state of fences."""
+def is_fence(line: Column) -> Column:
+    return T.replace(line, r"^\s+", "").startswith("```")
+
+
+def numbered_lines(docs: DataFrame, text: str = "text", lines: Callable[[Column], Column] = split_lines, fence: Callable[[Column], Column] = is_fence) -> DataFrame:
+    """Adds ``lines``: ``array<struct<no int, body string, code boolean, fence boolean>>`` with the state of fences.
+
+    ``lines`` and ``fence`` say what a line and what a fence is.
+    """
     df = once(docs, body=F.coalesce(F.col(text), F.lit("")))
-    df = once(df, raw=split_lines(F.col("body")))
-    fence = lambda x: T.replace(x, r"^\s+", "").startswith("```")
+    df = once(df, raw=lines(F.col("body")))
     start = F.struct(F.lit(0).alias("no"), F.lit(False).alias("code"), F.array().cast("array<struct<no:int,body:string,code:boolean,fence:boolean>>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -41,9 +49,9 @@ def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return once(df, lines=F.aggregate("raw", start, step, lambda acc: acc["out"])).drop("raw")
 
 
-def fence_states(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def fence_states(docs: DataFrame, key: str, text: str = "text", lines: Callable[[Column], Column] = split_lines, fence: Callable[[Column], Column] = is_fence) -> DataFrame:
     """``(key, line, in_code)`` of all lines; a fence line itself counts as outside."""
-    return numbered_lines(docs, text).select(key, F.inline("lines")).select(key, F.col("no").cast("long").alias("line"), (F.col("code") & ~F.col("fence")).alias("in_code"))
+    return numbered_lines(docs, text, lines, fence).select(key, F.inline("lines")).select(key, F.col("no").cast("long").alias("line"), (F.col("code") & ~F.col("fence")).alias("in_code"))
 
 
 def requirement_lines(docs: DataFrame, marker: str = L.REQ_MARKER, req_id: str = L.REQ_ID, text: str = "text") -> DataFrame:
