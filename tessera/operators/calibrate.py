@@ -27,11 +27,14 @@ def calibrate(features: DataFrame, by: list[str], metrics: list[str], min_docs:
     return tall.where("documents > 0").select(*by, "documents", "words_total", "excluded_short_documents", "sufficient", "metric", *[F.coalesce(F.bround(F.get("q", F.lit(i)), 4), F.lit(0.0)).alias(p) for i, p in enumerate(QUANTILES)])
 
 
-def alert_burden(findings: DataFrame, documents: DataFrame, version: str = "version", key: str = "doc_id") -> DataFrame:
+def alert_burden(findings: DataFrame, documents: DataFrame, version: str = "version", key: str = "doc_id", n: str | None = None) -> DataFrame:
     """Findings per thousand words and their spread over documents, for each version of a checker.
 
-    ``documents`` has ``key`` and ``words``; ``findings`` has ``version, key, level, code``.
+    ``documents`` has ``key`` and ``words``; ``findings`` has ``version, key, level, code``, and ``n`` may
+    name the column that says how many findings a row stands for.
     """
+    times = F.col(n) if n else F.lit(1).cast("long")
+    of = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, times)), F.lit(0))
     totals = documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
-    counted = findings.groupBy(version).agg(F.count(F.lit(1)).alias("findings"), F.count_distinct(key).alias("documents_with_findings"), F.count_if(F.col("level") == "warning").alias("warnings"), F.count_if(F.col("level") == "info").alias("infos"))
+    counted = findings.groupBy(version).agg(F.sum(times).alias("findings"), F.count_distinct(key).alias("documents_with_findings"), of("warning").alias("warnings"), of("info").alias("infos"))
     return counted.crossJoin(F.broadcast(totals)).withColumn("findings_per_1000", F.bround(F.when(F.col("words") > 0, F.col("findings") * 1000.0 / F.col("words")).otherwise(0.0), 4))

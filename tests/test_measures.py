@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import measures
 from tessera.functions import text as T
 from tessera.functions.lexicons import ENGLISH, RUSSIAN
-from tessera.operators import features
+from tessera.operators import calibrate, features
 
 BITS = [
     "А. С. Пушкин", "т. е. давно", "т.д. И", "См. рис. 5", "ул. Ленина", "5 г. Иванов", "НАПР. это", "3.5 руб. за", "A. B. Smith", "²A. Smith", "_A. Smith",
@@ -74,3 +74,10 @@ def test_counts_are_those_of_the_findings(spark, odd):
         got = counted.select("id", F.inline("found"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert counted.count() == docs.count()
+
+
+def test_alert_burden_of_counted_rows(spark):
+    docs = spark.createDataFrame([(1, 10), (2, 30)], "doc_id long, words long")
+    counted = spark.createDataFrame([("a", 1, "warning", "x", 2), ("a", 2, "info", "y", 1), ("b", 2, "info", "y", 3)], "version string, doc_id long, level string, code string, n long")
+    each = counted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    assert sorted(map(tuple, calibrate.alert_burden(counted, docs, n="n").collect())) == sorted(map(tuple, calibrate.alert_burden(each, docs).collect()))
