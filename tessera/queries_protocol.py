@@ -152,8 +152,7 @@ def decision_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = _alerts(spark, sf_dir).where("eligible")
-    measured = _signals(spark, sf_dir).where(F.col("signal") == SIGNAL).select("id", "words")
-    counts = alerts.join(measured, "id").groupBy("profile").agg(F.count(F.lit(1)).alias("eligible_documents"), F.sum("words").alias("eligible_words"), F.count_if("old_fires").alias("old_alerts"), F.count_if("candidate_fires").alias("candidate_alerts"), F.first("old").alias("old"), F.first("candidate").alias("candidate"))
+    counts = alerts.groupBy("profile").agg(F.count(F.lit(1)).alias("eligible_documents"), F.sum("words").alias("eligible_words"), F.count_if("old_fires").alias("old_alerts"), F.count_if("candidate_fires").alias("candidate_alerts"), F.first("old").alias("old"), F.first("candidate").alias("candidate"))
     control = _control(spark, counts).withColumnRenamed("control", "control_candidate")
     gate = (F.col("eligible_documents") >= GATES["profile_documents"]) & (F.col("eligible_words") >= GATES["profile_words"])
     return counts.join(control, "profile").withColumn("decision", protocol.first_decision()).withColumn("freeze_gate_met", gate).withColumn("signal", F.lit(SIGNAL))
