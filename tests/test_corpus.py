@@ -174,3 +174,45 @@ def test_greedy_split_in_rounds_equals_the_fold(spark):
     rounds = {(r["g"], r["component"]): r["arm"] for r in decisions.greedy_split(table, ["g"], in_task=0).collect()}
     assert len(folded) == len(rows) and folded == rounds
     assert {r[3] for r in rows if r[0] == "a"} and {"calibration", "validation"} == {a for (g, _), a in folded.items() if g == "a"}
+
+
+@pytest.mark.parametrize("rare", [1, 3, 64])
+def test_similar_classes_match_all_pairs(spark, monkeypatch, rare):
+    """With shingles that most sets have, sets of a few shingles, and sets that are made of hot shingles alone."""
+    monkeypatch.setattr(corpus, "RARE", rare)
+    draw = random.Random(8)
+    hot = [draw.getrandbits(62) for _ in range(60)]
+    sets = [{draw.getrandbits(62) for _ in range(draw.choice([1, 3, 12, 13, 40, 200]))} | set(hot[: draw.choice([0, 0, 30, 60])]) for _ in range(60)]
+    sets += [set(draw.sample(hot, 58)) for _ in range(10)]
+    for s in list(sets):  # near copies, some of them just above the threshold and some below
+        for _ in range(2):
+            less = draw.sample(sorted(s), max(1, round(len(s) * draw.choice([0.9, 0.93, 0.97]))))
+            sets.append(set(less) | {draw.getrandbits(62) for _ in range(draw.choice([0, 0, 1, 3]))})
+    sets = [list(x) for x in {tuple(sorted(s)) for s in sets}]
+    rows = [(i, ["p", None][i % 13 == 0], 100 + i % 60, len(s), [h for h in s if h % corpus.SAMPLED == 0], [h for h in s if h % corpus.SAMPLED]) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "class long, grp string, words long, n int, few array<long>, rest array<long>").cache()
+    got = sorted(tuple(r) for r in corpus.similar_classes(table.drop("rest"), table.withColumnRenamed("class", "key")).select("a", "b").collect())
+    want = []
+    for a, (_, ga, wa, na, *_) in enumerate(rows):
+        for b in range(a + 1, len(rows)):
+            _, gb, wb, nb, *_ = rows[b]
+            both = len(set(sets[a]) & set(sets[b]))
+            if ga == gb and both / (na + nb - both) >= 0.92 and max(wa, wb) / min(wa, wb) <= 1.35:
+                want.append((a, b))
+    assert got == want and len(want) > 20
+
+
+def test_near_duplicates_move_few_shingles(spark):
+    """Shingles are dealt out by the sampled part: less than 40 bytes written by shuffles for each of them."""
+    draw = random.Random(2)
+    texts = [" ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(400)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), *[(1000 + i, t + " end") for i, t in enumerate(texts[:30])]], "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved() -> int:
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)])
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = moved()
+    assert corpus.near_duplicate_groups(docs).where("key <> component").count() == 30
+    assert moved() - before < 40 * 330 * 396
