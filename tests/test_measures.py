@@ -81,3 +81,30 @@ def test_alert_burden_of_counted_rows(spark):
     counted = spark.createDataFrame([("a", 1, "warning", "x", 2), ("a", 2, "info", "y", 1), ("b", 2, "info", "y", 3)], "version string, doc_id long, level string, code string, n long")
     each = counted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
     assert sorted(map(tuple, calibrate.alert_burden(counted, docs, n="n").collect())) == sorted(map(tuple, calibrate.alert_burden(each, docs).collect()))
+
+
+def test_shingles_are_those_of_the_expressions(odd):
+    """As many distinct ones, and equal sets in the same documents."""
+    long = odd.withColumn("text", F.when(F.col("id") % 50 == 3, F.repeat("text", F.lit(700))).otherwise(F.col("text")))
+    got = long.select("id", "text", measures.shingled(F.col("text")).alias("m"))
+    df = features.once(got, w=T.matches(F.lower(F.coalesce("text", F.lit(""))), T.WORD))
+    df = features.once(df, s=F.array_sort(T.shingle_set(F.col("w"))))
+    rows = df.select("id", "s", "m", F.size("w").alias("size"), T.token_count(F.col("text")).alias("words")).collect()
+    assert max(r["size"] for r in rows) > 10_000
+    for r in rows:
+        both = set(r["m"]["few"]) | set(r["m"]["rest"])
+        assert (len(r["s"]), r["words"]) == (r["m"]["n"], r["m"]["words"]) == (len(both), r["words"])
+    plain, digest = {}, {}
+    for r in rows:
+        plain.setdefault(tuple(r["s"]), set()).add(r["id"])
+        digest.setdefault(r["m"]["mark"], set()).add(r["id"])
+    assert sorted(map(sorted, plain.values())) == sorted(map(sorted, digest.values()))
+    each = {}
+    for r in rows:  # one digest for each shingle, wherever it stands
+        for h in (*r["m"]["few"], *r["m"]["rest"]):
+            each.setdefault(h, set()).add(r["id"])
+    said = {}
+    for r in rows:
+        for x in r["s"]:
+            said.setdefault(x, set()).add(r["id"])
+    assert sorted(map(sorted, each.values())) == sorted(map(sorted, said.values()))
